@@ -8,13 +8,14 @@ the size of an Arrow batch.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 #: Words are runs of bytes outside this set.
 WHITE_SPACE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -34,21 +35,40 @@ _folded_value = _byte_value[_fold]
 _powers = {}
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """A new path in the folder that spark.checkpoint.dir names. Only a local session without one gets its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(folder)
+    return f"{folder.rstrip('/')}/tables-{uuid.uuid4().hex}"
 
-    The folder is the one that spark.checkpoint.dir names. Only a local session without one gets its own.
+
+class Scratch:
+    """Tables that an operator writes to the shared folder to cut lineage and to read more than once.
+
+    drop() deletes a table that no later plan reads. What the operator's result still reads stays until the folder is
+    cleared, as checkpoints do.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder, self.n, self.paths = spark, shared_folder(spark), 0, {}
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{self.n}"
+        self.n += 1
+        df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(table)] = (table, path)
+        return table
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        for table in tables:
+            if table is not None and id(table) in self.paths:
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(table))[1])
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

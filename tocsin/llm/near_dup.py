@@ -20,13 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tocsin.llm.common import as_long, chunks, cut, lists, mix, split_words, text_buffer, windows
+from tocsin.llm.common import Scratch, as_long, chunks, lists, mix, split_words, text_buffer, windows
 from tocsin.llm.components import components
 
 #: A pair of similarity 0.8 meets in one of 30 bands of 5 with a probability of 1 - (1 - 0.8 ** 5) ** 30 = 0.999993.
 ROWS, BANDS = 5, 30
-#: Rounds with one pivot in each bucket that is still open; then all pairs of different components in it are compared.
-PIVOT_ROUNDS = 4
+#: Rounds with one pivot in each bucket that is still open, as long as all pairs of different components in these
+#: buckets are more than FEW_PAIRS for each of their rows; then all these pairs are compared.
+PIVOT_ROUNDS, FEW_PAIRS = 4, 8
 _FRACTION_BITS = 40
 
 
@@ -120,50 +121,58 @@ def near_duplicates(
     linked with nothing. A row with a null id is linked with nothing, has a null component and is kept. Rows that
     repeat an id are one node of the graph and all returned. Other columns of docs are ignored.
     """
+    scratch = Scratch(docs.sparkSession)
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketches = cut(text.mapInArrow(partial(_sketch, shingle=shingle, fold=fold, rows=rows, bands=bands), "doc_id long, n_shingles long, finger1 long, finger2 long, bands array<long>"))
     key = ["finger1", "finger2", "n_shingles"]
-    with_words = sketches.where("n_shingles > 0 and doc_id is not null")
-    classes = cut(with_words.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")))
+    sketched = scratch.write(text.mapInArrow(partial(_sketch, shingle=shingle, fold=fold, rows=rows, bands=bands), "doc_id long, n_shingles long, finger1 long, finger2 long, bands array<long>"))
+    with_words = sketched.where("n_shingles > 0 and doc_id is not null")
+    classes = scratch.write(with_words.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")))
+    sketches = scratch.write(sketched.select("doc_id", *key))
+    scratch.drop(sketched)
 
     rows_ = classes.select(F.explode("bands").alias("band"), "rep", "n_shingles")
     shared = rows_.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    buckets = cut(rows_.join(shared, "band"))
+    buckets = scratch.write(rows_.join(shared, "band"))
     ids = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    sets = cut(text.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(partial(_sets, shingle=shingle, fold=fold), "rep long, items array<long>"))
+    sets = scratch.write(text.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(partial(_sets, shingle=shingle, fold=fold), "rep long, items array<long>"))
 
-    fitting = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    ordered = lambda x: x.where(fitting).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    own = classes.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
-    links, tested, groups, members = own, own, None, buckets
+    groups, tested = None, None
     for turn in range(PIVOT_ROUNDS + 1):
         if groups is None:
-            labelled = members.withColumn("group", F.col("rep"))
+            labelled = buckets.withColumn("group", F.col("rep"))
         else:
-            labelled = members.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").select("band", "rep", "n_shingles", F.coalesce("component", "rep").alias("group"))
-        labelled = cut(labelled) if turn else labelled
-        parts = labelled.groupBy("band", "group").agg(F.count("*").alias("n"), F.min(F.struct("rep", "n_shingles")).alias("pivot"))
-        open_ = cut(parts.groupBy("band").agg(F.count("*").alias("parts"), F.min(F.struct("n", "pivot", "group")).alias("pick")).where("parts > 1").select("band", "pick.pivot", F.col("pick.group").alias("pivot_group")))
-        if open_.isEmpty():
-            break
-        here = labelled.join(open_, "band")
-        if turn < PIVOT_ROUNDS:
-            pairs = here.where("group <> pivot_group").select(F.col("pivot.rep").alias("a"), F.col("pivot.n_shingles").alias("n_a"), F.col("rep").alias("b"), F.col("n_shingles").alias("n_b"))
-            members = here.where("rep <> pivot.rep").select("band", "rep", "n_shingles")
-        else:
-            side = lambda x: here.select("band", F.col("rep").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("group").alias(f"g_{x}"))
+            labelled = buckets.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").select("band", "rep", "n_shingles", F.coalesce("component", "rep").alias("group"))
+        parts = labelled.groupBy("band", "group").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("rep", F.lit(turn)) if turn else F.lit(0), "rep", "n_shingles")).alias("pivot"))
+        open_ = parts.groupBy("band").agg(
+            F.count("*").alias("parts"), F.min(F.struct("n", "pivot", "group")).alias("pick"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same")
+        )
+        open_ = open_.where("parts > 1").select("band", "pick.pivot.rep", "pick.pivot.n_shingles", "pick.group", "n", ((F.col("n") * F.col("n") - F.col("same")) / 2).alias("cross"))
+        if turn:
+            open_ = scratch.write(open_)
+            n, cross = open_.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("cross"), F.lit(0.0))).first()
+            if not n:
+                break
+        here = labelled.join(open_.select("band", F.col("rep").alias("pivot"), F.col("n_shingles").alias("n_pivot"), F.col("group").alias("pivot_group")), "band")
+        last = turn == PIVOT_ROUNDS or turn > 0 and cross <= FEW_PAIRS * n
+        if last:
+            side = lambda x: here.select("band", F.col("rep").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("group").alias(f"g_{x}"))  # noqa: B023, E731
             pairs = side("a").join(side("b"), "band").where("a < b and g_a <> g_b")
-        pairs = ordered(pairs)
-        pairs = cut(pairs.join(tested, ["a", "b"], "left_anti") if turn else pairs)
-        tested = tested.union(pairs) if turn else pairs
-        links = cut(links.union(_confirm(pairs, sets, percent))) if turn else cut(_confirm(pairs, sets, percent))
-        groups = components(links)
-
-    if groups is None:
-        named = classes.select(*key, F.col("rep").alias("component_id"))
-    else:
-        named = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
-    found = sketches.select("doc_id", *key).join(cut(named), key, "left")
-    component = F.coalesce("component_id", "doc_id")
-    component = F.when(F.col("doc_id").isNotNull(), component)
-    return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+        else:
+            pairs = here.where("group <> pivot_group").select(F.col("pivot").alias("a"), F.col("n_pivot").alias("n_a"), F.col("rep").alias("b"), F.col("n_shingles").alias("n_b"))
+        pairs = pairs.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = scratch.write(pairs.join(tested, ["a", "b"], "left_anti") if tested else pairs)
+        tested = tested.union(pairs) if tested else pairs
+        found = scratch.write(_confirm(pairs, sets, percent))
+        stars = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found) if groups else found
+        old, groups = groups, components(stars, scratch)
+        scratch.drop(old)
+        if last:
+            break
+    scratch.drop(sets, buckets)
+
+    named = scratch.write(classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id")))
+    scratch.drop(classes)
+    result = sketches.join(named, key, "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return result.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -4,11 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tocsin.llm.common import shared_folder
+from tocsin.llm.embedding_dedup import near_vectors
+from tocsin.llm.language_id import identify, prototypes
+from tocsin.llm.license_scan import license_matches, license_sql
 from tocsin.llm.near_dup import near_duplicates
+from tocsin.llm.packing import pack, pieces
+from tocsin.llm.piece_bpe import encode_pieces
+from tocsin.llm.quality import quality_verdicts
 from tocsin.llm.substring_dedup import remove_repeats
+from tocsin.llm.token_output import read_tokens, write_tokens
+from tocsin.llm.toxicity import fold, learn, toxicity_scores
+
+SEQUENCE = 2048
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,12 +32,60 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(_table(spark, sf_dir, "documents"))
+
+
+def op3_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark)
+    write_tokens(_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return read_tokens(spark, folder, digest=True)
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=0, size=SEQUENCE)
+    return pack(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), SEQUENCE)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = learn(docs, labels.where(fold("doc_id", 5) != 0))
+    scored = toxicity_scores(docs, model)
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "evidence")
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_matches(_table(spark, sf_dir, "documents"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = identify(docs, prototypes(docs.where(fold("doc_id", 3) != 1)))
+    return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=4, percent=80, fold=True)
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"), least=0.98)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_quality_rules": op2_quality_rules,
+    "op3_rans_tokens": op3_rans_tokens,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_toxicity": op5_toxicity,
+    "op6_license_scan": op6_license_scan,
+    "op7_language_id": op7_language_id,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_license_scan": license_sql()}
