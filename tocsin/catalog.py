@@ -690,7 +690,8 @@ SCENARIO = KEYS[:-1]
 def _sweep_input(spark: SparkSession, d: str):
     series = _series(spark, d)
     outbreaks = rn.outbreaks(series, _spec(series), SIM)
-    positives = se.with_alert_inputs(te.expected_positives(series, RATES, TESTS, SIM), KEYS)
+    # every scenario reads the test positives, so they are kept; what doesn't fit in memory goes to disk
+    positives = se.with_alert_inputs(te.expected_positives(series, RATES, TESTS, SIM), KEYS).persist()
     mean = series.agg(F.avg(F.col("incidence") + F.col("noise"))).first()[0]
     return series, outbreaks, positives, sw.equal_grid(0.0, float(2 * math.ceil(mean)), 10)[1:]
 

@@ -89,7 +89,7 @@ def repeated_cells(long: DataFrame, ids: list[str]) -> DataFrame:
 
 def wide(long: DataFrame, ids: list[str], percents: list[float], value: str = "value") -> DataFrame:
     """One column for each testing rate, ascending, with the test's label; a repeated cell raises an error."""
-    one = F.when(F.count("*") <= 1, F.first("_v")).otherwise(F.raise_error(F.lit("a cell of the report occurs twice")).cast("double"))
+    one = F.when(F.count(F.lit(1)) <= 1, F.first("_v")).otherwise(F.raise_error(F.lit("a cell of the report occurs twice")).cast("double"))
     table = long.withColumn("_v", F.col(value).cast("double")).groupBy(*ids).pivot("percent_tested", sorted(percents)).agg(one)
     return table.withColumn("test_type", table_label(*map(F.col, SPEC)))
 
