@@ -75,7 +75,7 @@ def test_breakpoints_find_the_optimum(spark):
     rows = [(1, d, 8 if 20 <= d <= 30 else 1 + d % 3, 5 * (20 <= d <= 30)) for d in range(1, 61)]
     df = spark.createDataFrame(rows, "sim int, day int, value long, incidence long").withColumns({"value": F.col("value").cast("double"), "test": F.lit("t")})
     outbreaks = rn.outbreaks(df, rn.OutbreakSpec(5, 3, 10), ["sim"])
-    points = sw.breakpoints(df, 0.0, 10.0)
+    points = sw.breakpoints(df, 1.5, 10.0)
     best = sw.best(sw.scores(df, outbreaks, points, ["test", "sim"], ["sim"], "BalancedAccuracy"), ["test"]).first()
     assert (best["T"], best["loss"]) == (8.0, 0.0)
 
