@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Words are runs of bytes outside this set.
 WHITE_SPACE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Bytes of text that are handled at once, and hashed at once.
-CHUNK_BYTES, SEGMENT_BYTES = 4 << 20, 1 << 20
+CHUNK_BYTES, SEGMENT_BYTES = 1 << 20, 1 << 18
 
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
@@ -124,8 +124,8 @@ def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int,
         at = to
 
 
-def split_words(data: np.ndarray, offsets: np.ndarray, fold: bool = False) -> Words:
-    """Words of the documents data[offsets[i]:offsets[i + 1]] with 64-bit hashes; fold: A-Z count as a-z."""
+def split_words(data: np.ndarray, offsets: np.ndarray, fold: bool = False, hashes: bool = True) -> Words:
+    """Words of the documents data[offsets[i]:offsets[i + 1]] with 64-bit hashes; fold: A-Z count as a-z; hashes False leaves them out."""
     lo, hi = int(offsets[0]), int(offsets[-1])
     buffer = data[lo:hi]
     if not len(buffer):
@@ -139,7 +139,7 @@ def split_words(data: np.ndarray, offsets: np.ndarray, fold: bool = False) -> Wo
     first[begins] = solid[begins]
     last[ends] = solid[ends]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return Words(hash_ranges(buffer, start, end, fold), start + lo, end + lo, np.searchsorted(start, offsets - lo))
+    return Words(hash_ranges(buffer, start, end, fold) if hashes else np.zeros(0, np.uint64), start + lo, end + lo, np.searchsorted(start, offsets - lo))
 
 
 def hash_ranges(buffer: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool = False) -> np.ndarray:

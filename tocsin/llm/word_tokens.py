@@ -15,7 +15,7 @@ import numpy as np
 from tocsin.llm.common import hash_ranges, split_words
 
 #: Words that a worker remembers; then it begins anew.
-MOST_WORDS = 300_000
+MOST_WORDS = 500_000
 _WORDS_AT_ONCE = 256
 
 _WHITE, _LETTER, _DIGIT, _SIGN, _OTHER = range(5)
@@ -25,6 +25,7 @@ _kind[[0x20, 9, 10, 11, 12, 13]] = _WHITE
 _kind[ord("0") : ord("9") + 1] = _DIGIT
 _kind[ord("A") : ord("Z") + 1] = _kind[ord("a") : ord("z") + 1] = _LETTER
 _kind[[ord("'"), ord("<")]] = _OTHER  # they can begin a contraction or a special token
+_kind[0xC3] = _LETTER  # with the byte after it a letter of Latin-1, but for two signs
 
 
 def lay_out(starts: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> np.ndarray:
@@ -42,8 +43,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.split = "<|startoftext|>"
-        self.split_id = self.tokenizer.token_to_id(self.split)
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(names.values()) + 1, bool)
+        self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -51,28 +53,18 @@ class WordEncoder:
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.begin, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
 
-    def _learn(self, hashes: list[int], words: list[str]) -> None:
-        own: list[list[int]] = [[]] * len(words)
-        odd = [i for i, w in enumerate(words) if self.split_id is None or "<|" in w]
-        even = sorted(set(range(len(words))) - set(odd)) if odd else range(len(words))
-        for i, e in zip(odd, self.tokenizer.encode_batch_fast([words[i] for i in odd], add_special_tokens=False)):
-            own[i] = e.ids
-        parts = [even[k : k + _WORDS_AT_ONCE] for k in range(0, len(even), _WORDS_AT_ONCE)]
-        found = self.tokenizer.encode_batch_fast([self.split.join([words[i] for i in part]) for part in parts], add_special_tokens=False)
-        flats, lengths = [], np.zeros(len(words), np.int64)
-        for part, e in zip(parts, found):
-            ids = np.array(e.ids, np.uint32)
-            cuts = np.flatnonzero(ids == self.split_id)
-            if len(cuts) != len(part) - 1:
-                raise ValueError("the tokenizer doesn't cut words at its special token")
-            edges = np.concatenate([[-1], cuts, [len(ids)]])
-            lengths[list(part)] = np.diff(edges) - 1
-            flats.append(ids[ids != self.split_id])
-        order = [*even, *odd]
-        for i in odd:
-            lengths[i] = len(own[i])
-            flats.append(np.array(own[i], np.uint32))
-        flat, lengths = np.concatenate(flats), lengths[order]
+    def _learn(self, hashes: list[int], words: list[str], odd: np.ndarray) -> None:
+        """odd words may make several tokens' words or none; all others are one word of the tokenizer's own."""
+        parts = []
+        even, lone = np.flatnonzero(~odd).tolist(), np.flatnonzero(odd).tolist()
+        texts = [words[i] for i in even]
+        for e, k in zip(self._ids([" ".join(texts[k : k + _WORDS_AT_ONCE]) for k in range(0, len(texts), _WORDS_AT_ONCE)]), range(0, len(texts), _WORDS_AT_ONCE)):
+            sizes = np.diff(np.flatnonzero(np.concatenate([[True], self.ends[e]])))
+            if len(sizes) != min(_WORDS_AT_ONCE, len(texts) - k):
+                raise ValueError("the tokenizer doesn't cut words where this library does")
+            parts.append((e, sizes))
+        parts += [(e, np.array([len(e)])) for e in self._ids([words[i] for i in lone])]
+        flat, lengths = (np.concatenate(x) for x in zip(*parts))
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while len(self.known) + len(words) > len(self.begin):
@@ -82,17 +74,28 @@ class WordEncoder:
         self.begin[n : n + len(words)] = self.used + np.cumsum(lengths) - lengths
         self.length[n : n + len(words)] = lengths
         self.used += len(flat)
-        self.known.update((hashes[i], n + k) for k, i in enumerate(order))
+        self.known.update((hashes[i], n + k) for k, i in enumerate([*even, *lone]))
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the documents data[offsets[i]:offsets[i + 1]] in a row, and where each document's begin."""
         lo = int(offsets[0])
-        words = split_words(data, offsets)
+        words = split_words(data, offsets, hashes=False)
         n = len(words.start)
         if not n:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         buffer = data[lo : int(offsets[-1])]
         kind = _kind[buffer]
+        lead = np.flatnonzero(buffer[:-1] == 0xC3)
+        if len(lead):
+            after = buffer[lead + 1]
+            kind[lead + 1] = np.where((after == 0x97) | (after == 0xB7), _OTHER, _LETTER)
+            capitals = lead[(after <= 0x9E) & (after != 0x97)] + 1
+            if len(capitals):
+                buffer = buffer.copy()
+                buffer[capitals] += 0x20
         odd = np.zeros(n, bool)
         odd[np.searchsorted(words.start, np.flatnonzero(kind == _OTHER) + lo, side="right") - 1] = True
         begins = np.zeros(len(buffer), bool)
@@ -101,26 +104,31 @@ class WordEncoder:
         for a, b in zip((words.start[odd] - lo).tolist(), (words.end[odd] - lo).tolist()):
             begins[a:b] = False
         begins[words.start - lo] = True
-        start = np.flatnonzero(begins) + lo
-        word = np.searchsorted(words.start, start, side="right") - 1
-        end = np.minimum(np.append(start[1:], lo + len(buffer)), words.end[word])
+        begins_word = np.zeros(len(buffer), bool)
+        begins_word[words.start - lo] = True
+        start = np.flatnonzero(begins)
+        word = np.cumsum(begins_word[start]) - 1
+        end = np.minimum(np.append(start[1:], len(buffer)), words.end[word] - lo)
         odd = odd[word]
-        hashes = np.empty(len(start), np.uint64)
-        hashes[~odd] = hash_ranges(data, start[~odd], end[~odd], fold=True)
-        hashes[odd] = hash_ranges(data, start[odd], end[odd])
+        if odd.any():
+            hashes = np.empty(len(start), np.uint64)
+            hashes[~odd] = hash_ranges(buffer, start[~odd], end[~odd], fold=True)
+            hashes[odd] = hash_ranges(data[lo : lo + len(buffer)], start[odd], end[odd])
+        else:
+            hashes = hash_ranges(buffer, start, end, fold=True)
         distinct, first, at = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.known) + len(distinct) > MOST_WORDS:
             self._forget()
         keys = distinct.tolist()
         new = [i for i, h in enumerate(keys) if h not in self.known]
         if new:
-            raw, places = buffer.tobytes(), first[new]
-            texts = [raw[a:b].decode() for a, b in zip((start[places] - lo).tolist(), (end[places] - lo).tolist())]
-            self._learn([keys[i] for i in new], texts)
+            raw, places = data[lo : lo + len(buffer)].tobytes(), first[new]
+            texts = [raw[a:b].decode() for a, b in zip(start[places].tolist(), end[places].tolist())]
+            self._learn([keys[i] for i in new], texts, odd[places])
         rows = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[at]
         lengths = self.length[rows]
         ids = lay_out(self.begin[rows], lengths, self.flat)
-        return ids, np.concatenate([[0], np.cumsum(lengths)])[np.searchsorted(start, offsets)]
+        return ids, np.concatenate([[0], np.cumsum(lengths)])[np.searchsorted(start, offsets - lo)]
 
 
 _encoders: dict[str, WordEncoder] = {}
