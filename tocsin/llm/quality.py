@@ -21,10 +21,10 @@ _SPACES = "[\\x20\\x09-\\x0D]+"
 WINDOW = 8
 #: Each rule: a ratio, the least limit it may get above and below, and whether low values count too.
 RULES = {
-    "symbol_ratio": (F.col("n_symbols") / F.col("n_words"), 0.25, None),
-    "duplicate_line_ratio": (10 * F.col("n_dup_lines") / F.col("n_words"), 0.5, None),
-    "repeat_ratio": (F.col("n_repeat_words") / F.col("n_words"), 0.25, None),
-    "word_length": (F.col("word_chars") / F.col("n_words"), 3.0, 2.5),
+    "symbol_ratio": ("n_symbols / n_words", 0.25, None),
+    "duplicate_line_ratio": ("10 * n_dup_lines / n_words", 0.5, None),
+    "repeat_ratio": ("n_repeat_words / n_words", 0.25, None),
+    "word_length": ("word_chars / n_words", 3.0, 2.5),
 }
 #: A limit lies this many times the distance from the median to the 90th (10th) percentile away from the median.
 SPREAD = 4.0
@@ -74,7 +74,7 @@ def measures(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFr
 def _limits(measured: DataFrame, least_rows: int) -> DataFrame:
     """Limits of each (lang, source) among the documents that pass the fixed rules."""
     passing = measured.where(~F.col("base_failed"))
-    own = passing.groupBy("lang", "source").agg(*(F.kll_sketch_agg_double(ratio, F.lit(SKETCH_K)).alias(name) for name, (ratio, _, _) in RULES.items()))
+    own = passing.groupBy("lang", "source").agg(*(F.kll_sketch_agg_double(F.expr(ratio), F.lit(SKETCH_K)).alias(name) for name, (ratio, _, _) in RULES.items()))
     wider = lambda key: own.groupBy(*key).agg(*(F.kll_merge_agg_double(name, F.lit(SKETCH_K)).alias(f"{name}_{'lang' if key else 'all'}") for name in RULES))
     everything = wider([]).withColumn("_one", F.lit(1))
     joined = own.withColumn("_one", F.lit(1)).join(everything, "_one")
@@ -107,8 +107,9 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     judged = measured.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     reasons = [F.when(F.col("base_failed"), F.lit("base"))]
     for name, (ratio, _, below) in RULES.items():
-        outside = ratio > F.col(f"{name}_most")
-        reasons.append(F.when(outside | (ratio < F.col(f"{name}_least")) if below is not None else outside, F.lit(name)))
+        value = F.when(F.col("n_words") > 0, F.expr(ratio))
+        outside = value > F.col(f"{name}_most")
+        reasons.append(F.when(outside | (value < F.col(f"{name}_least")) if below is not None else outside, F.lit(name)))
     return judged.select(
         "doc_id", *(F.col(f"_carry_{c}").alias(c) for c in carry), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         F.coalesce(*reasons).isNull().alias("kept"), F.coalesce(*reasons).alias("reason"),
