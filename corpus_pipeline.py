@@ -43,7 +43,7 @@ def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without the passages that an earlier one holds; untouched texts keep their white space."""
-    found = remove_repeats(docs, carry=("lang", "source", "n_chars"))
+    found = remove_repeats(docs, carry=("lang", "source", "n_chars"), as_is=True)
     return found.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 

@@ -137,7 +137,7 @@ def _extend(table: pa.Table, answers: pa.Table, length: int, ranges: int) -> pa.
     return _dealt(table.column("chunk")[0].as_py(), distinct, firsts, ranges)
 
 
-def _remove(table: pa.Table, answers: pa.Table, length: int) -> pa.Table:
+def _remove(table: pa.Table, answers: pa.Table, length: int, as_is: bool) -> pa.Table:
     chunk = _read(table, length)
     at, order, begins, distinct = _shared_windows(chunk, answers, length)
     n, ids = len(chunk.words.hash), chunk.ids[chunk.words.doc()[at]]
@@ -152,8 +152,11 @@ def _remove(table: pa.Table, answers: pa.Table, length: int) -> pa.Table:
     for text, a, b in zip(chunk.texts, ptr[:-1], ptr[1:]):
         own = covered[a:b]
         removed.append(int(own.sum()))
-        words = text.split()
-        texts.append(b" ".join(compress(words, (~own).tolist()) if removed[-1] else words))
+        if removed[-1]:
+            text = b" ".join(compress(text.split(), (~own).tolist()))
+        elif not as_is:
+            text = b" ".join(text.split())
+        texts.append(text)
         turns = np.flatnonzero(np.diff(np.concatenate([[0], own.view(np.int8), [0]]))).tolist() if removed[-1] else []
         spans.append([{"start": s, "end": e} for s, e in zip(turns[::2], turns[1::2])])
     out = table.take(pa.array(chunk.order)).drop_columns(["text", "chunk"])
@@ -167,12 +170,12 @@ def _remove(table: pa.Table, answers: pa.Table, length: int) -> pa.Table:
     return out
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 13, carry: tuple[str, ...] = (), chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 13, carry: tuple[str, ...] = (), as_is: bool = False, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Remove words that repeat an earlier document: (doc_id, *carry, kept_text, n_words, n_removed, spans).
 
     A word goes when one of its document's windows of `length` words that cover it also starts in a document with a
-    smaller id; windows are judged on the input. kept_text has the words that stay, joined by one space; spans has
-    the maximal runs of removed words [start, end). A null text has no words. A null id counts as greater than all
+    smaller id; windows are judged on the input. kept_text has the words that stay, joined by one space (as_is: a text
+    that loses nothing keeps its white space, null becomes empty); spans has the maximal runs of removed words [start, end). A null text has no words. A null id counts as greater than all
     others; rows with equal or null ids aren't earlier than each other. Texts with fewer words than a window lose
     none. carry names columns to hand through; a name that the result uses is refused, other columns are ignored.
     """
@@ -201,4 +204,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     second = extended.groupBy("range").applyInArrow(answers(2), answer)
     types = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in texts.schema.fields[3:])
     out = f"doc_id long, {types}kept_text string, n_words long, n_removed long, spans array<struct<start: long, end: long>>"
-    return by_chunk.cogroup(first.union(second).groupBy("chunk")).applyInArrow(partial(_remove, length=length), out)
+    return by_chunk.cogroup(first.union(second).groupBy("chunk")).applyInArrow(partial(_remove, length=length, as_is=as_is), out)
