@@ -23,11 +23,6 @@ def configured(results: DataFrame, **values: object) -> DataFrame:
     return results
 
 
-def cells(results: DataFrame) -> DataFrame:
-    """Adds i and j, row and column of a noise type (descending) and level (ascending)."""
-    return results.withColumns({"i": F.dense_rank().over(Window.orderBy(F.desc("noise_type"))), "j": F.dense_rank().over(Window.orderBy("noise_level"))})
-
-
 def cell_table(results: DataFrame) -> DataFrame:
     """Adds i and j by joining ranks of the distinct types and levels, which are few."""
     types = results.select("noise_type").distinct().select("noise_type", F.row_number().over(Window.orderBy(F.desc("noise_type"))).alias("i"))
