@@ -16,6 +16,7 @@ from tocsin.llm.near_dup import near_duplicates
 from tocsin.llm.packing import pack, pieces
 from tocsin.llm.piece_bpe import encode_pieces
 from tocsin.llm.quality import quality_verdicts
+from tocsin.llm.sql import near_dup_sql, near_vectors_sql, substring_dedup_sql
 from tocsin.llm.substring_dedup import remove_repeats
 from tocsin.llm.token_output import read_tokens, write_tokens
 from tocsin.llm.toxicity import fold, learn, toxicity_scores
@@ -88,4 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
-ORACLES: dict[str, str] = {"op6_license_scan": license_sql()}
+ORACLES: dict[str, str] = {
+    "op1_substring_dedup": substring_dedup_sql(),
+    "op6_license_scan": license_sql(),
+    "op9_minhash_near_dedup": near_dup_sql(),
+    "op10_embedding_near_dedup": near_vectors_sql(),
+}
