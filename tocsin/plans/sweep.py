@@ -35,10 +35,19 @@ def prepared(positives: DataFrame, method: str) -> DataFrame:
     return positives.withColumn("value", compared(F.lit(method)))
 
 
-def candidate_runs(ready: DataFrame, candidates: list[float], keys: list[str]) -> DataFrame:
-    """Alert runs for every candidate T: (keys, T, alert_idx, lo, hi, duration)."""
-    reached = F.filter(F.lit([float(c) for c in candidates]), lambda c: c <= F.col("value"))
-    return runs(ready.select(*keys, "day", F.explode(reached).alias("T")), [*keys, "T"], "alert_idx")
+def series_names(ready: DataFrame, keys: list[str]) -> DataFrame:
+    """Every series with `series_id`, one long for all its keys: float keys would be dealt anew at each step."""
+    return ready.select(*keys).distinct().withColumn("series_id", F.xxhash64(*keys))
+
+
+def candidate_runs(ready: DataFrame, candidates: list[float], keys: list[str], by: list[str]) -> DataFrame:
+    """Alert runs for every candidate: (series_id, by, candidate, alert_idx, lo, hi, duration), candidates counted from 0.
+
+    Dealt once by series; window and sums by (series, candidate) keep that.
+    """
+    days = ready.select(F.xxhash64(*keys).alias("series_id"), *by, "day", "value").repartition("series_id")
+    reached = F.filter(F.lit(sorted(map(float, candidates))), lambda c: c <= F.col("value"))
+    return runs(days.select("series_id", *by, "day", F.posexplode(reached).alias("candidate", "T")), ["series_id", *by, "candidate"], "alert_idx")
 
 
 def scores(ready: DataFrame, outbreaks: DataFrame, candidates: list[float], keys: list[str], by: list[str], metric: str, filtering: str = ALL_ALERTS, matching: str = SINGLE) -> DataFrame:
@@ -46,14 +55,15 @@ def scores(ready: DataFrame, outbreaks: DataFrame, candidates: list[float], keys
 
     keys name a series with its test, `by` the columns that name it among outbreaks.
     """
-    alerts = candidate_runs(ready, candidates, keys)
-    pairs = matches(alerts, outbreaks, [*keys, "T"], by, filtering, matching)
-    every = ready.select(*keys).distinct().select(*keys, F.explode(F.lit([float(c) for c in candidates])).alias("T"))
-    counts = series_counts(every, alerts, outbreaks, pairs, [*keys, "T"], by)
-    ratio = lambda a, b: F.col(a) / F.when(F.col(b) > 0, F.col(b))
-    each = counts.select(*keys, "T", accuracy(F.lit(metric), ratio("n_matched_alerts", "n_alerts"), ratio("n_matched_outbreaks", "n_outbreaks")).alias("accuracy"))
+    each = ["series_id", *by, "candidate"]
     scenario = [k for k in keys if k not in by]
-    return each.groupBy(*scenario, "T").agg(F.round(F.avg("accuracy"), 9).alias("mean_accuracy")).withColumn("loss", F.round(1 - F.col("mean_accuracy"), 9))
+    alerts = candidate_runs(ready, candidates, keys, by)
+    pairs = matches(alerts, outbreaks, each, by, filtering, matching)
+    every = series_names(ready, keys).select("series_id", *keys, F.posexplode(F.lit(sorted(map(float, candidates)))).alias("candidate", "T"))
+    counts = series_counts(every, alerts, outbreaks, pairs, each, by)
+    ratio = lambda a, b: F.col(a) / F.when(F.col(b) > 0, F.col(b))
+    found = counts.select(*scenario, "T", accuracy(F.lit(metric), ratio("n_matched_alerts", "n_alerts"), ratio("n_matched_outbreaks", "n_outbreaks")).alias("accuracy"))
+    return found.groupBy(*scenario, "T").agg(F.round(F.avg("accuracy"), 9).alias("mean_accuracy")).withColumn("loss", F.round(1 - F.col("mean_accuracy"), 9))
 
 
 def best(scored: DataFrame, scenario: list[str]) -> DataFrame:
@@ -64,14 +74,15 @@ def best(scored: DataFrame, scenario: list[str]) -> DataFrame:
 
 def result_at(ready: DataFrame, chosen: DataFrame, series: DataFrame, outbreaks: DataFrame, keys: list[str], by: list[str], length: int, metric: str, filtering: str = ALL_ALERTS, matching: str = SINGLE) -> DataFrame:
     """The metric record of every series at its scenario's best T."""
-    scenario = [k for k in keys if k not in by]
-    at = ready.join(F.broadcast(chosen), scenario)  # one row for each scenario
-    alerts = runs(at.where(F.col("value") >= F.col("T")).select(*keys, "day"), keys, "alert_idx")
-    series_keys = ready.select(*keys).distinct()
+    scenario, each = [k for k in keys if k not in by], ["series_id", *by]
+    names = series_names(ready, keys)
+    at = ready.join(F.broadcast(chosen), scenario).where(F.col("value") >= F.col("T"))  # one row for each scenario
+    alerts = runs(at.select(F.xxhash64(*keys).alias("series_id"), *by, "day").repartition("series_id"), each, "alert_idx")
+    series_keys = names.select(*each)
     own = series_keys.join(outbreaks, by)
-    pairs = matches(alerts, own, keys, keys, filtering, matching)
-    found = record(series_keys, series_keys.join(series, by), alerts, own, pairs, length, keys, metric)
-    return found.join(F.broadcast(chosen), scenario)
+    pairs = matches(alerts, own, each, each, filtering, matching)
+    found = record(series_keys, series_keys.join(series, by), alerts, own, pairs, length, each, metric)
+    return found.join(names, each).join(F.broadcast(chosen), scenario)
 
 
 def resume(spark: SparkSession, scenarios: DataFrame, compute, path: str, checkpoints: str, run_ts: str, keys: list[str]) -> DataFrame:
