@@ -5,9 +5,12 @@ other, and offers rank + uniform(0, 1) to the place of that rank (Ertl, "SuperMi
 all shingles of a few megabytes of text together and stop for a document once no place can still improve, mostly
 after two ranks. Bands of the signature are joined to find candidates, which are then confirmed on whole shingle sets.
 
-Documents with equal shingle sets are folded into one class before anything is joined, with map-side combining.
-In a bucket, one pivot is compared with the members that aren't yet known to be connected with it, so a group of
-n near copies costs about n comparisons and not n * n; what a few pivots leave open is compared in full.
+Documents with equal shingle sets are folded into one class before anything is joined, with map-side combining, and
+bands with the same members count once. In a bucket, one pivot is compared with the other members first, which connects
+most of a group of near copies at the cost of one comparison each. Then whoever isn't connected with a bucket's largest
+group is compared with all that it isn't connected with, in blocks by products of incidence matrices, so that only close
+pairs leave a task. For pivots, pairs whose signatures, cut to four bits a place, differ in
+more places than a pair at the threshold would at five standard deviations, aren't candidates.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tocsin.llm.common import Scratch, as_long, chunks, lists, mix, split_words, text_buffer, windows
@@ -25,9 +28,11 @@ from tocsin.llm.components import components
 
 #: A pair of similarity 0.8 meets in one of 30 bands of 5 with a probability of 1 - (1 - 0.8 ** 5) ** 30 = 0.999993.
 ROWS, BANDS = 5, 30
-#: Rounds with one pivot in each bucket that is still open, as long as all pairs of different components in these
-#: buckets are more than FEW_PAIRS for each of their rows; then all these pairs are compared.
-PIVOT_ROUNDS, FEW_PAIRS = 4, 8
+#: Further pivots are taken while open pairs are more than FEW_PAIRS for each row of a bucket, and each halves them.
+FEW_PAIRS = 8
+DEVIATIONS = 5.0
+#: Rows of a bucket that are compared with others at once.
+BLOCK = 64
 _FRACTION_BITS = 40
 
 
@@ -86,12 +91,15 @@ def _sketch(batches: Iterator[pa.RecordBatch], shingle: int, fold: bool, rows: i
                 finger[0, full] = np.add.reduceat(items, ptr[:-1][full])
                 finger[1, full] = np.bitwise_xor.reduceat(mix(items + np.uint64(7)), ptr[:-1][full])
             signature = superminhash(items, ptr, rows * bands).reshape(b - a, bands, rows)
+            cut = np.zeros((b - a, -(-rows * bands // 16) * 16), np.uint64)
+            cut[:, : rows * bands] = signature.reshape(b - a, -1) >> np.uint64(2) & np.uint64(15)
+            cut = (cut.reshape(b - a, -1, 16) << np.arange(0, 64, 4, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
             band = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (b - a, 1))
             for row in range(rows):
                 band = mix(band * np.uint64(0xD6E8FEB86659FD93) + signature[:, :, row])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), as_long(n), as_long(finger[0]), as_long(finger[1]), lists(band.ravel(), np.arange(b - a + 1) * bands)],
-                ["doc_id", "n_shingles", "finger1", "finger2", "bands"],
+                [batch.column(0).slice(a, b - a), as_long(n), as_long(finger[0]), as_long(finger[1]), lists(band.ravel(), np.arange(b - a + 1) * bands), lists(cut.ravel(), np.arange(b - a + 1) * cut.shape[1])],
+                ["doc_id", "n_shingles", "finger1", "finger2", "bands", "places"],
             )
 
 
@@ -100,7 +108,41 @@ def _sets(batches: Iterator[pa.RecordBatch], shingle: int, fold: bool) -> Iterat
         data, offsets = text_buffer(batch.column(1))
         for a, b in chunks(offsets):
             items, ptr = shingle_sets(data, offsets[a : b + 1], shingle, fold)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists(items, ptr)], ["rep", "items"])
+            short, cuts = (items >> np.uint64(32)).astype("<u4").tobytes(), (4 * ptr).tolist()
+            brief = pa.array([short[s:e] for s, e in zip(cuts[:-1], cuts[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists(items, ptr), brief], ["rep", "items", "brief"])
+
+
+def _close(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of rows of two blocks that are in different groups and whose sets, cut to 32 bits a shingle, are close.
+
+    Two shingles of tolerance stand for what cutting may have folded; the pairs are confirmed on whole sets later.
+    """
+    for batch in batches:
+        found = [np.zeros((2, 0), np.int64)]
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            sides = []
+            for side in (x, y):
+                sets = [np.frombuffer(r["brief"], "<u4") for r in side]
+                rep, group = (np.array([r[c] for r in side], np.int64) for c in ("rep", "group"))
+                sizes = np.array([len(s) for s in sets])
+                sides.append((rep, group, sizes, np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)))
+            both = np.intersect1d(np.unique(sides[0][3]), np.unique(sides[1][3]), assume_unique=True)
+            if not len(both):
+                continue
+            tables = []
+            for _, _, sizes, values, row in sides:
+                at = np.minimum(np.searchsorted(both, values), len(both) - 1)
+                own = both[at] == values
+                table = np.zeros((len(sizes), len(both)), np.float32)
+                table[row[own], at[own]] = 1
+                tables.append(table)
+            (a, ga, na, _, _), (b, gb, nb, _, _) = sides
+            common = tables[0] @ tables[1].T + 2
+            i, j = np.nonzero((100 * common >= percent * (na[:, None] + nb[None, :] - common)) & (ga[:, None] != gb[None, :]))
+            found.append(np.stack([np.minimum(a[i], b[j]), np.maximum(a[i], b[j])]))
+        a, b = np.concatenate(found, axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -124,43 +166,65 @@ def near_duplicates(
     scratch = Scratch(docs.sparkSession)
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     key = ["finger1", "finger2", "n_shingles"]
-    sketched = scratch.write(text.mapInArrow(partial(_sketch, shingle=shingle, fold=fold, rows=rows, bands=bands), "doc_id long, n_shingles long, finger1 long, finger2 long, bands array<long>"))
+    sketched = scratch.write(text.mapInArrow(partial(_sketch, shingle=shingle, fold=fold, rows=rows, bands=bands), "doc_id long, n_shingles long, finger1 long, finger2 long, bands array<long>, places array<long>"))
     with_words = sketched.where("n_shingles > 0 and doc_id is not null")
-    classes = scratch.write(with_words.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")))
+    classes = scratch.write(with_words.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("bands", "places"), "doc_id").alias("own")))
     sketches = scratch.write(sketched.select("doc_id", *key))
     scratch.drop(sketched)
 
-    rows_ = classes.select(F.explode("bands").alias("band"), "rep", "n_shingles")
-    shared = rows_.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    buckets = scratch.write(rows_.join(shared, "band"))
+    rows_ = classes.select(F.explode("own.bands").alias("band"), "rep")
+    shared = rows_.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("first"), F.bit_xor(F.xxhash64("rep")).alias("members")).where("n > 1")
+    shared = shared.groupBy("n", "first", "members").agg(F.min("band").alias("band")).select("band")
+    buckets = rows_.join(shared, "band").join(classes.select("rep", "n_shingles", "own.places"), "rep")
+    buckets = scratch.write(buckets.select("band", "rep", "n_shingles", "places"))
     ids = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    sets = scratch.write(text.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(partial(_sets, shingle=shingle, fold=fold), "rep long, items array<long>"))
-
-    groups, tested = None, None
-    for turn in range(PIVOT_ROUNDS + 1):
+    sets = scratch.write(text.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(partial(_sets, shingle=shingle, fold=fold), "rep long, items array<long>, brief binary"))
+
+    m, q = rows * bands, (1 - percent / 100) * 15 / 16
+    most_differ = m * q + DEVIATIONS * (m * q * (1 - q)) ** 0.5
+
+    def candidate(x: str, y: str) -> Column:
+        """Whether the rows x and y may be linked, by their sizes and signatures."""
+        differ = F.lit(0)
+        for k in range(-(-m // 16)):
+            bits = F.get(f"{x}.places", F.lit(k)).bitwiseXOR(F.get(f"{y}.places", F.lit(k)))
+            for shift in (2, 1):
+                bits = bits.bitwiseOR(F.shiftrightunsigned(bits, shift))
+            differ += F.bit_count(bits.bitwiseAND(F.lit(0x1111111111111111)))
+        a, b = F.col(f"{x}.n_shingles"), F.col(f"{y}.n_shingles")
+        return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (differ <= most_differ)
+
+    groups, tested, before = None, None, None
+    while True:
         if groups is None:
             labelled = buckets.withColumn("group", F.col("rep"))
         else:
-            labelled = buckets.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").select("band", "rep", "n_shingles", F.coalesce("component", "rep").alias("group"))
-        parts = labelled.groupBy("band", "group").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("rep", F.lit(turn)) if turn else F.lit(0), "rep", "n_shingles")).alias("pivot"))
+            labelled = buckets.join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("group", F.coalesce("component", "rep")).drop("component")
+        turn = F.lit(0) if groups is None else F.xxhash64("rep", F.lit(before or 0))
+        parts = labelled.groupBy("band", "group").agg(F.count("*").alias("n"), F.min_by(F.struct("rep", "n_shingles", "places"), F.struct(turn, "rep")).alias("pivot"))
         open_ = parts.groupBy("band").agg(
-            F.count("*").alias("parts"), F.min(F.struct("n", "pivot", "group")).alias("pick"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same")
+            F.count("*").alias("parts"), F.min_by(F.struct("pivot", "group"), F.struct("n", "group")).alias("smallest"), F.max(F.struct("n", "group")).alias("largest"), F.sum("n").alias("n")
         )
-        open_ = open_.where("parts > 1").select("band", "pick.pivot.rep", "pick.pivot.n_shingles", "pick.group", "n", ((F.col("n") * F.col("n") - F.col("same")) / 2).alias("cross"))
-        if turn:
+        open_ = open_.where("parts > 1").select("band", "smallest.pivot", F.col("smallest.group").alias("pivot_group"), F.col("largest.group").alias("largest"), (F.col("n") - F.col("largest.n")).alias("outside"), "n")
+        last = False
+        if groups is not None:
             open_ = scratch.write(open_)
-            n, cross = open_.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("cross"), F.lit(0.0))).first()
+            n, pairs_left = open_.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.col("outside")), F.lit(0))).first()
             if not n:
                 break
-        here = labelled.join(open_.select("band", F.col("rep").alias("pivot"), F.col("n_shingles").alias("n_pivot"), F.col("group").alias("pivot_group")), "band")
-        last = turn == PIVOT_ROUNDS or turn > 0 and cross <= FEW_PAIRS * n
+            last = pairs_left <= FEW_PAIRS * n or (before is not None and 2 * pairs_left > before)
+            before = pairs_left
+        here = labelled.join(open_, "band")
         if last:
-            side = lambda x: here.select("band", F.col("rep").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("group").alias(f"g_{x}"))  # noqa: B023, E731
-            pairs = side("a").join(side("b"), "band").where("a < b and g_a <> g_b")
+            block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK))
+            rows_of = lambda df, x: df.groupBy("band", block.alias(f"{x}_block")).agg(F.collect_list(F.struct("rep", "group", "brief")).alias(x))
+            full = here.join(sets.select("rep", "brief"), "rep")
+            met = rows_of(full.where("group <> largest"), "x").join(rows_of(full, "y"), "band").select("x", "y")
+            pairs = met.mapInArrow(partial(_close, percent=percent), "a long, b long").distinct()
         else:
-            pairs = here.where("group <> pivot_group").select(F.col("pivot").alias("a"), F.col("n_pivot").alias("n_a"), F.col("rep").alias("b"), F.col("n_shingles").alias("n_b"))
-        pairs = pairs.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            met = labelled.select("band", F.struct("rep", "n_shingles", "places", "group").alias("x")).join(open_.select("band", "pivot_group", F.col("pivot").alias("y")), "band")
+            met = met.where((F.col("x.group") != F.col("pivot_group")) & candidate("x", "y"))
+            pairs = met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
         pairs = scratch.write(pairs.join(tested, ["a", "b"], "left_anti") if tested else pairs)
         tested = tested.union(pairs) if tested else pairs
         found = scratch.write(_confirm(pairs, sets, percent))
