@@ -25,6 +25,8 @@ BLOCK = 64
 #: A term is kept that toxic examples hold this many times as often as others, with at least this z score.
 LEAST_LIFT, LEAST_Z = 10.0, 4.0
 BEGINNINGS = (4, 5, 6)
+#: Scores of equal vectors that a task remembers.
+REMEMBERED = 5000
 #: Votes of the class sizes that are added to each score.
 PRIOR_WEIGHT = 0.5
 
@@ -203,7 +205,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model, evidence: int) -> Iterator[pa.RecordBatch]:
-    known: dict[bytes, tuple[float, list]] = {}
+    known: dict[bytes, tuple[float, np.ndarray, np.ndarray]] = {}
+    none = np.zeros(0, np.int64), np.zeros(0)
     for batch in batches:
         data, offsets = text_buffer(batch.column(1))
         for a, b in chunks(offsets):
@@ -211,15 +214,17 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model, evidence: int) -> It
             cuts = np.searchsorted(doc, np.arange(b - a + 1)).tolist()
             scores, seen = [], []
             for s, e in zip(cuts[:-1], cuts[1:]):
-                key = at[s:e].tobytes() + counts[s:e].tobytes()
-                if key not in known:
-                    if len(known) > 50_000:
-                        known.clear()
-                    score, found, cosines = model.score(at[s:e], counts[s:e])
-                    known[key] = score, [{"doc_id": int(model.examples[i]), "cosine": float(c), "toxic": int(model.index.labels[i])} for i, c in zip(found[:evidence], cosines[:evidence])]
-                score, near = known[key]
+                score, found, cosines = model.empty_rate, *none
+                if e > s:
+                    key = at[s:e].tobytes() + counts[s:e].tobytes()
+                    if key not in known:
+                        if len(known) >= REMEMBERED:
+                            known.clear()
+                        score, found, cosines = model.score(at[s:e], counts[s:e])
+                        known[key] = score, found[:evidence].copy(), cosines[:evidence].copy()
+                    score, found, cosines = known[key]
                 scores.append(score)
-                seen.append(near)
+                seen.append([{"doc_id": int(model.examples[i]), "cosine": float(c), "toxic": int(model.index.labels[i])} for i, c in zip(found, cosines)])
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
             yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), pa.array(scores, pa.float64()), pa.array(seen, kind)], [*batch.schema.names, "score", "evidence"])
 
