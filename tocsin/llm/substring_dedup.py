@@ -176,8 +176,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A word goes when one of its document's windows of `length` words that cover it also starts in a document with a
     smaller id; windows are judged on the input. kept_text has the words that stay, joined by one space (as_is: a text
     that loses nothing keeps its white space, null becomes empty); spans has the maximal runs of removed words
-    [start, end). A null text has no words. A null id counts as greater than all others; rows with equal or null ids aren't earlier than each other. Texts with fewer words than a window lose
-    none. carry names columns to hand through; a name that the result uses is refused, other columns are ignored.
+    [start, end). A null text has no words. A null id counts as greater than all others; rows with equal or null ids
+    aren't earlier than each other. Texts with fewer words than a window lose none. carry names columns to hand
+    through; a name that the result uses is refused, other columns are ignored.
     """
     if set(carry) & {"doc_id", "text", "chunk", "kept_text", "n_words", "n_removed", "spans"}:
         raise ValueError("carry holds a name of the result")
