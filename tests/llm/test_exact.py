@@ -16,7 +16,7 @@ from tocsin.llm import queries
 from tocsin.llm.common import Scratch
 from tocsin.llm.components import components, union_find
 from tocsin.llm.embedding_dedup import near_vectors
-from tocsin.llm.license_scan import license_matches, license_sql
+from tocsin.llm.license_scan import bodies, license_matches, license_sql
 from tocsin.llm.near_dup import near_duplicates, superminhash
 from tocsin.llm.packing import pack, pieces, sum_of_squares
 from tocsin.llm.piece_bpe import encode_pieces
@@ -210,6 +210,24 @@ def test_licenses(spark):
     assert license_matches(docs.limit(0)).count() == 0
 
 
+def test_license_spans(spark):
+    prose = lambda k: "\n".join(" ".join(f"word{k}n{i}x{j}" for j in range(12)) for i in range(40))
+    grant = "# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files (the \"Software\"), to deal\n# in the Software without restriction."
+    rows = [(k, f"{prose(k)}\nCopyright (c) 2020 Some Holder\n{text}\n{prose(-k)}", name) for k, (name, (text,)) in enumerate(sorted(bodies().items()))]
+    rows += [(100, f"{prose(100)}\n{grant}\n{prose(101)}", "MIT"), (101, f"{prose(102)}\nA longer line of prose says in the end: licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"), (102, prose(103), None)]
+    rows += [(103, f"{bodies()['MIT'][0]}\n{prose(104)}\n{bodies()['ISC'][0]}", None)]
+    found = license_matches(spark.createDataFrame(rows, "doc_id long, text string, name string").repartition(3)).collect()
+    best = {}
+    for r in sorted(found, key=lambda r: r["common"]):
+        best[r["doc_id"]] = r["license"], r["line_no"]
+    body = {k: (name, 42) for k, _, name in rows if k < 100}
+    assert {k: best[k][0] for k in body} == {k: name for k, (name, _) in body.items()}
+    assert all(41 <= best[k][1] <= 46 for k in body)
+    assert best[100] == ("MIT", 41) and best[101] == ("CC-BY-SA-4.0", 41) and 102 not in best
+    assert {r["license"] for r in found if r["doc_id"] == 103} == {"MIT", "ISC"}
+    assert all(200 * r["common"] >= 80 * (r["size"] + r["template_size"]) for r in found)
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(7)
     rows = []
