@@ -115,6 +115,14 @@ def test_quality_limits_follow_the_source(spark):
     assert gone == {2000: "symbol_ratio"}
 
 
+def test_junk_does_not_lift_its_own_limit(spark):
+    prose = [(i, " ".join(f"word{i}n{k}" for k in range(60)), "en", "mixed") for i in range(400)]
+    junk = [(1000 + i, " ".join(f"cell{i}n{k} {'|' * (1 + i % 4)}" for k in range(30)), "en", "mixed") for i in range(100)]
+    docs = spark.createDataFrame(prose + junk, "doc_id long, text string, lang string, source string")
+    gone = {r["doc_id"]: r["reason"] for r in quality_verdicts(docs).where("not kept").collect()}
+    assert gone == {1000 + i: "symbol_ratio" for i in range(100)}
+
+
 def test_tokens(spark, tmp_path):
     from tokenizers import Tokenizer
 

@@ -26,8 +26,10 @@ RULES = {
     "repeat_ratio": ("n_repeat_words / n_words", 0.25, None),
     "word_length": ("word_chars / n_words", 3.0, 2.5),
 }
-#: A limit lies this many times the distance from the median to the 90th (10th) percentile away from the median.
-SPREAD = 4.0
+#: A limit lies this many times the distance from the median to the upper (lower) quartile away from the median: for
+#: normal values as far as 4 times that to the 90th percentile, but junk lifts a limit only from a quarter of a group on.
+SPREAD = 7.6
+QUARTILES = 0.25, 0.75
 LEAST_ROWS = 100
 SKETCH_K = 400
 
@@ -85,9 +87,9 @@ def _limits(measured: DataFrame, least_rows: int) -> DataFrame:
     for name, (_, above, below) in RULES.items():
         sketch = F.when(enough(name), F.col(name)).when(enough(f"{name}_lang"), F.col(f"{name}_lang")).otherwise(F.col(f"{name}_all"))
         at = lambda q, s=sketch: F.kll_sketch_get_quantile_double(s, F.lit(q))
-        out.append((at(0.5) + F.greatest(F.lit(above), SPREAD * (at(0.9) - at(0.5)))).alias(f"{name}_most"))
+        out.append((at(0.5) + F.greatest(F.lit(above), SPREAD * (at(QUARTILES[1]) - at(0.5)))).alias(f"{name}_most"))
         if below is not None:
-            out.append((at(0.5) - F.greatest(F.lit(below), SPREAD * (at(0.5) - at(0.1)))).alias(f"{name}_least"))
+            out.append((at(0.5) - F.greatest(F.lit(below), SPREAD * (at(0.5) - at(QUARTILES[0])))).alias(f"{name}_least"))
     return joined.select(*out)
 
 
