@@ -3,12 +3,17 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tocsin import catalog
 from tocsin.operators import runs as rn
+from tocsin.operators import series as se
+from tocsin.operators import testing as te
 from tocsin.plans import reports as rp
 from tocsin.plans import scenarios as sc
 from tocsin.plans import sweep as sw
 from tocsin.sources import results as st
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_missing_scenarios_compare_nulls(spark):
     rows = spark.createDataFrame([(1, "a", None), (2, "a", 7), (3, "b", 7)], "ord int, method string, window int")
@@ -80,6 +85,20 @@ def test_breakpoints_find_the_optimum(spark):
     assert (best["T"], best["loss"]) == (8.0, 0.0)
 
 
+def test_breakpoint_sweep_reaches_large_counts(spark, monkeypatch):
+    small = catalog._series(spark, SF)
+    monkeypatch.setattr(catalog, "_series", lambda spark, d: small.withColumn("incidence", F.col("incidence") + 100))
+    series = catalog._series(spark, SF)
+    ready = sw.prepared(se.with_alert_inputs(te.expected_positives(series, [1.0], catalog.ONE_TEST, catalog.SIM), catalog.KEYS), "DailyThreshold")
+    values = sorted({r[0] for r in ready.select(F.col("value").cast("double")).where("value >= 1").distinct().collect()})
+    assert values[-1] > 40
+    outbreaks = rn.outbreaks(series, catalog._spec(series), catalog.SIM)
+    scored = sw.scores(ready, outbreaks, values, catalog.KEYS, catalog.SIM, "BalancedAccuracy").where("loss is not null")
+    want = min((r["loss"], r["T"]) for r in scored.collect())
+    found = catalog.QUERIES["o3_breakpoint_sweep"](spark, SF).first()
+    assert (found["loss"], found["T"]) == want
+
+
 def test_bootstrap_interval(spark):
     df = spark.range(400).select("id", (F.col("id") % 20).cast("double").alias("v"))
     row = rp.bootstrap(df, "id", "v", 300).first()

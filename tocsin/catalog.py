@@ -754,7 +754,7 @@ SELECT CAST(0.9 AS DOUBLE) AS sensitivity, "T", loss FROM xs WHERE loss IS NOT N
 def _(spark, d):
     series = _series(spark, d)
     ready = sw.prepared(se.with_alert_inputs(te.expected_positives(series, [1.0], ONE_TEST, SIM), KEYS), "DailyThreshold")
-    points = sw.breakpoints(ready, 1.0, 40.0)
+    points = sw.breakpoints(ready, 1.0, max(1.0, ready.agg(F.max("value")).first()[0] or 0.0))
     return sw.best(sw.scores(ready, rn.outbreaks(series, _spec(series), SIM), points, KEYS, SIM, "BalancedAccuracy"), SCENARIO).select("sensitivity", "T", "loss")
 
 
