@@ -1,5 +1,9 @@
 """Operators that learn: exactness of what can be exact, held-out accuracy of the rest, and the pipeline."""
 
+import math
+import re
+from collections import Counter
+
 import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -8,7 +12,7 @@ import corpus_pipeline
 from tests.llm import cases
 from tocsin.llm import queries
 from tocsin.llm.language_id import identify, prototypes
-from tocsin.llm.toxicity import Index, learn, toxicity_scores
+from tocsin.llm.toxicity import Index, fold, learn, monotone, toxicity_scores
 
 SF = "/root/testdata/sf0.01"
 
@@ -19,24 +23,103 @@ def table(spark, name):
 
 def test_index_finds_the_nearest():
     rng = np.random.default_rng(1)
-    vectors = []
-    for _ in range(500):
-        at = np.sort(rng.choice(60, rng.integers(1, 8), replace=False))
-        value = rng.random(len(at)) + 0.1
-        vectors.append((at, value / np.linalg.norm(value)))
-    dense = np.zeros((500, 60))
-    for i, (at, value) in enumerate(vectors):
-        dense[i, at] = value
-    index = Index(vectors, np.zeros(500), np.ones(500), 60)
+    dense = np.zeros((500, 60), np.float32)
+    for row in dense:
+        at = rng.choice(60, rng.integers(1, 8), replace=False, p=np.arange(1, 61) / 1830)
+        row[at] = rng.random(len(at)) + 0.1
+        row /= np.linalg.norm(row)
+    dense = dense[np.argsort(dense.argmax(axis=1), kind="stable")]
+    example, term = np.nonzero(dense)
+    index = Index(example, term, dense[example, term], np.zeros(500), np.ones(500), 60)
+    assert 0 < len(index.table) < 60
     opened = []
-    for at, value in vectors[:80]:
-        found, scores, n = index.nearest(at, value, 10)
-        want = dense[:, at] @ value
-        order = np.lexsort((np.arange(500), -np.round(want, 12)))[:10]
-        order = order[want[order] > 0]
-        assert found.tolist() == order.tolist() and np.allclose(scores, want[order])
+    for row in dense[::7]:
+        at = np.flatnonzero(row)
+        found, scores, n = index.nearest(at, row[at], 10)
+        want = np.round(dense[:, at].astype(float) @ row[at], 6)
+        order = np.lexsort((np.arange(500), -want))[:10]
+        assert np.allclose(scores, want[order][want[order] > 0], atol=2e-6) and (want[found] >= want[order[-1]] - 2e-6).all()
         opened.append(n)
-    assert min(opened) < index.n_blocks
+    assert min(opened) < index.blocks
+
+
+def test_monotone_map():
+    x, y = np.array([0.1, 0.2, 0.3, 0.4, 0.9, 0.95]), np.array([0, 1, 0, 0, 1, 1])
+    at, level = monotone(x, y, np.ones(6), 0.5)
+    assert (np.diff(at) > 0).all() and (np.diff(level) >= 0).all() and len(at) == 3
+    assert np.allclose(level, [0.5 / 2, 1.5 / 4, 2.5 / 3]) and np.allclose(at, [0.1, 0.3, 0.925])
+
+
+def _plain_scores(texts, labels, examples_of):
+    """The method's scores with Counters and dense vectors: {id: score} for every text."""
+    def found(text):
+        raw = (text or "").encode()
+        raw = re.sub(rb"\xc3[\x80-\x96\x98-\x9e]", lambda m: bytes([0xC3, m.group()[1] + 0x20]), raw)
+        words = [w.lower() for w in re.findall(rb"[A-Za-z\x80-\xff]+", raw)]
+        return Counter(words) + Counter(b"^" + w[:5] for w in words if len(w) > 5)
+
+    terms = {i: found(t) for i, t in texts.items()}
+    df = Counter(t for c in terms.values() for t in c)
+    idf = lambda t: math.log((1 + len(texts)) / (1 + df[t])) + 1
+    index, fit = examples_of
+    size = [sum(labels[i] == c for i in index) for c in (0, 1)]
+    held = [Counter(t for i in index if labels[i] == c for t in terms[i]) for c in (0, 1)]
+    smooth = [5.0 * n / sum(size) for n in size]
+
+    def relevance(t):
+        if not held[0][t] and not held[1][t]:
+            return 0.02
+        p = [(held[c][t] + smooth[c] + 1e-9) / (size[c] + 2 * smooth[c] + 2e-9) for c in (0, 1)]
+        return 0.02 + math.log(p[1] / p[0]) ** 2
+
+    def vector(c):
+        v = {t: (1 + math.log(n)) * idf(t) * relevance(t) for t, n in c.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    vectors = {i: vector(c) for i, c in terms.items()}
+    stands = [sum(v == c for v in labels.values()) / size[c] for c in (0, 1)]
+    prior = sum(labels.values()) / len(labels)
+
+    def vote(i):
+        near = sorted(((-round(sum(x * vectors[e].get(t, 0.0) for t, x in vectors[i].items()), 6), e) for e in index), key=lambda x: x[0])[:15]
+        near = [(min(1.0, -s), e) for s, e in near if s < 0]
+        votes = [(stands[labels[e]] * s**3 / (1.05 - s), labels[e]) for s, e in near]
+        scale = 0.5 * sum(stands[labels[e]] for _, e in near) / len(near) if near else 1.0
+        return (sum(v for v, y in votes if y) + scale * prior) / (sum(v for v, _ in votes) + scale)
+
+    per = [sum(v == c for v in labels.values()) / sum(labels[i] == c for i in fit) for c in (0, 1)]
+    y = np.array([labels[i] for i in fit])
+    knots = monotone(np.array([vote(i) for i in fit]), y, np.array(per)[y], prior)
+    return {i: float(np.interp(vote(i), *knots)) for i in texts}
+
+
+def test_toxicity_scores_equal_brute_force(spark):
+    """Whole scores, from texts to the calibrated probability; ties at the fifteenth neighbour may differ for a few."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = learn(docs, labels)
+    found = {r["doc_id"]: r["score"] for r in toxicity_scores(docs, model).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    marks = {r["doc_id"]: r["toxic"] for r in labels.where("toxic is not null").collect() if texts.get(r["doc_id"]) is not None}
+    index = sorted(model.examples.tolist())
+    want = _plain_scores(texts, marks, (index, sorted(set(marks) - set(index))))
+    off = [i for i in texts if abs(found[i] - want[i]) > 1e-3]
+    assert len(off) <= 0.02 * len(texts), [(i, found[i], want[i]) for i in off[:5]]
+
+
+def test_toxicity_is_calibrated(spark):
+    """Held-out rows in bins of the score: a bin's share of toxic rows is near its mean score."""
+    d = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{d}/labels.parquet")
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    model = learn(docs, labels.where(fold("doc_id", 5) != 0))
+    rows = toxicity_scores(docs.where(fold("doc_id", 5) == 0), model).join(labels, "doc_id").select("score", "toxic").collect()
+    score, toxic = np.array([r["score"] for r in rows]), np.array([r["toxic"] for r in rows])
+    bins = np.minimum((score * 5).astype(int), 4)
+    error = sum(abs(score[bins == b].mean() - toxic[bins == b].mean()) * (bins == b).sum() for b in range(5) if (bins == b).any()) / len(rows)
+    assert error < 0.03
+    assert ((score - toxic) ** 2).mean() < 0.02
 
 
 def test_toxicity(spark):

@@ -71,6 +71,13 @@ class Scratch:
                 path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def refuse(carry: tuple[str, ...], *names: str) -> None:
+    """Raise if a column to hand through has a name of the result, or is named twice."""
+    clash = {c for c in carry if c.lower() in names or [x.lower() for x in carry].count(c.lower()) > 1}
+    if clash:
+        raise ValueError(f"carry holds names of the result or a name twice: {sorted(clash)}")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(30))

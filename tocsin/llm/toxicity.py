@@ -1,10 +1,15 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and word beginnings. Those that toxic examples hold markedly more often than others span the vectors;
-their inverse document frequencies count all documents. Examples lie in an inverted index in blocks; a block's
-largest weight of each term bounds its scores, so a search opens blocks by falling bound and stops when no block can
-reach the k-th best score: the k nearest are exact. Their votes, weighted by closeness and by how many labelled rows
-an example stands for, give the score.
+Terms are all words and the beginnings of longer ones. A term weighs (1 + log count) * idf * relevance: idf counts all
+documents, relevance is LEAST_RELEVANCE plus the squared log ratio of the smoothed shares of toxic and other examples
+that hold it, so no term is dropped, but a few insults in a long text aren't drowned by its other words (with plain
+TF-IDF a third to two thirds of them are). A text's length counts its terms outside all examples too.
+
+All examples but a calibration fold lie in the index. Terms that few examples hold have postings, which are summed for
+each text; terms that many hold lie in blocks of examples with each block's largest weight, which bounds its scores.
+A search opens blocks by falling bound, twice as many each time, and stops when no block can reach the k-th best score:
+the k nearest are exact. Their votes, weighted by closeness and by how many labelled rows an example stands for, go
+through a monotone map that is fitted on the calibration fold, which makes them probabilities.
 """
 
 from __future__ import annotations
@@ -17,16 +22,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tocsin.llm.common import Scratch, chunks, hash_ranges, text_buffer
+from tocsin.llm.common import Scratch, chunks, hash_ranges, refuse, text_buffer
 
-#: Labelled examples of each class that the classifier learns from at most, terms of its vectors at most, neighbours.
-EXAMPLES, TERMS, NEIGHBOURS = 4000, 4096, 15
+#: Labelled examples of each class that are learnt from at most, and neighbours.
+EXAMPLES, NEIGHBOURS = 2000, 15
+#: One example of so many is for calibration.
+CALIBRATION = 5
 BLOCK = 64
-#: A term is kept that toxic examples hold this many times as often as others, with at least this z score.
-LEAST_LIFT, LEAST_Z = 10.0, 4.0
-BEGINNINGS = (4, 5, 6)
-#: Scores of equal vectors that a task remembers.
-REMEMBERED = 5000
+#: A term in at least 1 of so many examples lies in blocks, others have postings.
+FREQUENT = 16
+BEGINNINGS = (5,)
+#: Documents of the average class mixture that are added to a term's counts, and the relevance of a term that tells nothing.
+SMOOTHING, LEAST_RELEVANCE = 5.0, 0.02
+#: Terms that no example holds share document frequencies by this many hash buckets; they only enter a text's length.
+BUCKET_BITS = 16
 #: Votes of the class sizes that are added to each score.
 PRIOR_WEIGHT = 0.5
 
@@ -63,20 +72,23 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(found), np.concatenate(of)
 
 
-def _counted(data: np.ndarray, offsets: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Documents, their distinct terms (or places in the ascending `known`) and how often each occurs."""
+def _counted(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents, their distinct terms and how often each occurs."""
     hashes, doc = terms(data, offsets)
-    if known is not None:
-        at = np.minimum(np.searchsorted(known, hashes), max(0, len(known) - 1))
-        own = known[at] == hashes if len(known) else np.zeros(len(hashes), bool)
-        both, counts = np.unique(doc[own] * max(1, len(known)) + at[own], return_counts=True)
-        return both // max(1, len(known)), both % max(1, len(known)), counts
     order = np.lexsort((hashes, doc))
     hashes, doc = hashes[order], doc[order]
     begins = np.flatnonzero(np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])])) if len(doc) else np.zeros(0, np.int64)
     return doc[begins], hashes[begins], np.diff(np.append(begins, len(doc)))
 
 
+def _places(known: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each hash in the ascending `known`, and whether it is there."""
+    if not len(known):
+        return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    return at, known[at] == hashes
+
+
 def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = text_buffer(batch.column(0))
@@ -89,142 +101,176 @@ def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _document_counts(batches: Iterator[pa.RecordBatch], known: np.ndarray) -> Iterator[pa.RecordBatch]:
-    total, docs = np.zeros(len(known), np.int64), 0
+    """(term, n): documents of a task by place in `known`, by bucket behind these, and all of them at -1."""
+    total, docs = np.zeros(len(known) + (1 << BUCKET_BITS), np.int64), 0
     for batch in batches:
         data, offsets = text_buffer(batch.column(0))
         docs += batch.num_rows
         for a, b in chunks(offsets):
-            _, at, _ = _counted(data, offsets[a : b + 1], known)
-            total += np.bincount(at, minlength=len(known)).astype(np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(known)), pa.int32()), pa.array(np.concatenate([[docs], total]))], ["term", "n"])
+            _, hashes, _ = _counted(data, offsets[a : b + 1])
+            at, own = _places(known, hashes)
+            at = np.where(own, at, len(known) + (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64))
+            total += np.bincount(at, minlength=len(total))
+    met = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], met]), pa.int32()), pa.array(np.concatenate([[docs], total[met]]))], ["term", "n"])
 
 
 class Index:
-    """Examples' vectors as postings in blocks of BLOCK examples, with each block's largest weight of each term."""
-
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, weights: np.ndarray, n_terms: int) -> None:
-        self.labels, self.weights = labels, weights
-        self.n_blocks = max(1, -(-len(vectors) // BLOCK))
-        example = np.repeat(np.arange(len(vectors)), [len(at) for at, _ in vectors])
-        term = np.concatenate([at for at, _ in vectors]) if vectors else np.zeros(0, np.int64)
-        value = np.concatenate([v for _, v in vectors]) if vectors else np.zeros(0)
-        order = np.lexsort((example, term))
-        self.example, term, self.value = example[order], term[order], value[order]
-        self.ptr = np.searchsorted(term * self.n_blocks + self.example // BLOCK, np.arange(n_terms * self.n_blocks + 1))
-        self.most = np.zeros((n_terms, self.n_blocks))
-        np.maximum.at(self.most, (term, self.example // BLOCK), self.value)
+    """Examples' vectors: postings of rare terms, blocks of BLOCK examples with each block's largest weight for others."""
+
+    def __init__(self, example: np.ndarray, term: np.ndarray, value: np.ndarray, labels: np.ndarray, weights: np.ndarray, n_terms: int) -> None:
+        self.labels, self.weights, self.n = labels, weights, len(labels)
+        size = np.bincount(term, minlength=n_terms)
+        self.frequent = np.full(n_terms, -1, np.int32)
+        often = np.flatnonzero(size * FREQUENT >= max(self.n, FREQUENT))
+        self.frequent[often] = np.arange(len(often))
+        self.blocks = -(-self.n // BLOCK)
+        rows = self.frequent[term]
+        self.table = np.zeros((len(often), self.blocks * BLOCK), np.float32)
+        self.table[rows[rows >= 0], example[rows >= 0]] = value[rows >= 0]
+        self.most = self.table.reshape(len(often), self.blocks, BLOCK).max(axis=2) if self.n else np.zeros((len(often), 0), np.float32)
+        rare = rows < 0
+        order = np.lexsort((example[rare], term[rare]))
+        self.example, self.value = example[rare][order].astype(np.int32), value[rare][order].astype(np.float32)
+        self.ptr = np.concatenate([[0], np.cumsum(np.bincount(term[rare], minlength=n_terms))]).astype(np.int32)
 
     def nearest(self, at: np.ndarray, value: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
         """Examples and cosines of the k nearest with a cosine above 0, ties by example, and how many blocks were opened."""
-        bounds = value @ self.most[at]
-        found, scores, opened = np.zeros(0, np.int64), np.zeros(0), 0
-        for block in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[block] <= 0 or len(found) == k and bounds[block] < scores[-1] - 1e-12:
-                break
-            opened += 1
-            own = np.zeros(BLOCK)
-            for t, v in zip(at.tolist(), value.tolist()):
-                a, b = self.ptr[t * self.n_blocks + block], self.ptr[t * self.n_blocks + block + 1]
-                own[self.example[a:b] - block * BLOCK] += v * self.value[a:b]
+        row = self.frequent[at]
+        rare, often = row < 0, row >= 0
+        begin, size = self.ptr[at[rare]], self.ptr[at[rare] + 1] - self.ptr[at[rare]]
+        places = np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()) if rare.any() else np.zeros(0, np.int64)
+        rows, weight = row[often], value[often]
+        sums = np.bincount(self.example[places], np.repeat(value[rare], size) * self.value[places], minlength=self.blocks * BLOCK).reshape(self.blocks, BLOCK)
+        bounds = weight @ self.most[rows] + sums.max(axis=1) if self.n else np.zeros(0)
+        order = np.argsort(-bounds, kind="stable")
+        order = order[bounds[order] > 0]
+        found, scores, opened, wave = np.zeros(0, np.int64), np.zeros(0), 0, 2
+        while opened < len(order) and (len(found) < k or bounds[order[opened]] >= scores[-1] - 1e-5):
+            now = order[opened : opened + wave]
+            if len(found) == k:
+                now = now[bounds[now] >= scores[-1] - 1e-5]
+            columns = (now[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            own = np.round(weight @ self.table[rows[:, None], columns] + sums[now].ravel(), 6)
             hit = np.flatnonzero(own > 0)
-            found, scores = np.concatenate([found, hit + block * BLOCK]), np.concatenate([scores, own[hit]])
-            best = np.lexsort((found, -np.round(scores, 12)))[:k]
-            found, scores = found[best], scores[best]
+            found, scores = np.concatenate([found, columns[hit]]), np.concatenate([scores, own[hit]])
+            best = np.lexsort((found, -scores))[:k]
+            found, scores, opened, wave = found[best], scores[best], opened + len(now), 2 * wave
         return found, scores, opened
 
 
 class Model:
-    """What scoring needs; its size is bounded by EXAMPLES and TERMS."""
-
-    def __init__(self, known: np.ndarray, idf: np.ndarray, index: Index, examples: np.ndarray, empty_rate: float, prior: float, k: int) -> None:
-        self.known, self.idf, self.index, self.examples, self.empty_rate, self.prior, self.k = known, idf, index, examples, empty_rate, prior, k
+    """What scoring needs; the sample of labelled rows bounds its size."""
+
+    def __init__(self, known: np.ndarray, weight: np.ndarray, bucket_weight: np.ndarray, index: Index, examples: np.ndarray, prior: float, k: int) -> None:
+        self.known, self.weight, self.bucket_weight, self.index, self.examples, self.prior, self.k = known, weight, bucket_weight, index, examples, prior, k
+        self.knots = np.zeros(0), np.zeros(0)
+
+    def vectors(self, doc: np.ndarray, hashes: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Documents, places and weights of their known terms in vectors of length 1 over all their terms."""
+        at, own = _places(self.known, hashes)
+        value = (1 + np.log(counts)) * self.bucket_weight[(hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
+        value[own] = (1 + np.log(counts[own])) * self.weight[at[own]]
+        length = np.sqrt(np.bincount(doc, value * value, minlength=n))
+        return doc[own], at[own], value[own] / np.maximum(length[doc[own]], 1e-30)
+
+    def vote(self, at: np.ndarray, value: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Share of toxic votes, and the neighbours with their cosines as evidence."""
+        found, cosines, _ = self.index.nearest(at, value, self.k)
+        cosines = np.minimum(cosines, 1.0)
+        votes = self.index.weights[found] * cosines**3 / (1.05 - cosines)
+        scale = PRIOR_WEIGHT * max(float(self.index.weights[found].mean()), 1e-9) if len(found) else 1.0
+        return (float(votes @ self.index.labels[found]) + scale * self.prior) / (float(votes.sum()) + scale), found, cosines
 
-    def vector(self, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        value = (1 + np.log(counts)) * self.idf[at]
-        return value / max(np.linalg.norm(value), 1e-30)
+    def calibrated(self, vote: float) -> float:
+        return float(min(1.0, max(0.0, np.interp(vote, *self.knots) if len(self.knots[0]) else vote)))
 
-    def score(self, at: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """Score and the neighbours with their cosines, as evidence."""
-        if not len(at):
-            return self.empty_rate, np.zeros(0, np.int64), np.zeros(0)
-        found, cosines, _ = self.index.nearest(at, self.vector(at, counts), self.k)
-        votes = self.index.weights[found] * cosines**3 / (1.05 - np.minimum(cosines, 1.0))
-        scale = PRIOR_WEIGHT * max(float(self.index.weights[found].mean()), 1e-9) if len(found) else 1.0
-        score = (float(votes @ self.index.labels[found]) + scale * self.prior) / (float(votes.sum()) + scale)
-        return min(1.0, max(0.0, score)), found, cosines
 
+def monotone(x: np.ndarray, y: np.ndarray, weight: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Knots of a rising map from votes to the share of y: weighted isotonic regression, steps joined by lines.
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples: int = EXAMPLES, n_terms: int = TERMS, k: int = NEIGHBOURS) -> Model:
+    Each step is drawn to the prior by one row's weight, so that a step of a few rows isn't certain.
+    """
+    order = np.argsort(x, kind="stable")
+    steps: list[list[float]] = []
+    one = float(weight.mean()) if len(weight) else 1.0
+    for v, label, w in zip(x[order].tolist(), y[order].tolist(), weight[order].tolist()):
+        steps.append([w * label, w, w * v])
+        while len(steps) > 1 and steps[-2][0] * steps[-1][1] >= steps[-1][0] * steps[-2][1]:
+            last = steps.pop()
+            steps[-1] = [p + q for p, q in zip(steps[-1], last)]
+    level = np.array([(s[0] + one * prior) / (s[1] + one) for s in steps])
+    return np.array([s[2] / s[1] for s in steps]), np.maximum.accumulate(level) if len(level) else level
+
+
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples: int = EXAMPLES, k: int = NEIGHBOURS) -> Model:
     """Learn from labels(id, label 0/1): at most `examples` rows of each class, chosen by a hash of their id.
 
-    Labels that are null, or whose document is missing or has no text, teach nothing; of an id that repeats, one row
-    does. Without any label every score is 0. Only the sample, its terms' counts and the counts of the chosen terms
-    come to the driver, all of a bounded size.
+    Labels that are null, or whose document is missing or has no text, teach nothing. Of an id with clashing labels the
+    larger one counts, of one with several texts the first in their order. Without any label every score is 0. Only the
+    sample's terms and their counts come to the driver, all of a size that the sample bounds.
     """
-    labelled = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).dropDuplicates(["doc_id"])
+    spark = docs.sparkSession
+    labelled = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     sizes = dict(labelled.groupBy("toxic").count().collect())
     by_hash = F.xxhash64("doc_id", F.lit(17))
     sample = labelled.where("toxic = 0").orderBy(by_hash, "doc_id").limit(examples).union(labelled.where("toxic = 1").orderBy(by_hash, "doc_id").limit(examples))
-    sample = docs.sparkSession.createDataFrame(sample.collect(), "doc_id long, toxic int")  # at most 2 * examples rows
+    sample = spark.createDataFrame(sample.collect(), "doc_id long, toxic int")  # at most 2 * examples rows
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    held = text.join(F.broadcast(sample), "doc_id").where(F.col("text").isNotNull()).select("text", "toxic", "doc_id").dropDuplicates(["doc_id"])
-    scratch = Scratch(docs.sparkSession)
-    rows = scratch.write(held.mapInArrow(_example_terms, "doc_id long, toxic int, term long, n int"))
-    owners = {d: (i, t) for i, (d, t) in enumerate(sorted(rows.where("term is null").select("doc_id", "toxic").collect()))}
-    label = np.array([t for _, t in owners.values()], np.int64)
-    size = np.array([(label == 0).sum(), (label == 1).sum()])
-    found = rows.where("term is not null").groupBy("term").agg(F.sum("toxic").alias("n1"), (F.count("*") - F.sum("toxic")).alias("n0"))
-    p1, p0, mean = F.col("n1") / max(1, int(size[1])), F.col("n0") / max(1, int(size[0])), (F.col("n1") + F.col("n0")) / max(1, int(size.sum()))
-    z = (p1 - p0) / F.sqrt(F.greatest(mean * (1 - mean), F.lit(1e-12)) * float((1 / size.clip(1)).sum()))
-    found = found.select("term", z.alias("z")).where((F.col("z") >= LEAST_Z) & (p1 >= LEAST_LIFT * p0)).orderBy(F.desc("z"), "term").limit(n_terms)
-    chosen = [t for t, _ in found.collect()]  # at most n_terms rows
-    known = np.sort(np.array(chosen, np.int64).view(np.uint64))
-    spanned = rows.join(F.broadcast(docs.sparkSession.createDataFrame([(t,) for t in chosen], "term long")), "term").select("doc_id", "term", "n").toArrow()
+    held = text.join(F.broadcast(sample), "doc_id").where(F.col("text").isNotNull()).groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    scratch = Scratch(spark)
+    rows = scratch.write(held.select("text", "toxic", "doc_id").mapInArrow(_example_terms, "doc_id long, toxic int, term long, n int"))
+    spares = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(CALIBRATION)) == 0
+    owners = rows.where("term is null").select("doc_id", "toxic", spares.alias("spare")).toArrow().sort_by("doc_id")
+    found = rows.where(F.col("term").isNotNull() & ~spares).select("doc_id", "term", "n").toArrow()
     scratch.drop(rows)
-    own = np.array([owners[d][0] for d in spanned.column("doc_id").to_pylist()], np.int64)
-    term, n = np.array(spanned.column("term").to_pylist(), np.int64).view(np.uint64), np.array(spanned.column("n").to_pylist(), np.int64)
-    place = np.searchsorted(known, term)
-    counts = text.select("text").mapInArrow(partial(_document_counts, known=known), "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    counts = dict(counts.collect())  # one number for each chosen term
-    idf = np.log((1 + counts.get(-1, 0)) / (1 + np.array([counts.get(i, 0) for i in range(len(known))], float))) + 1
+    ids, label, spare = (owners.column(c).to_numpy() for c in ("doc_id", "toxic", "spare"))
+    ids, label, kept_for_fit = ids[~spare], label[~spare], ids[spare]
+    term = found.column("term").to_numpy().view(np.uint64)
+    own, count = np.searchsorted(ids, found.column("doc_id").to_numpy()), found.column("n").to_numpy()
+    known, place = np.unique(term, return_inverse=True)
+    counted = text.select("text").mapInArrow(partial(_document_counts, known=known), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    frequency = np.zeros(1 + len(known) + (1 << BUCKET_BITS), np.int64)
+    frequency[counted.column("term").to_numpy() + 1] = counted.column("n").to_numpy()
+    idf = np.log((1 + frequency[0]) / (1 + np.minimum(frequency[1:], frequency[0]))) + 1
+    size = np.array([(label == 0).sum(), (label == 1).sum()])
+    share = size / max(1, size.sum())
+    held_by = [np.bincount(place[label[own] == c], minlength=len(known)) for c in (0, 1)]
+    shares = [(held_by[c] + SMOOTHING * share[c] + 1e-9) / (size[c] + 2 * SMOOTHING * share[c] + 2e-9) for c in (0, 1)]
+    relevance = LEAST_RELEVANCE + (np.log(shares[1] / shares[0]) ** 2 if size.all() else 1.0)
     stands_for = np.array([sizes.get(c, 0) / max(1, size[c]) for c in (0, 1)])
     prior = sizes.get(1, 0) / max(1, sum(sizes.values()))
-    model = Model(known, idf, None, None, prior, prior, k)
-    order = np.lexsort((place, own))
-    o, q, c = own[order], place[order], n[order]
-    full, begins = np.unique(o, return_index=True)
-    cuts = np.append(begins, len(o)).tolist()
-    vectors = [(q[a:b], model.vector(q[a:b], c[a:b])) for a, b in zip(cuts[:-1], cuts[1:])]
-    model.index = Index(vectors, label[full].astype(float), stands_for[label[full]], max(1, len(known)))
-    model.examples = np.array(list(owners), np.int64)[full]
-    empty = np.setdiff1d(np.arange(len(owners)), full)
-    weight = stands_for[label[empty]]
-    if len(empty):
-        model.empty_rate = float((weight @ label[empty] + PRIOR_WEIGHT * prior) / (weight.sum() + PRIOR_WEIGHT))
+    model = Model(known, (idf[: len(known)] * relevance).astype(np.float32), (idf[len(known) :] * LEAST_RELEVANCE).astype(np.float32), None, ids, prior, k)
+    own, place, value = model.vectors(own, term, count, len(ids))
+    top = np.full(len(ids), -1)  # an example's heaviest term: examples with the same one lie together, which tightens the bounds
+    by_weight = np.argsort(value, kind="stable")
+    top[own[by_weight]] = place[by_weight]
+    turn = np.lexsort((ids, top))
+    to = np.empty(len(ids), np.int64)
+    to[turn] = np.arange(len(ids))
+    model.index = Index(to[own], place, value, label[turn].astype(float), stands_for[label[turn]] if len(label) else np.zeros(0), len(known))
+    model.examples = ids[turn]
+    if len(kept_for_fit):
+        fit = spark.createDataFrame([(int(i),) for i in kept_for_fit], "doc_id long")
+        votes = scratch.write(held.join(F.broadcast(fit), "doc_id").select("doc_id", "text", "toxic").mapInArrow(partial(_score, model=model, evidence=0), "doc_id long, text string, toxic int, score double, evidence array<struct<doc_id: long, cosine: double, toxic: int>>").select("doc_id", "toxic", "score"))
+        votes = votes.toArrow().sort_by("doc_id")
+        y = votes.column("toxic").to_numpy()
+        per_class = np.array([sizes.get(c, 0) / max(1, (y == c).sum()) for c in (0, 1)])
+        model.knots = monotone(votes.column("score").to_numpy(), y, per_class[y], prior)
     return model
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model, evidence: int) -> Iterator[pa.RecordBatch]:
-    known: dict[bytes, tuple[float, np.ndarray, np.ndarray]] = {}
-    none = np.zeros(0, np.int64), np.zeros(0)
     for batch in batches:
         data, offsets = text_buffer(batch.column(1))
         for a, b in chunks(offsets):
-            doc, at, counts = _counted(data, offsets[a : b + 1], model.known)
+            doc, at, value = model.vectors(*_counted(data, offsets[a : b + 1]), b - a)
             cuts = np.searchsorted(doc, np.arange(b - a + 1)).tolist()
             scores, seen = [], []
             for s, e in zip(cuts[:-1], cuts[1:]):
-                score, found, cosines = model.empty_rate, *none
-                if e > s:
-                    key = at[s:e].tobytes() + counts[s:e].tobytes()
-                    if key not in known:
-                        if len(known) >= REMEMBERED:
-                            known.clear()
-                        score, found, cosines = model.score(at[s:e], counts[s:e])
-                        known[key] = score, found[:evidence].copy(), cosines[:evidence].copy()
-                    score, found, cosines = known[key]
-                scores.append(score)
-                seen.append([{"doc_id": int(model.examples[i]), "cosine": float(c), "toxic": int(model.index.labels[i])} for i, c in zip(found, cosines)])
+                vote, found, cosines = model.vote(at[s:e], value[s:e])
+                scores.append(model.calibrated(vote))
+                seen.append([{"doc_id": int(model.examples[i]), "cosine": float(c), "toxic": int(model.index.labels[i])} for i, c in zip(found[:evidence], cosines)])
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
             yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), pa.array(scores, pa.float64()), pa.array(seen, kind)], [*batch.schema.names, "score", "evidence"])
 
@@ -232,10 +278,12 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model, evidence: int) -> It
 def toxicity_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), evidence: int = 3) -> DataFrame:
     """(doc_id, text, *carry, score, evidence) of every whole text, one row for each row of docs.
 
-    score is between 0 and 1; a text without any chosen term, a null text included, gets the share of toxic rows among
-    such examples. evidence has the nearest examples with their cosines and labels. Ids and other columns are no
-    inputs. Rows with a null or repeated id are scored like any other.
+    score is the probability of label 1; a text without any term of an example, a null text included, gets that of
+    the labelled rows' share of 1. evidence has the nearest examples with their cosines and labels. Ids and other
+    columns are no inputs. Rows with a null or repeated id are scored like any other. carry names columns to hand
+    through; a name of the result is refused.
     """
+    refuse(carry, "doc_id", "text", "score", "evidence")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carry)
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return rows.mapInArrow(partial(_score, model=model, evidence=evidence), f"{types}, score double, evidence array<struct<doc_id: long, cosine: double, toxic: int>>")
