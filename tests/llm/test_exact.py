@@ -20,7 +20,7 @@ from tocsin.llm.license_scan import bodies, license_matches, license_sql
 from tocsin.llm.near_dup import near_duplicates, superminhash
 from tocsin.llm.packing import pack, pieces, sum_of_squares
 from tocsin.llm.piece_bpe import encode_pieces
-from tocsin.llm.quality import measures, quality_verdicts
+from tocsin.llm.quality import RULES, SHRINK, limits, measures, quality_verdicts
 from tocsin.llm.substring_dedup import remove_repeats
 from tocsin.llm.token_output import BLOCK, CHECKPOINT, LANES, Segment, encode_segment, read_tokens, write_tokens
 
@@ -112,7 +112,7 @@ def test_quality_limits_follow_the_source(spark):
     odd = [(2000, " ".join(f"cellzn{k} |" for k in range(30)), "en", "plain")]
     docs = spark.createDataFrame(prose + tables + odd, "doc_id long, text string, lang string, source string")
     gone = {r["doc_id"]: r["reason"] for r in quality_verdicts(docs).where("not kept").collect()}
-    assert gone == {2000: "symbol_ratio"}
+    assert gone == {2000: "symbol_share"}
 
 
 def test_junk_does_not_lift_its_own_limit(spark):
@@ -120,7 +120,72 @@ def test_junk_does_not_lift_its_own_limit(spark):
     junk = [(1000 + i, " ".join(f"cell{i}n{k} {'|' * (1 + i % 4)}" for k in range(30)), "en", "mixed") for i in range(100)]
     docs = spark.createDataFrame(prose + junk, "doc_id long, text string, lang string, source string")
     gone = {r["doc_id"]: r["reason"] for r in quality_verdicts(docs).where("not kept").collect()}
-    assert gone == {1000 + i: "symbol_ratio" for i in range(100)}
+    assert gone == {1000 + i: "symbol_share" for i in range(100)}
+
+
+def _measured(rng, lang, source, n, symbols):
+    words = np.maximum(20, rng.lognormal(5.5, 0.9, n).astype(int))
+    rows = zip(words.tolist(), (words * rng.normal(5, 0.3, n)).astype(int).tolist(), rng.binomial(words, symbols).tolist(), (rng.random(n) < 0.05).astype(int).tolist(), (16 * (rng.random(n) < 0.04)).astype(int).tolist())
+    return [(lang, source, *r, False) for r in rows]
+
+
+MEASURED = "lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
+
+
+def test_quality_limits_are_near_exact_quantiles(spark):
+    """Each limit lies between those from exact quantiles two percent of the ranks lower and higher; no group has the same limit."""
+    rng = np.random.default_rng(8)
+    groups = [("en", "a", 3000, 0.0), ("en", "b", 400, 0.02), ("de", "a", 30, 0.0), (None, "c", 1500, 0.001), ("de", None, 5, 0.1)]
+    rows = [r for g in groups for r in _measured(rng, *g)]
+    found = {(r["_lang"], r["_source"]): r for r in limits(spark.createDataFrame(rows, MEASURED).repartition(5)).collect()}
+    assert len(found) == len(groups)
+    value = {
+        "symbol_share": lambda t: np.log((t[:, 2] + 0.5) / (t[:, 0] + 1)), "duplicate_line_share": lambda t: np.log((t[:, 3] + 0.5) / (t[:, 0] + 1)),
+        "repeat_share": lambda t: np.log((t[:, 4] + 8) / (t[:, 0] + 16)), "word_length": lambda t: t[:, 1] / t[:, 0],
+    }
+    everything = np.array([r[2:7] for r in rows], float)
+    for name, (_, above, below) in RULES.items():
+        for (lang, source), limit in found.items():
+            nested = [everything, np.array([r[2:7] for r in rows if r[0] == lang], float), np.array([r[2:7] for r in rows if r[:2] == (lang, source)], float)]
+
+            def at(q, nested=nested, name=name):
+                x = [np.quantile(value[name](t), min(1.0, max(0.0, q)), method="inverted_cdf") for t in nested]
+                near = (len(nested[1]) * x[1] + SHRINK * x[0]) / (len(nested[1]) + SHRINK)
+                return (len(nested[2]) * x[2] + SHRINK * near) / (len(nested[2]) + SHRINK)
+
+            least, most = (above * at(0.75 + e) - (above - 1) * at(0.5 - e) for e in (-0.02, 0.02))
+            assert least - 1e-9 <= limit[f"{name}_most"] <= most + 1e-9
+            if below is not None:
+                least, most = (below * at(0.25 + e) - (below - 1) * at(0.5 - e) for e in (-0.02, 0.02))
+                assert least - 1e-9 <= limit[f"{name}_least"] <= most + 1e-9
+    assert len({round(r["symbol_share_most"], 6) for r in found.values()}) == len(groups)
+
+
+def test_quality_limits_move_with_a_source(spark):
+    """A small shift of one source's symbols moves its limit and others' far less."""
+    limit = {}
+    for share in (0.01, 0.02):
+        rows = _measured(np.random.default_rng(9), "en", "still", 2000, 0.01) + _measured(np.random.default_rng(10), "en", "moved", 2000, share)
+        limit[share] = {r["_source"]: r["symbol_share_most"] for r in limits(spark.createDataFrame(rows, MEASURED)).collect()}
+    assert limit[0.02]["moved"] != limit[0.01]["moved"] and abs(limit[0.02]["still"] - limit[0.01]["still"]) < 0.25 * abs(limit[0.02]["moved"] - limit[0.01]["moved"])
+
+
+def test_quality_verdicts_follow_the_limits(spark):
+    """kept against limits that are applied row by row."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = quality_verdicts(docs, carry=("lang", "source")).collect()
+    found = {(r["_lang"], r["_source"]): r for r in limits(spark.createDataFrame([(r["lang"], r["source"], *(r[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"))) for r in rows], MEASURED)).collect()}
+    for r in rows:
+        limit = found.get((r["lang"], r["source"]))
+        bad = r["base_failed"]
+        if not bad:
+            n = r["n_words"]
+            values = {"symbol_share": np.log((r["n_symbols"] + 0.5) / (n + 1)), "duplicate_line_share": np.log((r["n_dup_lines"] + 0.5) / (n + 1)), "repeat_share": np.log((r["n_repeat_words"] + 8) / (n + 16)), "word_length": r["word_chars"] / n}
+            bad = any(v > limit[f"{k}_most"] + 1e-12 for k, v in values.items()) or values["word_length"] < limit["word_length_least"] - 1e-12
+        assert r["kept"] == (not bad)
+    assert {r["kept"] for r in rows} == {True, False}
+    with pytest.raises(ValueError, match="result"):
+        quality_verdicts(docs, carry=("kept",))
 
 
 def test_tokens(spark, tmp_path):
