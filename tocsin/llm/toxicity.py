@@ -25,12 +25,12 @@ from pyspark.sql import functions as F
 from tocsin.llm.common import Scratch, chunks, hash_ranges, refuse, text_buffer
 
 #: Labelled examples of each class that are learnt from at most, and neighbours.
-EXAMPLES, NEIGHBOURS = 2000, 15
+EXAMPLES, NEIGHBOURS = 1500, 15
 #: One example of so many is for calibration.
 CALIBRATION = 5
 BLOCK = 64
 #: A term in at least 1 of so many examples lies in blocks, others have postings.
-FREQUENT = 16
+FREQUENT = 8
 BEGINNINGS = (5,)
 #: Documents of the average class mixture that are added to a term's counts, and the relevance of a term that tells nothing.
 SMOOTHING, LEAST_RELEVANCE = 5.0, 0.02
@@ -126,9 +126,9 @@ class Index:
         self.frequent[often] = np.arange(len(often))
         self.blocks = -(-self.n // BLOCK)
         rows = self.frequent[term]
-        self.table = np.zeros((len(often), self.blocks * BLOCK), np.float32)
-        self.table[rows[rows >= 0], example[rows >= 0]] = value[rows >= 0]
-        self.most = self.table.reshape(len(often), self.blocks, BLOCK).max(axis=2) if self.n else np.zeros((len(often), 0), np.float32)
+        self.table = np.zeros((self.blocks, len(often), BLOCK), np.float32)
+        self.table[example[rows >= 0] // BLOCK, rows[rows >= 0], example[rows >= 0] % BLOCK] = value[rows >= 0]
+        self.most = np.ascontiguousarray(self.table.max(axis=2).T) if self.n else np.zeros((len(often), 0), np.float32)
         rare = rows < 0
         order = np.lexsort((example[rare], term[rare]))
         self.example, self.value = example[rare][order].astype(np.int32), value[rare][order].astype(np.float32)
@@ -140,20 +140,19 @@ class Index:
         rare, often = row < 0, row >= 0
         begin, size = self.ptr[at[rare]], self.ptr[at[rare] + 1] - self.ptr[at[rare]]
         places = np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()) if rare.any() else np.zeros(0, np.int64)
-        rows, weight = row[often], value[often]
+        rows, weight = row[often], value[often].astype(np.float32)
         sums = np.bincount(self.example[places], np.repeat(value[rare], size) * self.value[places], minlength=self.blocks * BLOCK).reshape(self.blocks, BLOCK)
         bounds = weight @ self.most[rows] + sums.max(axis=1) if self.n else np.zeros(0)
         order = np.argsort(-bounds, kind="stable")
         order = order[bounds[order] > 0]
-        found, scores, opened, wave = np.zeros(0, np.int64), np.zeros(0), 0, 2
+        found, scores, opened, wave = np.zeros(0, np.int64), np.zeros(0), 0, 4
         while opened < len(order) and (len(found) < k or bounds[order[opened]] >= scores[-1] - 1e-5):
             now = order[opened : opened + wave]
             if len(found) == k:
                 now = now[bounds[now] >= scores[-1] - 1e-5]
-            columns = (now[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            own = np.round(weight @ self.table[rows[:, None], columns] + sums[now].ravel(), 6)
-            hit = np.flatnonzero(own > 0)
-            found, scores = np.concatenate([found, columns[hit]]), np.concatenate([scores, own[hit]])
+            own = np.round(weight @ self.table[now[:, None], rows] + sums[now], 6)
+            x, y = np.nonzero(own > max(0.0, scores[-1] - 1e-6 if len(found) == k else 0.0))
+            found, scores = np.concatenate([found, now[x] * BLOCK + y]), np.concatenate([scores, own[x, y]])
             best = np.lexsort((found, -scores))[:k]
             found, scores, opened, wave = found[best], scores[best], opened + len(now), 2 * wave
         return found, scores, opened
