@@ -64,6 +64,9 @@ def test_substring_dedup(spark):
     assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in short.collect()) == Counter(cases.repeats(rows, 3))
     with pytest.raises(ValueError, match="result"):
         remove_repeats(cases.messy(spark, rows), carry=("chunk",))
+    alike = [(None if i % 3 else 7, " ".join(f"n{i % 40}w{k}" for k in range(20))) for i in range(240)]  # one id, or none, on all rows
+    found = remove_repeats(cases.messy(spark, alike), chunk_bytes=3000).collect()
+    assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in found) == Counter(cases.repeats(alike, 13))
 
 
 @pytest.mark.parametrize(("shingle", "percent"), [(4, 80), (5, 80)])

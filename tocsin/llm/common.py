@@ -169,14 +169,14 @@ def hash_ranges(buffer: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bo
     return out
 
 
-def windows(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the `size` words from each word on, and whether they lie in one document."""
+def windows(words: Words, size: int, multiplier: int = 0xD6E8FEB86659FD93) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the `size` words from each word on, and whether they lie in one document. Other multipliers give other hashes."""
     n = len(words.hash)
     if n < size:
         return np.zeros(n, np.uint64), np.zeros(n, bool)
     total = np.zeros(n - size + 1, np.uint64)
     for j in range(size):
-        total = total * np.uint64(0xD6E8FEB86659FD93) + words.hash[j : n - size + 1 + j]
+        total = total * np.uint64(multiplier) + words.hash[j : n - size + 1 + j]
     hashes = np.zeros(n, np.uint64)
     hashes[: n - size + 1] = mix(total + np.uint64(size))
     fits = np.arange(n) + size <= np.repeat(words.ptr[1:], np.diff(words.ptr))

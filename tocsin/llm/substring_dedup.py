@@ -5,7 +5,10 @@ windows have equal seeds. Documents are joined on seeds first; only around a see
 matches extended to the left and right, window by window, to the first document that holds the same words. Windows
 that follow one another make maximal repeats, whose words go.
 
-Texts are dealt once into chunks of a few megabytes by a hash of their id. A chunk sends each seed or window only
+Windows are equal when two independent 64-bit hashes are, so false matches stay out of reach at any size.
+
+Texts are dealt once into chunks of a few megabytes by a hash of id and text, so neither copies nor rows without an id
+meet in one, and chunks to partitions whose number grows with the text. A chunk sends each seed or window only
 once, however many of its documents hold it, as packed arrays for ranges of hash values, and gets one bit for each
 back; so a passage that a third of all documents share costs one entry for each chunk. No chunk, range or answer
 grows with a group of copies, and no pair of documents is ever listed.
@@ -23,12 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tocsin.llm.common import Words, split_words, text_buffer, windows
+from tocsin.llm.common import Words, refuse, split_words, text_buffer, windows
 
 SEED_WORDS = 6
 CHUNK_BYTES = 2 << 20
 #: A range of hash values gets the seeds or windows of about so much text.
 RANGE_BYTES = 64 << 20
+#: A partition gets about so much text.
+PARTITION_BYTES = 96 << 20
+_SECOND = 0xA24BAED4963EE407
 _LAST = np.iinfo(np.int64).max
 
 
@@ -68,14 +74,20 @@ def _read(table: pa.Table, length: int) -> _Chunk:
     return _Chunk(texts, words, ids[order], seed[at], at, order)
 
 
-def _groups(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A stable order of x, and where each distinct value begins in it."""
-    order = np.argsort(x, kind="stable")
-    x = x[order]
-    return order, np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A stable order by the keys, and where each distinct one begins in it."""
+    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
+    if not len(order):
+        return order, np.zeros(0, np.int64)
+    new = np.zeros(len(order), bool)
+    new[0] = True
+    for x in keys:
+        x = x[order]
+        new[1:] |= x[1:] != x[:-1]
+    return order, np.flatnonzero(new)
 
 
-def _dealt(chunk: int, values: np.ndarray, firsts: np.ndarray, ranges: int) -> pa.Table:
+def _dealt(chunk: int, values: np.ndarray, seconds: np.ndarray, firsts: np.ndarray, ranges: int) -> pa.Table:
     """One row for each range of hash values that the ascending values fall in."""
     of = ((values >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
     begins = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
@@ -83,20 +95,21 @@ def _dealt(chunk: int, values: np.ndarray, firsts: np.ndarray, ranges: int) -> p
     cuts = list(zip(begins.tolist(), ends))
     return pa.table({
         "range": pa.array(of[begins], pa.int64()), "chunk": pa.array(np.full(len(begins), chunk), pa.int64()),
-        "entries": pa.array([values[a:b].tobytes() for a, b in cuts], pa.binary()), "firsts": pa.array([firsts[a:b].tobytes() for a, b in cuts], pa.binary()),
+        "entries": pa.array([values[a:b].tobytes() for a, b in cuts], pa.binary()), "seconds": pa.array([seconds[a:b].tobytes() for a, b in cuts], pa.binary()),
+        "firsts": pa.array([firsts[a:b].tobytes() for a, b in cuts], pa.binary()),
     })
 
 
 def _seeds(table: pa.Table, length: int, ranges: int) -> pa.Table:
     chunk = _read(table, length)
-    return _dealt(table.column("chunk")[0].as_py(), np.unique(chunk.seed), np.zeros(0, np.int64), ranges)
+    return _dealt(table.column("chunk")[0].as_py(), np.unique(chunk.seed), np.zeros(0, np.uint64), np.zeros(0, np.int64), ranges)
 
 
 def _answers(table: pa.Table, step: int) -> pa.Table:
     """A bit for each entry: another chunk has it too (step 1), or a document before this chunk's first has it (step 2)."""
     parts = [np.frombuffer(x, np.uint64) for x in table.column("entries").to_pylist()]
     values = np.concatenate(parts)
-    order, begins = _groups(values)
+    order, begins = _groups(values) if step == 1 else _groups(values, np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("seconds").to_pylist()]))
     if step == 1:
         found = np.diff([*begins.tolist(), len(values)]) > 1
         bits = np.repeat(found, np.diff([*begins.tolist(), len(values)]))
@@ -116,8 +129,8 @@ def _bits(answers: pa.Table, step: int) -> np.ndarray:
     return np.concatenate([np.zeros(0, bool), *(np.unpackbits(np.frombuffer(r["mask"], np.uint8), count=r["n"]).astype(bool) for r in rows)])
 
 
-def _shared_windows(chunk: _Chunk, answers: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Windows whose seed two documents share: positions, order by hash, where distinct ones begin, and the distinct hashes."""
+def _shared_windows(chunk: _Chunk, answers: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows whose seed two documents share: positions, order by hash, where distinct ones begin, and both hashes of these."""
     order, begins = _groups(chunk.seed)
     ends = np.array([*begins[1:].tolist(), len(order)], np.int64)
     doc = chunk.words.doc()[chunk.at]
@@ -125,21 +138,21 @@ def _shared_windows(chunk: _Chunk, answers: pa.Table, length: int) -> tuple[np.n
     shared = np.empty(len(order), bool)
     shared[order] = np.repeat(here | _bits(answers, 1), ends - begins)
     at = chunk.at[shared]
-    hashes = windows(chunk.words, length)[0][at]
-    order, begins = _groups(hashes)
-    return at, order, begins, hashes[order[begins]]
+    one, two = windows(chunk.words, length)[0][at], windows(chunk.words, length, _SECOND)[0][at]
+    order, begins = _groups(one, two)
+    return at, order, begins, one[order[begins]], two[order[begins]]
 
 
 def _extend(table: pa.Table, answers: pa.Table, length: int, ranges: int) -> pa.Table:
     chunk = _read(table, length)
-    at, order, begins, distinct = _shared_windows(chunk, answers, length)
+    at, order, begins, one, two = _shared_windows(chunk, answers, length)
     firsts = chunk.ids[chunk.words.doc()[at[order[begins]]]]  # documents ascend, and the order is stable
-    return _dealt(table.column("chunk")[0].as_py(), distinct, firsts, ranges)
+    return _dealt(table.column("chunk")[0].as_py(), one, two, firsts, ranges)
 
 
 def _remove(table: pa.Table, answers: pa.Table, length: int, as_is: bool) -> pa.Table:
     chunk = _read(table, length)
-    at, order, begins, distinct = _shared_windows(chunk, answers, length)
+    at, order, begins, _, _ = _shared_windows(chunk, answers, length)
     n, ids = len(chunk.words.hash), chunk.ids[chunk.words.doc()[at]]
     each = np.diff([*begins.tolist(), len(order)])
     gone = np.empty(len(order), bool)
@@ -180,15 +193,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     aren't earlier than each other. Texts with fewer words than a window lose none. carry names columns to hand
     through; a name that the result uses is refused, other columns are ignored.
     """
-    if set(carry) & {"doc_id", "text", "chunk", "kept_text", "n_words", "n_removed", "spans"}:
-        raise ValueError("carry holds a name of the result")
+    refuse(carry, "doc_id", "text", "chunk", "kept_text", "n_words", "n_removed", "spans")
     spark = docs.sparkSession
     total = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()[0]
-    n_chunks = max(-(-total // chunk_bytes), 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranges = max(-(-total // RANGE_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    doc_id = F.col(id_col).cast("long")
-    texts = docs.select(F.pmod(F.xxhash64(doc_id), F.lit(n_chunks)).alias("chunk"), doc_id.alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carry)
-    entries, answer = "range long, chunk long, entries binary, firsts binary", "chunk long, step int, range long, n long, mask binary"
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions, n_chunks, ranges = max(-(-total // PARTITION_BYTES), least), max(-(-total // chunk_bytes), 2 * least), max(-(-total // RANGE_BYTES), least)
+    doc_id, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    texts = docs.select(F.pmod(F.xxhash64(doc_id, text), F.lit(n_chunks)).alias("chunk"), doc_id.alias("doc_id"), text.alias("text"), *carry).repartition(partitions, "chunk")
+    entries, answer = "range long, chunk long, entries binary, seconds binary, firsts binary", "chunk long, step int, range long, n long, mask binary"
     by_chunk = texts.groupBy("chunk")
 
     def seeds(table: pa.Table) -> pa.Table:
