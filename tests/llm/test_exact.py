@@ -15,7 +15,7 @@ from tests.llm import cases
 from tocsin.llm import queries
 from tocsin.llm.common import Scratch
 from tocsin.llm.components import components, union_find
-from tocsin.llm.embedding_dedup import near_vectors
+from tocsin.llm.embedding_dedup import learn_rotation, near_vectors
 from tocsin.llm.license_scan import bodies, license_matches, license_sql
 from tocsin.llm.near_dup import near_duplicates, superminhash
 from tocsin.llm.packing import pack, pieces, sum_of_squares
@@ -327,6 +327,34 @@ def test_near_vectors(spark):
     assert near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("dims", "lean"), [(32, 0.0), (64, 0.7), (128, 0.5)])
+def test_near_vectors_recall(spark, dims, lean):
+    """Links found by the tables against brute force, also where all vectors lean one way; exact finds all of them."""
+    rng = np.random.default_rng(dims)
+    toward = np.ones(dims) / dims**0.5
+    x = rng.normal(size=(700, dims))
+    x = lean**0.5 * toward + (1 - lean) ** 0.5 * x / np.linalg.norm(x, axis=1, keepdims=True)
+    step = rng.normal(size=x.shape)
+    step /= np.linalg.norm(step, axis=1, keepdims=True)
+    x = np.concatenate([x, x + step * rng.uniform(0.0, 0.2, (700, 1))])
+    x = np.concatenate([x, x[:1] + rng.normal(size=(400, dims)) * 0.02 / dims**0.5])  # near copies that share a cell
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.98
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").withColumn("label", F.lit(1))
+    exact = {r["vec_id"]: r["n_links"] for r in near_vectors(df, exact=True, block=64).collect()}
+    assert [exact[i] for i in range(len(x))] == near.sum(axis=1).tolist()
+    found = {r["vec_id"]: r["n_links"] for r in near_vectors(df, block=64).collect()}
+    alone = near.sum(axis=1) < 100
+    recall = sum(found[i] for i in np.flatnonzero(alone).tolist()) / near[alone].sum()
+    print(f"recall at {dims} dimensions, lean {lean}: {recall:.4f}")
+    assert 0.95 <= recall <= 1 and sum(found.values()) >= 0.99 * near.sum()
+    _, projection, _ = learn_rotation(unit)
+    codes = (unit[:700] - unit.mean(axis=0)) @ projection > 0
+    apart = (codes[:, None, :] != codes[None]).reshape(700, 700, 4, 16).sum(axis=3)
+    assert ((apart <= 1).any(axis=2)).mean() < 0.02  # tables don't make cells of unrelated vectors meet
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_registered_query_matches_sql(spark, name):
     sf = "/root/testdata/sf0.001"

@@ -1,13 +1,15 @@
 """Near-duplicate vectors by iterative quantisation and multi-index Hamming tables.
 
 A rotation of the principal components is learnt from a bounded sample so that signs make balanced binary codes
-(Gong et al., "Iterative quantization", 2013). Codes are split into TABLES substrings; two codes are compared when
-some substring differs in at most one bit, which finds every pair of codes at a Hamming distance below
-2 * TABLES (Norouzi et al., "Fast exact search in Hamming space with multi-index hashing", 2014).
+(Gong et al., "Iterative quantization", 2013); vectors with fewer dimensions than BITS get several rotations. Codes are
+split into TABLES substrings; two codes are compared when some substring differs in at most one bit, which finds every
+pair of codes at a Hamming distance below 2 * TABLES (Norouzi et al., "Fast exact search in Hamming space with
+multi-index hashing", 2014). Codes don't bound cosines, so links may be lost; `exact` uses cells of a grid over three
+principal components instead, whose width no linked pair exceeds.
 
 Equal vectors are folded into one row with a count first. Rows of one code make a cell, kept in blocks of about BLOCK
-vectors. Only pairs of cells are joined, and each pair of their blocks is compared by one product of matrices in
-double precision, which returns counts and a spanning forest of the links, never the links themselves.
+vectors, and pairs of blocks are dealt one by one, so a cell of near copies is spread. Each pair is compared by one
+product of matrices in double precision, which returns counts and a spanning forest of the links, never the links.
 """
 
 from __future__ import annotations
@@ -25,24 +27,38 @@ from tocsin.llm.components import components
 
 BITS, TABLES = 64, 4
 SAMPLE, ROUNDS = 8192, 40
-BLOCK = 128
+BLOCK = 256
+#: Parts over which the rows of one cell are spread while they get their blocks.
+SALTS = 32
+GRID_AXES, GRID_BITS = 3, 10
 #: Codes of a pair at the threshold differ in about BITS * acos(0.98) / pi = 4 bits; cells further apart than this aren't compared.
 MOST_BITS = 20
 
 
-def learn_rotation(sample: np.ndarray, rounds: int = ROUNDS, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and projection (dimensions x BITS) of unit vectors; fewer dimensions than BITS are padded with zeros."""
+def _rotated(shown: np.ndarray, rounds: int, rng: np.random.Generator) -> np.ndarray:
+    """A rotation that brings the rows of `shown` close to the corners of a cube, from a random one."""
+    rotation = np.linalg.qr(rng.normal(size=(shown.shape[1], shown.shape[1])))[0]
+    for _ in range(rounds):
+        u, _, vt = np.linalg.svd(np.where(shown @ rotation >= 0, 1.0, -1.0).T @ shown)
+        rotation = (u @ vt).T
+    return rotation
+
+
+def learn_rotation(sample: np.ndarray, rounds: int = ROUNDS, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean of unit vectors, their projection (dimensions x BITS), and their first principal axes for a grid."""
     mean = sample.mean(axis=0)
     centred = sample - mean
     _, basis = np.linalg.eigh(centred.T @ centred)
     basis = basis[:, ::-1][:, :BITS]
-    shown = centred @ basis
-    rng = np.random.default_rng(seed)
-    rotation = np.linalg.qr(rng.normal(size=(basis.shape[1], basis.shape[1])))[0]
-    for _ in range(rounds):
-        u, _, vt = np.linalg.svd(np.where(shown @ rotation >= 0, 1.0, -1.0).T @ shown)
-        rotation = (u @ vt).T
-    return mean, basis @ rotation
+    shown, rng = centred @ basis, np.random.default_rng(seed)
+    turns = -(-BITS // basis.shape[1])
+    return mean, np.concatenate([basis @ _rotated(shown, rounds, rng) for _ in range(turns)], axis=1)[:, :BITS], basis[:, :GRID_AXES]
+
+
+def _unlearnt(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As learn_rotation for vectors of a length that isn't the usual one: random directions."""
+    rng = np.random.default_rng(size)
+    return np.zeros(size), rng.normal(size=(size, BITS)), np.linalg.qr(rng.normal(size=(size, min(size, GRID_AXES))))[0]
 
 
 def _unit(rows: list, n: int) -> np.ndarray:
@@ -51,14 +67,20 @@ def _unit(rows: list, n: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _code(batches: Iterator[pa.RecordBatch], at: int, mean: np.ndarray, projection: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _code(batches: Iterator[pa.RecordBatch], at: int, learnt: tuple[np.ndarray, np.ndarray, np.ndarray], width: float | None) -> Iterator[pa.RecordBatch]:
+    """Adds `code`: signs of the projection, or with a width the cell of a grid."""
     for batch in batches:
         rows = batch.column(at).to_pylist()
-        codes = np.zeros(len(rows), np.uint64)
-        own = np.array([i for i, r in enumerate(rows) if len(r) == len(mean)], np.int64)
-        if len(own):
-            bits = (_unit([rows[i] for i in own], len(mean)) - mean) @ projection > 0
-            codes[own] = (bits.astype(np.uint64) << np.arange(bits.shape[1], dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+        codes, sizes = np.zeros(len(rows), np.uint64), np.array([len(r) for r in rows], np.int64)
+        for size in np.unique(sizes).tolist():
+            own = np.flatnonzero(sizes == size)
+            mean, projection, axes = learnt if size == len(learnt[0]) else _unlearnt(size)
+            x = _unit([rows[i] for i in own], size) - mean
+            if width is None:
+                codes[own] = ((x @ projection > 0).astype(np.uint64) << np.arange(BITS, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+            else:
+                cell = np.floor(x @ axes / width).astype(np.int64) + (1 << GRID_BITS - 1)
+                codes[own] = (cell << GRID_BITS * np.arange(cell.shape[1])).sum(axis=1).view(np.uint64)
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes.view(np.int64))], [*batch.schema.names, "code"])
 
 
@@ -97,14 +119,36 @@ def _sub(code: Column, table: int) -> Column:
     return F.shiftrightunsigned(code, table * BITS // TABLES).bitwiseAND(F.lit((1 << BITS // TABLES) - 1))
 
 
-def near_vectors(table: DataFrame, least: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str | None = "label", block: int = BLOCK) -> DataFrame:
+def _near_codes(cells: DataFrame) -> DataFrame:
+    """Pairs (label, size, code_a < code_b) of cells that some table finds, each once."""
+    subs = F.array(*(F.struct(F.lit(t).alias("table"), _sub(F.col("code"), t).alias("sub")) for t in range(TABLES)))
+    home = cells.select("label", "size", F.col("code").alias("code_b"), F.explode(subs).alias("s")).select("label", "size", "code_b", "s.table", "s.sub")
+    probes = F.array(F.lit(0).cast("long"), *(F.lit(1 << b).cast("long") for b in range(BITS // TABLES)))
+    asked = cells.select("label", "size", F.col("code").alias("code_a"), F.explode(subs).alias("s")).select("label", "size", "code_a", "s.table", "s.sub", F.explode(probes).alias("flip"))
+    asked = asked.select("label", "size", "code_a", "table", F.col("sub").bitwiseXOR(F.col("flip")).alias("sub"))
+    apart = F.col("code_a").bitwiseXOR(F.col("code_b"))
+    first = F.coalesce(*(F.when(F.bit_count(_sub(apart, t)) <= 1, t) for t in range(TABLES)))  # a pair counts in its first table alone
+    pairs = asked.join(home, ["label", "size", "table", "sub"]).where((F.col("code_a") < F.col("code_b")) & (F.bit_count(apart) <= MOST_BITS) & (first == F.col("table")))
+    return pairs.select("label", "size", "code_a", "code_b")
+
+
+def _near_grid(cells: DataFrame) -> DataFrame:
+    """Pairs of neighbouring cells of the grid, each once."""
+    steps = [x + (y << GRID_BITS) + (z << 2 * GRID_BITS) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1)]
+    next_to = F.explode(F.array(*(F.lit(s).cast("long") for s in steps if s > 0)))
+    asked = cells.select("label", "size", F.col("code").alias("code_a"), next_to.alias("step")).withColumn("code_b", F.col("code_a") + F.col("step"))
+    return asked.join(cells.select("label", "size", F.col("code").alias("code_b")), ["label", "size", "code_b"]).select("label", "size", "code_a", "code_b")
+
+
+def near_vectors(table: DataFrame, least: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str | None = "label", block: int = BLOCK, exact: bool = False) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row for each row of table.
 
     Vectors are linked when their labels are equal and not null (label_col None: always) and their cosine is at least
     `least`; component_id is the smallest id reachable by links, kept says that it is the vector's own. A vector that
     is null, empty, zero, or holds null or non-finite components is linked with nothing; vectors of different lengths
     are never linked. A row with a null id is linked with nothing, has a null component and is kept. Rows that repeat
-    an id are links of each other if their vectors are close, and share the component.
+    an id are links of each other if their vectors are close, and share the component. Other columns are ignored.
+    exact finds all links, at the cost of more comparisons.
     """
     spark = table.sparkSession
     scratch = Scratch(spark)
@@ -120,31 +164,32 @@ def near_vectors(table: DataFrame, least: float = 0.98, id_col: str = "vec_id",
     sample = folded.orderBy(F.xxhash64("rep", F.lit(3)), "rep").limit(SAMPLE).select("vector").toArrow().column("vector").to_pylist()  # a bounded sample
     sizes = [len(v) for v in sample]
     usual = max(set(sizes), key=sizes.count) if sizes else 1
-    mean, projection = learn_rotation(_unit([v for v in sample if len(v) == usual], usual)) if sizes else (np.zeros(1), np.zeros((1, 1)))
+    learnt = learn_rotation(_unit([v for v in sample if len(v) == usual], usual)) if sizes else _unlearnt(1)
+    width = max(2 - 2 * least, 1e-4) ** 0.5 * (1 + 1e-6) if exact else None
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in folded.schema.fields)
-    coded = scratch.write(folded.mapInArrow(partial(_code, at=folded.columns.index("vector"), mean=mean, projection=projection), f"{types}, code long"))
+    coded = scratch.write(folded.mapInArrow(partial(_code, at=folded.columns.index("vector"), learnt=learnt, width=width), f"{types}, code long"))
     names = scratch.write(folded.select(*key, "rep", "copies"))
     scratch.drop(folded)
 
     cell = ["label", "size", "code"]
-    cells = scratch.write(coded.groupBy(*cell).agg(F.count("*").alias("n")))
-    blocks = coded.join(cells.where(F.col("n") > block), cell, "left").withColumn("block", F.pmod(F.xxhash64("rep"), F.coalesce(F.ceil(F.col("n") / block), F.lit(1))))
+    cells = scratch.write(coded.groupBy(*cell).agg(F.count("*").alias("n")).select(*cell, "n", F.ceil(F.col("n") / block).alias("blocks")))
+    large = cells.where("blocks > 1").select(*cell, "blocks", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = coded.withColumn("salt", F.pmod(F.xxhash64("rep", F.lit(23)), F.lit(SALTS)).cast("int")).hint("merge")
+    blocks = salted.join(large, [*cell, "salt"], "left").withColumn("block", F.pmod(F.xxhash64("rep"), F.coalesce("blocks", F.lit(1))))
     blocks = scratch.write(blocks.groupBy(*cell, "block").agg(F.collect_list(F.struct("rep", "copies", "vector")).alias("rows")))
 
-    subs = F.array(*(F.struct(F.lit(t).alias("table"), _sub(F.col("code"), t).alias("sub")) for t in range(TABLES)))
-    home = cells.select("label", "size", F.col("code").alias("code_b"), F.explode(subs).alias("s")).select("label", "size", "code_b", "s.table", "s.sub")
-    probes = F.array(F.lit(0).cast("long"), *(F.lit(1 << b).cast("long") for b in range(BITS // TABLES)))
-    asked = cells.select("label", "size", F.col("code").alias("code_a"), F.explode(subs).alias("s")).select("label", "size", "code_a", "s.table", "s.sub", F.explode(probes).alias("flip"))
-    asked = asked.select("label", "size", "code_a", "table", F.col("sub").bitwiseXOR(F.col("flip")).alias("sub"))
-    apart = F.col("code_a").bitwiseXOR(F.col("code_b"))
-    first = F.coalesce(*(F.when(F.bit_count(_sub(apart, t)) <= 1, t) for t in range(TABLES)))  # a pair counts in its first table alone
-    pairs = asked.join(home, ["label", "size", "table", "sub"]).where((F.col("code_a") < F.col("code_b")) & (F.bit_count(apart) <= MOST_BITS) & (first == F.col("table")))
-    pairs = pairs.select("label", "size", "code_a", "code_b").union(cells.where("n > 1").select("label", "size", "code", "code"))
-    side = lambda x: blocks.select("label", "size", F.col("code").alias(f"code_{x}"), F.col("block").alias(f"block_{x}"), F.col("rows").alias(f"rows_{x}"))
-    met = scratch.write(pairs).join(side("a"), ["label", "size", "code_a"]).join(side("b"), ["label", "size", "code_b"]).where("code_a <> code_b or block_a <= block_b")
+    pairs = (_near_grid if exact else _near_codes)(cells)
+    written = scratch.write(pairs.union(cells.where("n > 1").select("label", "size", "code", "code")))
+    n_blocks = lambda x: cells.select("label", "size", F.col("code").alias(f"code_{x}"), F.col("blocks").alias(f"n_{x}"))
+    pairs = written.join(n_blocks("a"), ["label", "size", "code_a"]).join(n_blocks("b"), ["label", "size", "code_b"])
+    pairs = pairs.withColumn("block_a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_a") - 1)))
+    side = lambda x: blocks.select("label", "size", F.col("code").alias(f"code_{x}"), F.col("block").alias(f"block_{x}"), F.col("rows").alias(f"rows_{x}")).hint("merge")
+    met = pairs.join(side("a"), ["label", "size", "code_a", "block_a"])
+    start = F.when(F.col("code_a") == F.col("code_b"), F.col("block_a")).otherwise(F.lit(0).cast("long"))
+    met = met.withColumn("block_b", F.explode(F.sequence(start, F.col("n_b") - 1))).join(side("b"), ["label", "size", "code_b", "block_b"])
     same = (F.col("code_a") == F.col("code_b")) & (F.col("block_a") == F.col("block_b"))
     found = scratch.write(met.select(same.alias("same"), "rows_a", "rows_b").mapInArrow(partial(_compare, least=least), "kind int, a long, b long"))
-    scratch.drop(coded, blocks)
+    scratch.drop(coded, blocks, written)
 
     groups = components(found.where("kind = 1").select("a", "b"), scratch)
     links = found.where("kind = 0").groupBy(F.col("a").alias("rep")).agg(F.sum("b").alias("links"))
