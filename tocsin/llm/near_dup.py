@@ -9,7 +9,8 @@ Documents with equal shingle sets are folded into one class before anything is j
 bands with the same members count once. In a bucket, one pivot is compared with the other members first, which connects
 most of a group of near copies at the cost of one comparison each. Then whoever isn't connected with a bucket's largest
 group is compared with all that it isn't connected with, in blocks by products of incidence matrices, so that only close
-pairs leave a task. For pivots, pairs whose signatures, cut to four bits a place, differ in
+pairs leave a task. Members meet a pivot in parts, blocks meet one by one, and a pivot's set is sent once for each part, so
+that no task gets a whole bucket. For pivots, pairs whose signatures, cut to four bits a place, differ in
 more places than a pair at the threshold would at five standard deviations, aren't candidates.
 """
 
@@ -33,6 +34,8 @@ FEW_PAIRS = 8
 DEVIATIONS = 5.0
 #: Rows of a bucket that are compared with others at once.
 BLOCK = 64
+#: Rows of a bucket that meet its pivot in one part, and parts over which any band's rows are spread before its size is known.
+PART, SALTS = 256, 32
 _FRACTION_BITS = 40
 
 
@@ -146,10 +149,20 @@ def _close(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs(a, b) whose sets have 100 * intersection >= percent * union."""
-    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("items").alias("a_items")), "a").join(sets.select(F.col("rep").alias("b"), F.col("items").alias("b_items")), "b")
-    sizes = both.select("a", "b", (F.size("a_items") + F.size("b_items")).alias("total"), F.size(F.array_intersect("a_items", "b_items")).alias("common"))
-    return sizes.where(100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).select("a", "b")
+    """Those of pairs(hub, other, part) whose sets have 100 * intersection >= percent * union, as links (a, b).
+
+    A hub may have many pairs; its set goes once to each of their parts.
+    """
+    items = lambda x: sets.select(F.col("rep").alias(x), F.col("items").alias(f"{x}_items"))
+    hubs = pairs.select("hub", "part").distinct().join(items("hub"), "hub")
+    both = pairs.join(items("other"), "other").join(hubs.hint("merge"), ["hub", "part"])
+    sizes = both.select("hub", "other", (F.size("hub_items") + F.size("other_items")).alias("total"), F.size(F.array_intersect("hub_items", "other_items")).alias("common"))
+    near = sizes.where(100 * F.col("common") >= percent * (F.col("total") - F.col("common")))
+    return near.select(F.least("hub", "other").alias("a"), F.greatest("hub", "other").alias("b"))
+
+
+def _parts(n: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(n / PART) - 1))
 
 
 def near_duplicates(
@@ -172,11 +185,12 @@ def near_duplicates(
     sketches = scratch.write(sketched.select("doc_id", *key))
     scratch.drop(sketched)
 
-    rows_ = classes.select(F.explode("own.bands").alias("band"), "rep")
+    rows_ = classes.select(F.explode("own.bands").alias("band"), "rep").withColumn("salt", F.pmod(F.xxhash64("rep", F.lit(41)), F.lit(SALTS)).cast("int"))
     shared = rows_.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("first"), F.bit_xor(F.xxhash64("rep")).alias("members")).where("n > 1")
-    shared = shared.groupBy("n", "first", "members").agg(F.min("band").alias("band")).select("band")
-    buckets = rows_.join(shared, "band").join(classes.select("rep", "n_shingles", "own.places"), "rep")
-    buckets = scratch.write(buckets.select("band", "rep", "n_shingles", "places"))
+    shared = shared.groupBy("n", "first", "members").agg(F.min("band").alias("band"))
+    shared = shared.select("band", F.col("n").alias("size"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    buckets = rows_.join(shared, ["band", "salt"]).join(classes.select("rep", "n_shingles", "own.places"), "rep")
+    buckets = scratch.write(buckets.select("band", F.pmod(F.xxhash64("rep", F.lit(43)), F.ceil(F.col("size") / PART)).alias("part"), "rep", "n_shingles", "places"))
     ids = buckets.select(F.col("rep").alias("doc_id")).distinct()
     sets = scratch.write(text.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(partial(_sets, shingle=shingle, fold=fold), "rep long, items array<long>, brief binary"))
 
@@ -214,20 +228,25 @@ def near_duplicates(
                 break
             last = pairs_left <= FEW_PAIRS * n or (before is not None and 2 * pairs_left > before)
             before = pairs_left
-        here = labelled.join(open_, "band")
+        meet = open_.withColumn("part", _parts(F.col("n")))
         if last:
-            block = F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK))
-            rows_of = lambda df, x: df.groupBy("band", block.alias(f"{x}_block")).agg(F.collect_list(F.struct("rep", "group", "brief")).alias(x))
-            full = here.join(sets.select("rep", "brief"), "rep")
-            met = rows_of(full.where("group <> largest"), "x").join(rows_of(full, "y"), "band").select("x", "y")
+            here = labelled.join(meet, ["band", "part"]).join(sets.select("rep", "brief"), "rep")
+            block = lambda of: F.pmod(F.xxhash64("rep"), F.ceil(F.col(of) / BLOCK))
+            rows_of = lambda df, of, x, *more: df.groupBy("band", block(of).alias(f"{x}_block")).agg(F.collect_list(F.struct("rep", "group", "brief")).alias(x), *more)
+            xs = rows_of(here.where("group <> largest"), "outside", "x", F.first("n").alias("n"))
+            xs = xs.withColumn("y_block", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / BLOCK) - 1)))
+            met = xs.join(rows_of(here, "n", "y"), ["band", "y_block"]).select("x", "y")
             pairs = met.mapInArrow(partial(_close, percent=percent), "a long, b long").distinct()
+            pairs = pairs.select(F.col("a").alias("hub"), F.col("b").alias("other"), F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("part"))
         else:
-            met = labelled.select("band", F.struct("rep", "n_shingles", "places", "group").alias("x")).join(open_.select("band", "pivot_group", F.col("pivot").alias("y")), "band")
+            met = labelled.select("band", "part", F.struct("rep", "n_shingles", "places", "group").alias("x")).join(meet.select("band", "part", "pivot_group", F.col("pivot").alias("y")), ["band", "part"])
             met = met.where((F.col("x.group") != F.col("pivot_group")) & candidate("x", "y"))
-            pairs = met.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-        pairs = scratch.write(pairs.join(tested, ["a", "b"], "left_anti") if tested else pairs)
-        tested = tested.union(pairs) if tested else pairs
-        found = scratch.write(_confirm(pairs, sets, percent))
+            pairs = met.groupBy(F.col("y.rep").alias("hub"), F.col("x.rep").alias("other")).agg(F.min("part").alias("part"))
+        least, most = F.least("hub", "other").alias("a"), F.greatest("hub", "other").alias("b")
+        pairs = scratch.write((pairs.select("*", least, most).join(tested, ["a", "b"], "left_anti") if tested else pairs).select("hub", "other", "part"))
+        now = pairs.select(least, most)
+        tested = tested.union(now) if tested else now
+        found = scratch.write(_confirm(pairs, sets, percent).distinct())
         stars = groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found) if groups else found
         old, groups = groups, components(stars, scratch)
         scratch.drop(old)
