@@ -22,7 +22,7 @@ from tocsin.llm.packing import pack, pieces, sum_of_squares
 from tocsin.llm.piece_bpe import encode_pieces
 from tocsin.llm.quality import RULES, SHRINK, limits, measures, quality_verdicts
 from tocsin.llm.substring_dedup import remove_repeats
-from tocsin.llm.token_output import BLOCK, CHECKPOINT, LANES, Segment, encode_segment, read_tokens, write_tokens
+from tocsin.llm.token_output import BLOCK, CHECKPOINT, LANES, Segment, encode_segment, frequencies, read_tokens, write_tokens
 
 WORD_BPE, PIECE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
 ROWS = cases.ROWS + cases.near_rows()
@@ -252,10 +252,52 @@ def test_packing(spark):
     assert len(held) <= 1.02 * sum(n or 0 for *_, n in rows) / 2048 + 4
     assert pack(df.limit(0), 2048).count() == 0
     assert sum_of_squares(np.array([6, 4, 5, 5]), 10)[0].max() == 1
+    one = spark.createDataFrame([(None, None, 100)] * 2500, "doc_id long, piece int, length long")  # no key at all
+    alike = pack(one, 2048, group_pieces=500).collect()
+    assert len(alike) == 2500 and len({r["sequence_id"] for r in alike}) <= 2500 / 20 + 5
+    assert {(r["sequence_id"] % 5) for r in alike} == set(range(5))
+    with pytest.raises(ValueError, match="result"):
+        pack(df.withColumn("offset", F.lit(1)), 2048)
     with pytest.raises(Exception, match="longer than a sequence"):
         pack(spark.createDataFrame([(1, 0, 9)], "doc_id long, piece int, length long"), 8).collect()
 
 
+def test_sum_of_squares_equals_a_plain_loop():
+    """Each placement against one that tries every open sequence and counts the squares anew."""
+    rng = random.Random(12)
+    for size in (10, 37, 200):
+        lengths = [rng.randrange(0, size + 1) for _ in range(250)]
+        gaps, want = [], {}
+        last = []
+        for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+            n, best = lengths[i], None
+            for b, gap in enumerate(gaps):
+                if 0 < gap and n <= gap and n < size:
+                    after = Counter(g for k, g in enumerate(gaps) if k != b and g)
+                    if gap - n:
+                        after[gap - n] += 1
+                    cost = sum(v * v for v in after.values()), gap, -last[b]
+                    best = min(best, (cost, b)) if best else (cost, b)
+            if best is None:
+                gaps.append(size)
+                last.append(0)
+                best = None, len(gaps) - 1
+            b = best[1]
+            want[i] = b, size - gaps[b]
+            gaps[b] -= n
+            last[b] = len(want)
+        sequence, offset = sum_of_squares(np.array(lengths), size)
+        assert [want[i] for i in range(len(lengths))] == list(zip(sequence.tolist(), offset.tolist()))
+
+
+def test_frequencies_sum_and_keep_shares():
+    rng = np.random.default_rng(13)
+    for counts in (np.array([5]), np.ones(40_000, np.int64), np.r_[10**9, 10**6, np.ones(30_000, np.int64)], rng.integers(1, 10**6, 5000)):
+        f = frequencies(counts).astype(np.int64)
+        assert f.sum() == 1 << 20 and f.min() >= 1
+        assert (np.abs(f - counts / counts.sum() * (1 << 20)) <= np.maximum(2, 0.05 * (1 << 20) * counts / counts.sum())).all()
+
+
 def test_sentencepiece(spark):
     from sentencepiece import SentencePieceProcessor
 

@@ -1,7 +1,9 @@
 """Best-fit packing of token pieces into fixed-size sequences by the sum-of-squares rule.
 
-Pieces are dealt to groups by a hash; each group packs on its own, so nothing meets in one task, and a group of
-GROUP_PIECES pieces leaves only its last few sequences partly empty. Inside a group pieces come by falling length.
+Pieces are dealt to groups by a hash of their key and their place in a written table, so rows that are alike are spread
+too; each group packs on its own, nothing meets in one task, and a group of GROUP_PIECES pieces leaves only its last few
+sequences partly empty. Inside a group pieces come by falling length, then by key and place, so a task that runs again
+places them alike.
 A piece goes where the sum over residual gaps of (number of open sequences with that gap) squared becomes smallest
 (Csirik et al., "On the sum-of-squares algorithm for bin packing", 2006); a new sequence opens when no open one fits.
 """
@@ -14,10 +16,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tocsin.llm.common import Scratch, chunks, text_buffer
+from tocsin.llm.common import Scratch, chunks, refuse, text_buffer
 from tocsin.llm.word_tokens import encoder, with_end
 
 GROUP_PIECES = 1 << 16
@@ -52,7 +55,10 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, id_col: str
 
 
 def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence and offset of each piece."""
+    """Sequence and offset of each piece; pieces are placed by falling length, equal ones in their order.
+
+    Of gaps that are equally good the smallest is taken, of sequences with that gap the one that got it last.
+    """
     sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     count = np.zeros(size + 1, np.int64)  # open sequences by gap; none is open at a gap of 0
     open_: dict[int, list[int]] = defaultdict(list)
@@ -90,22 +96,26 @@ def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
 def pack(pieces: DataFrame, size: int, key: tuple[str, ...] = ("doc_id", "piece"), length_col: str = "length", group_pieces: int = GROUP_PIECES) -> DataFrame:
     """pieces with sequence_id and offset: no sequence holds more than `size`, and offsets leave no gap from 0 on.
 
-    A null or negative length counts as 0; a length over `size` is refused. pieces are written to the shared folder
-    once, as their number decides how many groups there are. Rows that are alike are placed one after the other.
+    A null or negative length counts as 0; a length over `size` is refused, as is a column that has the name of a
+    result. pieces are written to the shared folder once, as their number decides how many groups there are. Null and
+    repeated keys are packed like any other.
     """
+    refuse(tuple(pieces.columns), "sequence_id", "offset", "_group", "_at")
     rows = Scratch(pieces.sparkSession).write(pieces)
     groups = max(1, -(-rows.count() // group_pieces))
-    lengths = rows.columns.index(length_col)
+    order = [(length_col, "descending"), *((k, "ascending") for k in key), ("_at", "ascending")]
 
     def place(table: pa.Table) -> pa.Table:
-        group = table.column(table.num_columns - 1)[0].as_py()
-        n = np.maximum(0, table.column(lengths).combine_chunks().cast(pa.int64()).fill_null(0).to_numpy())
+        group = table.column("_group")[0].as_py()
+        table = table.take(pc.sort_indices(table, sort_keys=order))
+        n = np.maximum(0, table.column(length_col).combine_chunks().cast(pa.int64()).fill_null(0).to_numpy())
         if len(n) and n.max() > size:
             raise ValueError("a piece is longer than a sequence")
         sequence, offset = sum_of_squares(n, size)
-        out = table.drop_columns([table.column_names[-1]])
+        out = table.drop_columns(["_group", "_at"])
         return out.append_column("sequence_id", pa.array(sequence * groups + group)).append_column("offset", pa.array(offset))
 
-    dealt = rows.withColumn("_group", F.pmod(F.xxhash64(*key), F.lit(groups)))
+    at = F.monotonically_increasing_id()  # of a written table, so the same in every run of a task
+    dealt = rows.withColumn("_at", at).withColumn("_group", F.pmod(F.xxhash64(*key, "_at"), F.lit(groups)))
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return dealt.groupBy("_group").applyInArrow(place, f"{types}, sequence_id long, offset long")

@@ -38,15 +38,13 @@ def frequencies(counts: np.ndarray) -> np.ndarray:
     total, target = int(counts.sum()), 1 << SCALE
     scaled = np.maximum(counts > 0, counts.astype(np.int64) * target // max(1, total))
     spare = target - int(scaled.sum())
+    if spare < 0:  # what rare symbols got beyond their share comes from all others in proportion
+        room = scaled - 1
+        scaled -= np.where(room > 0, room * -spare // max(1, int(room.sum())), 0)
+        spare = target - int(scaled.sum())
     order = np.argsort(-scaled, kind="stable")
-    if spare >= 0:
-        scaled[order[0]] += spare
-    for i in order.tolist() if spare < 0 else ():
-        take = min(int(scaled[i]) - 1, -spare)
-        scaled[i] -= take
-        spare += take
-        if not spare:
-            break
+    one = np.resize(order[scaled[order] > 1] if spare < 0 else order, abs(spare))  # at most one each is left
+    np.add.at(scaled, one, 1 if spare > 0 else -1)
     return scaled.astype(np.uint64)
 
 
@@ -171,13 +169,18 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iter
         yield row()
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> None:
     """Encode every whole text, end_id after each, and write segments to `folder` in ascending id.
 
-    A null text is empty and gives the end id alone. Null ids come first; rows that repeat an id stand together.
+    A null text is empty and gives the end id alone. Null ids come first; rows that repeat an id, or have none, follow
+    the order of their texts' hashes and then of the texts, and fall in several ranges where they are many. partitions
+    is the number of ranges, the session's shuffle partitions if None. Other columns are ignored.
     """
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ordered = text.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    keys = [F.col("doc_id"), F.col("_turn")]
+    dealt = text.withColumn("_turn", F.xxhash64("text"))
+    dealt = dealt.repartitionByRange(partitions, *keys) if partitions else dealt.repartitionByRange(*keys)
+    ordered = dealt.sortWithinPartitions(*keys, "text").select("doc_id", "text")
     ordered.mapInArrow(partial(_segments, path=tokenizer, end_id=end_id), "part long, number long, n_ids long, segment binary").write.option("compression", "none").parquet(folder)
 
 
