@@ -147,6 +147,38 @@ def test_language(spark):
     assert all(0 <= r["score"] <= 1 for r in found)
 
 
+def test_language_equals_a_plain_loop(spark):
+    """Prototypes and cosines against trigram by trigram sums over strings."""
+    rng = np.random.default_rng(3)
+    alphabet = list("abcdeÉßжλ 1.-\n日😀")
+    rows = [(i, "".join(rng.choice(alphabet, rng.integers(0, 60))), ["aa", "bb", None][i % 3]) for i in range(120)]
+    letter = lambda c: np.random.default_rng([ord(c), 271828]).integers(0, 2, 1024, dtype=np.int8).astype(int) * 2 - 1
+
+    def vector(text):
+        out, marked = np.zeros(1024), ["\0"]
+        for c in text:
+            c = c.lower() if c.isalpha() else "\0"
+            if c != "\0" or marked[-1] != "\0":
+                marked.append(c)
+        marked.append("\0")
+        for a, b, c in zip(marked, marked[1:], marked[2:]):
+            if b != "\0":
+                out += np.roll(letter(a), 2) * np.roll(letter(b), 1) * letter(c)
+        return out
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    known = prototypes(docs)
+    plain = {lang: sum(vector(t) for _, t, own in rows if own == lang) for lang in ("aa", "bb")}
+    plain = {lang: v / np.linalg.norm(v) for lang, v in plain.items()}
+    assert all(np.allclose(known[lang], plain[lang], atol=1e-6) for lang in plain) and len(known) == 2
+    found = {r["doc_id"]: r for r in identify(docs, known).collect()}
+    for i, text, _ in rows:
+        v = vector(text)
+        cosines = {lang: float(p @ v / np.linalg.norm(v)) for lang, p in plain.items()} if v.any() else {}
+        assert abs(found[i]["score"] - max(0.0, max(cosines.values(), default=0.0))) < 1e-5
+        assert found[i]["lang_pred"] == (max(cosines, key=cosines.get) if cosines else "und") or abs(cosines["aa"] - cosines["bb"]) < 1e-5
+
+
 def test_language_of_messy_rows(spark):
     docs = cases.messy(spark)
     known = prototypes(docs.withColumn("lang", F.lit("xx")))
