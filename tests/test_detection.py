@@ -1,7 +1,9 @@
 """Literal cases of the detection operators, and a double loop against the DataFrames on random series."""
 
+import datetime
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from tocsin.operators import metrics as me
 from tocsin.operators import runs as rn
 from tocsin.operators import series as se
 from tocsin.operators import testing as te
+from tocsin.sources import series as src
 
 SIM = ["sim"]
 
@@ -162,6 +165,42 @@ def test_draws_do_not_depend_on_partitions(spark):
     assert one == many
 
 
+def test_draws_follow_their_distributions():
+    seed = np.arange(40_000)
+    for n, p in ((1, 0.3), (7, 0.5), (40, 0.93), (2000, 0.2), (5, 0.0), (5, 1.0)):
+        x = se.binomial(seed, np.full(len(seed), n), np.full(len(seed), p))
+        assert x.min() >= 0 and x.max() <= n
+        assert abs(x.mean() - n * p) <= 5 * (n * p * (1 - p) / len(seed)) ** 0.5 and abs(x.var() - n * p * (1 - p)) <= 0.06 * n * p * (1 - p)
+    for mean in (0.0, 0.4, 6.0, 90.0, 1300.0):
+        x = se.poisson(seed, np.full(len(seed), mean))
+        assert abs(x.mean() - mean) <= 5 * (mean / len(seed)) ** 0.5 and abs(x.var() - mean) <= 0.06 * mean
+    share = np.bincount(se.binomial(seed, np.full(len(seed), 3), np.full(len(seed), 0.25)), minlength=4) / len(seed)
+    assert np.allclose(share, [0.421875, 0.421875, 0.140625, 0.015625], atol=0.01)
+
+
+def test_days_reach_as_far_as_the_counts(spark):
+    """No axis is given beforehand: dates of any century are in it; given bounds that counts cross are an error."""
+    events = spark.createDataFrame([("a", "1871-03-05"), ("a", "1871-03-05"), ("b", "1871-03-01"), ("b", "2031-12-31"), ("a", None)], "sim string, date string").withColumn("date", F.col("date").cast("date"))
+    counts = src.numbered_days(src.count_series(events, SIM, F.col("date"), incidence=F.lit(True)))
+    dense = src.dense_days(counts, events.select("sim").distinct(), SIM, ["incidence"])
+    row = dense.agg(F.count("*"), F.min("day"), F.max("day"), F.sum("incidence")).first()
+    days = (datetime.date(2031, 12, 31) - datetime.date(1871, 3, 1)).days + 1
+    assert tuple(row) == (2 * days, 1, days, 4)
+    assert dense.where("sim = 'a' and day = 5").first()["incidence"] == 2
+    inside = src.dense_days(counts.where("day < 9"), events.select("sim").distinct(), SIM, ["incidence"], (1, 9))
+    assert inside.count() == 18
+    with pytest.raises(Exception, match="outside the days"):
+        src.dense_days(counts, events.select("sim").distinct(), SIM, ["incidence"], (1, 9)).collect()
+    assert src.dense_days(counts.limit(0), events.select("sim").distinct(), SIM, ["incidence"]).count() == 0
+
+
+def test_several_outbreak_specs(spark):
+    df = series(spark, sum(STEPS, []))
+    specs = [rn.OutbreakSpec(5, 30, 500), rn.OutbreakSpec(10, 5, 100), rn.OutbreakSpec(40, 1, 1)]
+    found = sorted((r["outbreak_spec"], r["outbreak_idx"], r["lo"], r["hi"], r["size"]) for r in rn.outbreaks(df, specs, SIM).collect())
+    assert found == [(k, r["outbreak_idx"], r["lo"], r["hi"], r["size"]) for k, spec in enumerate(specs, 1) for r in rn.outbreaks(df, spec, SIM).orderBy("lo").collect()]
+
+
 def test_combine_refuses_other_lengths(spark):
     a, b = series(spark, [1, 2, 3]), series(spark, [1, 2], name="noise")
     with pytest.raises(Exception, match="differ in number or length"):

@@ -1,9 +1,12 @@
 """Scenario keys, stores, sweeps and reports on small inputs."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from tocsin import catalog
+from tocsin.operators import matching as mt
 from tocsin.operators import runs as rn
 from tocsin.operators import series as se
 from tocsin.operators import testing as te
@@ -55,33 +58,135 @@ def test_wide_refuses_repeated_cells(spark):
 def test_store(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     assert st.load_results(spark, f"{tmp_path}/r", f"{tmp_path}/c", ["k"]) is None
-    st.append_checkpoint(df, f"{tmp_path}/c", 1)
-    st.append_checkpoint(df.withColumn("v", F.lit("new")).where("k = 2"), f"{tmp_path}/c", 2)
+    st.append_checkpoint(df, f"{tmp_path}/c", "a", 1)
+    st.append_checkpoint(df.withColumn("v", F.lit("new")).where("k = 2"), f"{tmp_path}/c", "b", 1)
     assert sorted(map(tuple, st.load_results(spark, f"{tmp_path}/r", f"{tmp_path}/c", ["k"]).collect())) == [(1, "a"), (2, "new")]
     with pytest.raises(ValueError, match="another schema"):
         st.gate(df.withColumn("schema_fingerprint", F.lit("x")), st.fingerprint(df), "quit")
 
 
+def test_snapshots_are_never_replaced(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a")], "k int, v string")
+    st.save_results(df, f"{tmp_path}/r", "2024-01-01T00-00-00")
+    with pytest.raises(Exception, match="exist"):
+        st.save_results(df.withColumn("v", F.lit("b")), f"{tmp_path}/r", "2024-01-01T00-00-00")
+    assert st.load_results(spark, f"{tmp_path}/r", f"{tmp_path}/c", ["k"]).collect() == df.collect()
+
+
 def test_resume_computes_only_what_is_missing(spark, tmp_path):
     scenarios, asked = spark.range(6).select(F.col("id").alias("k")), []
 
     def compute(todo):
-        asked.append(sorted(r["k"] for r in todo.collect()))
+        asked.extend(sorted(r["k"] for r in todo.collect()))
         return todo.withColumn("x", F.col("k") * 2)
 
     paths = (f"{tmp_path}/r", f"{tmp_path}/c")
     sw.resume(spark, scenarios.where("k < 4"), compute, *paths, "2024-01-01T00-00-00", ["k"])
+    assert sorted(asked) == [0, 1, 2, 3]
+    asked.clear()
     out = sw.resume(spark, scenarios, compute, *paths, "2024-01-02T00-00-00", ["k"])
-    assert asked == [[0, 1, 2, 3], [4, 5]]
-    assert sorted(map(tuple, out.select("k", "x").collect())) == [(k, 2 * k) for k in range(6)]
+    assert sorted(asked) == [4, 5]
+    want = [(k, 2 * k) for k in range(6)]
+    assert sorted(map(tuple, out.select("k", "x").collect())) == want
+    with pytest.raises(ValueError, match="snapshot"):
+        sw.resume(spark, scenarios, compute, *paths, "2024-01-02T00-00-00", ["k"])
+    assert sorted(map(tuple, st.load_results(spark, *paths, ["k"]).select("k", "x").collect())) == want  # the store is whole
+    assert sw.resume(spark, scenarios.limit(0), compute, f"{tmp_path}/none", f"{tmp_path}/c", "2024-01-03T00-00-00", ["k"]).count() == 0
+
+
+def test_resume_takes_up_a_broken_run(spark, tmp_path):
+    scenarios, asked = spark.range(40).select(F.col("id").alias("k")), []
+
+    def compute(todo, most=99):
+        if len(asked) >= most:
+            raise RuntimeError("lost")
+        asked.append({r["k"] for r in todo.collect()})
+        return todo.withColumn("x", F.col("k") * 2)
+
+    paths = (f"{tmp_path}/r", f"{tmp_path}/c")
+    with pytest.raises(RuntimeError, match="lost"):
+        sw.resume(spark, scenarios, lambda todo: compute(todo, 2), *paths, "2024-01-01T00-00-00", ["k"], batches=4)
+    first = set.union(*asked)
+    assert 0 < len(first) < 40
+    asked.clear()
+    out = sw.resume(spark, scenarios, compute, *paths, "2024-01-02T00-00-00", ["k"], batches=4)
+    assert set.union(*asked) == set(range(40)) - first
+    assert sorted(map(tuple, out.select("k", "x").collect())) == [(k, 2 * k) for k in range(40)]
+    assert not st.exists(spark, paths[1])
+
+
+def test_resume_passes_the_gate(spark, tmp_path):
+    paths, asked = (f"{tmp_path}/r", f"{tmp_path}/c"), []
+    st.save_results(spark.createDataFrame([(1, 2, "old")], "k long, x long, tag string"), paths[0], "2024-01-01T00-00-00")
+
+    def compute(todo):
+        asked.extend(r["k"] for r in todo.collect())
+        return todo.withColumn("x", F.col("k") * 2)
+
+    scenarios = spark.range(1, 3).select(F.col("id").alias("k"))
+    own = st.fingerprint(spark.createDataFrame([], "k long, x long"))
+    with pytest.raises(ValueError, match="another schema"):
+        sw.resume(spark, scenarios, compute, *paths, "2024-01-02T00-00-00", ["k"], expected=own, policy="quit")
+    out = sw.resume(spark, scenarios, compute, *paths, "2024-01-02T00-00-00", ["k"], expected=own, policy="continue")
+    assert asked == [2] and sorted(tuple(r) for r in out.select("k", "x", "tag").collect()) == [(1, 2, "old"), (2, 4, None)]
+    asked.clear()
+    out = sw.resume(spark, scenarios, compute, *paths, "2024-01-03T00-00-00", ["k"], expected=own, policy="force")
+    assert sorted(asked) == [1, 2] and out.columns == ["k", "x"]
+
+
+def test_scenario_ids_differ(spark):
+    rows = spark.createDataFrame([("a|b", "c", None), ("a", "b|c", None), ("a", "b|c", "-"), ("a", "b|c", "null"), ("a", None, "b|c")], "x string, y string, z string")
+    ids = [r[0] for r in rows.select(sc.scenario_id(["x", "y", "z"])).collect()]
+    assert len(set(ids)) == len(rows.collect()) and rows.select(sc.scenario_id(["x", "y", "z"])).collect()[0][0] == ids[0]
+
+
+def _plain_counts(value, true, threshold, filtering, matching):
+    """n_alerts, n_outbreaks, matched alerts, matched outbreaks of one series; value: by day from 1."""
+    raised, day = [], 1
+    while day <= len(value):
+        if value[day - 1] >= threshold:
+            first = day
+            while day < len(value) and value[day] >= threshold:
+                day += 1
+            raised.append((first, day))
+        day += 1
+    alerts, found = set(), set()
+    for j, (x, y) in enumerate(raised):
+        for i, (a, b) in enumerate(true):
+            if (a <= x <= b or (filtering == mt.ALL_ALERTS and x <= a and y > a)) and not (matching == mt.SINGLE and j in alerts):
+                alerts.add(j)
+                found.add(i)
+    return len(raised), len(true), len(alerts), len(found)
+
+
+@pytest.mark.parametrize("filtering", [mt.ALL_ALERTS, mt.POST_START])
+@pytest.mark.parametrize("matching", [mt.SINGLE, mt.MULTIPLE])
+def test_candidate_counts_against_a_double_loop(spark, filtering, matching):
+    rng = random.Random(5)
+    rows = [(s, d, rng.choice([0, 0, 1, 2, 4, 7]), float(rng.choice([0, 0, 1, 2, 3, 5, 8]))) for s in range(8) for d in range(1, 61)]
+    df = spark.createDataFrame(rows, "sim int, day int, incidence long, value double").withColumn("test", F.lit("t"))
+    outbreaks = rn.outbreaks(df, rn.OutbreakSpec(2, 2, 5), ["sim"])
+    true = {}
+    for r in outbreaks.orderBy("sim", "lo").collect():
+        true.setdefault(r["sim"], []).append((r["lo"], r["hi"]))
+    ready = rn.marked(df, outbreaks, ["sim"])
+    inside = {(r["sim"], r["day"]): r["outbreak_idx"] for r in ready.collect()}
+    assert inside == {(s, d): next((k for k, (a, b) in enumerate(true.get(s, []), 1) if a <= d <= b), None) for s, d, *_ in rows}
+    candidates = [0.0, 0.5, 1.0, 2.5, 3.0, 8.0, 9.0]
+    found = sw.candidate_counts(ready, candidates, ["test", "sim"], ["sim"], filtering, matching).collect()
+    assert len(found) == 8 * len(candidates)
+    for r in found:
+        value = [v for s, d, _, v in rows if s == r["sim"]]
+        assert tuple(r)[3:] == _plain_counts(value, true.get(r["sim"], []), r["T"], filtering, matching), r
 
 
 def test_breakpoints_find_the_optimum(spark):
     rows = [(1, d, 8 if 20 <= d <= 30 else 1 + d % 3, 5 * (20 <= d <= 30)) for d in range(1, 61)]
     df = spark.createDataFrame(rows, "sim int, day int, value long, incidence long").withColumns({"value": F.col("value").cast("double"), "test": F.lit("t")})
     outbreaks = rn.outbreaks(df, rn.OutbreakSpec(5, 3, 10), ["sim"])
-    points = sw.breakpoints(df, 1.5, 10.0)
-    best = sw.best(sw.scores(df, outbreaks, points, ["test", "sim"], ["sim"], "BalancedAccuracy"), ["test"]).first()
+    points = sw.breakpoints(df, 1.5, ["test"])
+    assert sorted(r["T"] for r in points.collect()) == [2.0, 3.0, 8.0]
+    best = sw.best(sw.scores(rn.marked(df, outbreaks, ["sim"]), points, ["test", "sim"], ["sim"], "BalancedAccuracy"), ["test"]).first()
     assert (best["T"], best["loss"]) == (8.0, 0.0)
 
 
@@ -93,7 +198,8 @@ def test_breakpoint_sweep_reaches_large_counts(spark, monkeypatch):
     values = sorted({r[0] for r in ready.select(F.col("value").cast("double")).where("value >= 1").distinct().collect()})
     assert values[-1] > 40
     outbreaks = rn.outbreaks(series, catalog._spec(series), catalog.SIM)
-    scored = sw.scores(ready, outbreaks, values, catalog.KEYS, catalog.SIM, "BalancedAccuracy").where("loss is not null")
+    ready = ready.join(rn.marked(series, outbreaks, catalog.SIM).select("sim", "day", "outbreak_idx"), ["sim", "day"])
+    scored = sw.scores(ready, values, catalog.KEYS, catalog.SIM, "BalancedAccuracy").where("loss is not null")
     want = min((r["loss"], r["T"]) for r in scored.collect())
     found = catalog.QUERIES["o3_breakpoint_sweep"](spark, SF).first()
     assert (found["loss"], found["T"]) == want

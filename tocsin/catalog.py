@@ -57,31 +57,50 @@ def _series(spark: SparkSession, d: str) -> DataFrame:
     return src.line_series(spark, d)
 
 
-def _spec(series: DataFrame) -> rn.OutbreakSpec:
-    t = math.ceil(series.agg(F.avg("incidence")).first()[0])
+def _spec_of(mean: float) -> rn.OutbreakSpec:
+    t = math.ceil(mean)
     return rn.OutbreakSpec(t, 3, 4 * t)
 
 
+def _spec(series: DataFrame) -> rn.OutbreakSpec:
+    return _spec_of(series.agg(F.avg("incidence")).first()[0])
+
+
 def _positives(series: DataFrame) -> DataFrame:
     return se.with_alert_inputs(te.expected_positives(series, [1.0], ONE_TEST, SIM), SIM)
 
 
+def _kept(spark: SparkSession, df: DataFrame) -> DataFrame:
+    """df as a written table, so that what reads it more than once computes it once."""
+    path = _store(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _sims(series: DataFrame) -> DataFrame:
+    return series.groupBy("sim").agg(F.count("*").cast("int").alias("length"))
+
+
 def _world(spark: SparkSession, d: str, filtering: str = mt.ALL_ALERTS, match: str = mt.SINGLE):
-    """series, positives, alerts, outbreaks, pairs, series keys."""
-    series = _series(spark, d)
+    """series, positives, alerts, outbreaks, pairs, series keys with lengths."""
+    series = _kept(spark, _series(spark, d))
     positives = _positives(series).select("sim", "day", "test_pos", "test_pos_ma")
-    t = math.ceil(positives.agg(F.avg("test_pos")).first()[0])
+    means = series.agg(F.avg("incidence"), F.avg(te.test_positives(F.col("incidence"), F.col("noise"), 1.0, ONE_TEST[0]))).first()
+    spec, t = _spec_of(means[0]), math.ceil(means[1])
     alerts = rn.runs(positives.where(rn.alert_flag(F.col("test_pos_ma"), F.lit(float(t)))).select("sim", "day"), SIM, "alert_idx")
-    outbreaks = rn.outbreaks(series, _spec(series), SIM)
+    outbreaks = rn.outbreaks(series, spec, SIM)
     pairs = mt.matches(alerts, outbreaks, SIM, None, filtering, match)
-    return series, positives, alerts, outbreaks, pairs, series.select("sim").distinct()
+    return series, positives, alerts, outbreaks, pairs, _sims(series)
 
 
 S_SERIES = """WITH lines AS (
-  SELECT n_regionkey AS sim, CAST(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) + 1 AS INTEGER) AS day, l_returnflag = 'R' AS returned
+  SELECT n_regionkey AS sim, CAST(l_shipdate AS DATE) AS date, l_returnflag = 'R' AS returned
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
-counts AS (SELECT sim, day, count(*) FILTER (WHERE returned) AS incidence, count(*) FILTER (WHERE NOT returned) AS noise FROM lines GROUP BY sim, day),
-days AS (SELECT CAST(unnest(range(1, 2501)) AS INTEGER) AS day),
+ends AS (SELECT min(date) AS first, date_diff('day', min(date), max(date)) + 1 AS n FROM lines),
+counts AS (
+  SELECT sim, CAST(date_diff('day', first, date) + 1 AS INTEGER) AS day, count(*) FILTER (WHERE returned) AS incidence, count(*) FILTER (WHERE NOT returned) AS noise
+  FROM lines, ends GROUP BY 1, 2),
+days AS (SELECT CAST(unnest(range(1, n + 1)) AS INTEGER) AS day FROM ends),
 series AS (
   SELECT r_regionkey AS sim, days.day, coalesce(incidence, 0) AS incidence, coalesce(noise, 0) AS noise
   FROM region CROSS JOIN days LEFT JOIN counts ON counts.sim = r_regionkey AND counts.day = days.day)"""
@@ -131,7 +150,7 @@ avoid AS (
 
 @_q("s1_count_series", S_SERIES + " SELECT sim, day, incidence, noise FROM counts")
 def _(spark, d):
-    return src.count_series(src.shipped_lines(spark, d), SIM, F.col("day"), incidence=F.col("returned"), noise=~F.col("returned"))
+    return src.line_counts(spark, d)
 
 
 @_q("s2_dense_days", S_SERIES + " SELECT * FROM series")
@@ -139,9 +158,10 @@ def _(spark, d):
     return _series(spark, d)
 
 
-@_q("s2_dense_event_hours", """WITH e AS (SELECT event_type AS sim, CAST(date_diff('hour', TIMESTAMP '2024-01-01', date_trunc('hour', ts)) + 1 AS INTEGER) AS day FROM events),
-c AS (SELECT sim, day, count(*) AS incidence FROM e GROUP BY sim, day)
-SELECT s.sim, x.day, coalesce(c.incidence, 0) AS incidence FROM (SELECT DISTINCT sim FROM e) s CROSS JOIN (SELECT CAST(unnest(range(1, 721)) AS INTEGER) AS day) x
+@_q("s2_dense_event_hours", """WITH e AS (SELECT event_type AS sim, date_trunc('hour', CAST(ts AS TIMESTAMP)) AS hour FROM events),
+ends AS (SELECT min(hour) AS first, date_diff('hour', min(hour), max(hour)) + 1 AS n FROM e),
+c AS (SELECT sim, CAST(date_diff('hour', first, hour) + 1 AS INTEGER) AS day, count(*) AS incidence FROM e, ends GROUP BY 1, 2)
+SELECT s.sim, x.day, coalesce(c.incidence, 0) AS incidence FROM (SELECT DISTINCT sim FROM e) s CROSS JOIN (SELECT CAST(unnest(range(1, n + 1)) AS INTEGER) AS day FROM ends) x
 LEFT JOIN c ON c.sim = s.sim AND c.day = x.day""")
 def _(spark, d):
     return src.event_series(spark, d)
@@ -193,45 +213,48 @@ def _(spark, d):
     return st.stored(spark, path).drop("run_ts", "schema_fingerprint")
 
 
-@_q("s4_checkpoint_append", S_REPORT + " SELECT *, CAST(noise_level AS INTEGER) AS batch FROM report WHERE noise_level <= 3")
+@_q("s4_checkpoint_append", S_REPORT + " SELECT *, CASE WHEN noise_level <= 2 THEN 'first' ELSE 'second' END AS run_id, CAST(noise_level AS INTEGER) % 2 AS batch FROM report")
 def _(spark, d):
-    path, report = _store(spark), _report(spark, d)
-    for batch in (1, 2, 3):
-        st.append_checkpoint(report.where(F.col("noise_level") == batch), path, batch)
-    return st.stored(spark, path)
+    path, report = _store(spark), _kept(spark, _report(spark, d))
+    for run, rows in (("first", report.where("noise_level <= 2")), ("second", report.where("noise_level > 2"))):
+        for batch in (0, 1):  # both runs have batches of the same numbers
+            st.append_checkpoint(rows.where(F.col("noise_level") % 2 == batch), path, run, batch)
+    return st.stored(spark, path).drop(st.FINGERPRINT)
 
 
-@_q("s5_latest_snapshot", S_REPORT + " SELECT * FROM report WHERE noise_level <= 4")
+@_q("s5_latest_snapshot", S_REPORT + " SELECT * FROM report")
 def _(spark, d):
-    path, report = _store(spark), _report(spark, d)
+    path, report = _store(spark), _kept(spark, _report(spark, d))
     st.save_results(report.where("noise_level <= 2"), path, "2024-01-01T00-00-00")
-    st.save_results(report.where("noise_level <= 4"), path, "2024-03-01T00-00-00")
-    return st.latest(st.stored(spark, path)).drop("run_ts", "schema_fingerprint")
+    st.save_results(report, path, "2024-03-01T00-00-00")
+    return st.latest(st.stored(spark, path)).drop("run_ts", st.FINGERPRINT)
 
 
-@_q("s6_load_with_fallback", S_REPORT + " SELECT * REPLACE (CASE WHEN noise_level >= 2 THEN -value ELSE value END AS value) FROM report WHERE noise_level <= 3")
+@_q("s6_load_with_fallback", S_REPORT + " SELECT * REPLACE (CASE WHEN noise_level >= 2 THEN -value ELSE value END AS value) FROM report")
 def _(spark, d):
-    path, report = _store(spark), _report(spark, d)
-    st.append_checkpoint(report.where("noise_level <= 2"), f"{path}/checkpoints", 1)
-    st.append_checkpoint(report.where("noise_level in (2, 3)").withColumn("value", -F.col("value")), f"{path}/checkpoints", 2)
+    path, report = _store(spark), _kept(spark, _report(spark, d))
+    st.append_checkpoint(report.where("noise_level <= 2"), f"{path}/checkpoints", "run", 1)
+    st.append_checkpoint(report.where("noise_level >= 2").withColumn("value", -F.col("value")), f"{path}/checkpoints", "run", 2)
     return st.load_results(spark, f"{path}/results", f"{path}/checkpoints", REPORT_KEYS)
 
 
-@_q("s7_compaction", S_REPORT + " SELECT * FROM report WHERE noise_level <= 2")
+@_q("s7_compaction", S_REPORT + " SELECT * FROM report")
 def _(spark, d):
-    path, report = _store(spark), _report(spark, d)
-    st.append_checkpoint(report.where("noise_level <= 2"), f"{path}/checkpoints", 1)
+    path, report = _store(spark), _kept(spark, _report(spark, d))
+    st.append_checkpoint(report.where("noise_level <= 3"), f"{path}/checkpoints", "run", 1)
+    st.append_checkpoint(report.where("noise_level > 3"), f"{path}/checkpoints", "run", 2)
     st.compact(st.load_results(spark, f"{path}/results", f"{path}/checkpoints", REPORT_KEYS), f"{path}/results", "2024-05-01T00-00-00", f"{path}/checkpoints")
     return st.load_results(spark, f"{path}/results", f"{path}/checkpoints", REPORT_KEYS)
 
 
 @_q("s8_schema_gate", S_REPORT + " SELECT 'continue' AS policy, count(*) AS n FROM report UNION ALL SELECT 'force', 0 UNION ALL SELECT 'matching', count(*) FROM report")
 def _(spark, d):
-    path, report = _store(spark), _report(spark, d)
-    st.save_results(report, path, "2024-01-01T00-00-00")
-    stored, own = st.stored(spark, path), st.fingerprint(report)
+    path, report = _store(spark), _kept(spark, _report(spark, d))
+    st.save_results(report, f"{path}/results", "2024-01-01T00-00-00")
     count = lambda policy, df: df.agg(F.lit(policy).alias("policy"), F.count("*").alias("n"))
-    return count("continue", st.gate(stored, "other", "continue")).union(count("force", st.gate(stored, "other", "force"))).union(count("matching", st.gate(stored, own, "quit")))
+    load = lambda expected, policy: st.load_results(spark, f"{path}/results", f"{path}/checkpoints", REPORT_KEYS, expected, policy)
+    own = st.fingerprint(report)
+    return count("continue", load("other", "continue")).union(count("force", load("other", "force"))).union(count("matching", load(own, "quit")))
 
 
 @_q("s9_csv_export", S_REPORT + " SELECT noise_type, sensitivity, specificity, test_lag, percent_tested, n FROM report")
@@ -283,10 +306,31 @@ def _(spark, d):
     return rows.select("ord", F.size(sc.violations(**sc.scenario_rules())).alias("n_violations")).where("n_violations > 0")
 
 
-@_q("p3_scenario_key", S_GRID + """ SELECT ord, sha256(concat_ws('|', ensemble, noise_type, CAST(CAST(noise_level AS INTEGER) AS VARCHAR), alert_method, coalesce(CAST(alert_window AS VARCHAR), '-'))) AS scenario_id FROM grid""")
+@_q("p2_dynamics_validity", """WITH x AS (
+  SELECT p_partkey AS id, p_size - 3 AS r0, p_size % 7 - 1 AS latent, 3 - p_partkey % 4 AS infectious, (p_partkey % 13) / CAST(10 AS DOUBLE) AS most, (p_partkey % 5) / CAST(4 AS DOUBLE) - 0.25 AS least,
+    (p_partkey % 9) / CAST(7 AS DOUBLE) AS force, p_partkey % 6 AS n, ['none', 'in-phase', 'out-of-phase', 'other'][p_partkey % 4 + 1] AS correlation, p_partkey % 8 AS tmax, (p_partkey % 3) - 1 AS tstep FROM part)
+SELECT id, array_to_string(list_filter([CASE WHEN r0 <= 0 THEN 'r0' END, CASE WHEN latent <= 0 THEN 'latent' END, CASE WHEN infectious <= 0 THEN 'infectious' END,
+  CASE WHEN least < 0 OR least > most OR most > 1 THEN 'vaccination' END, CASE WHEN force < 0 OR force > 1 THEN 'force' END, CASE WHEN n <= 0 THEN 'population' END,
+  CASE WHEN correlation = 'other' THEN 'correlation' END, CASE WHEN tmax <= 1 + tstep THEN 'time' END, CASE WHEN tstep <= 0 THEN 'tstep' END], lambda v: v IS NOT NULL), ',') AS broken FROM x""")
 def _(spark, d):
-    rows = _grid(spark, d).withColumn("noise_level", F.col("noise_level").cast("int"))
-    return rows.select("ord", sc.scenario_id(["ensemble", "noise_type", "noise_level", "alert_method", "alert_window"]).alias("scenario_id"))
+    k = F.col("p_partkey")
+    rows = spark.read.parquet(f"{d}/part.parquet").select(
+        k.alias("id"), (F.col("p_size") - 3).alias("r0"), (F.col("p_size") % 7 - 1).alias("latent"), (3 - k % 4).alias("infectious"), ((k % 13) / 10).alias("max_vaccination"), ((k % 5) / 4 - 0.25).alias("min_vaccination"),
+        ((k % 9) / 7).alias("force"), (k % 6).alias("n"), F.element_at(F.array(*map(F.lit, ("none", "in-phase", "out-of-phase", "other"))), (k % 4 + 1).cast("int")).alias("correlation"),
+        F.lit(1).alias("tmin"), (k % 8).alias("tmax"), (k % 3 - 1).alias("tstep"),
+    )
+    return rows.select("id", F.array_join(sc.violations(**sc.dynamics_rules()), ",").alias("broken"))
+
+
+@_q("p3_scenario_key", S_GRID + """ SELECT ord, sha256(to_json(struct_pack(ensemble := ensemble || '|-', noise_level := noise_level, noise_type := noise_type, sensitivity := sensitivity, specificity := specificity, test_lag := test_lag,
+percent_tested := percent_tested, alert_method := alert_method, alert_window := alert_window, accuracy_metric := 'F1', threshold_lower := CAST(0 AS DOUBLE), threshold_upper := CAST(50 AS DOUBLE), outbreak_threshold := 5,
+min_duration := 30, min_size := 500, alert_filtering := CASE WHEN ord % 2 = 0 THEN '-' END, alert_matching := 'SingleOutbreakPerAlert'))) AS scenario_id FROM grid""")
+def _(spark, d):
+    rows = _grid(spark, d).withColumns({
+        "ensemble": F.concat("ensemble", F.lit("|-")), "accuracy_metric": F.lit("F1"), "threshold_lower": F.lit(0.0), "threshold_upper": F.lit(50.0), "outbreak_threshold": F.lit(5), "min_duration": F.lit(30),
+        "min_size": F.lit(500), "alert_filtering": F.when(F.col("ord") % 2 == 0, "-"), "alert_matching": F.lit(mt.SINGLE),
+    })
+    return rows.select("ord", sc.scenario_id(sc.SCENARIO_KEYS).alias("scenario_id"))
 
 
 @_q("p4_missing_scenarios", S_GRID + " SELECT * FROM grid WHERE ord % 3 <> 0")
@@ -300,9 +344,9 @@ def _(spark, d):
     return sc.completed_keys(_completed(_grid(spark, d)), GRID_KEYS)
 
 
-@_q("p6_group_by_properties", S_GRID + " SELECT noise_type, noise_level, count(*) AS n, CAST(min(ord) AS INTEGER) AS first, CAST(count(DISTINCT ord) AS INTEGER) AS members FROM grid GROUP BY ALL")
+@_q("p6_group_by_properties", S_GRID + " SELECT noise_type, noise_level, count(*) AS n, min(ord) AS first FROM grid GROUP BY ALL")
 def _(spark, d):
-    return sc.grouped(_grid(spark, d), ["noise_type", "noise_level"]).select("noise_type", "noise_level", "n", F.col("members")[0].alias("first"), F.size("members").alias("members"))
+    return sc.grouped(_grid(spark, d), ["noise_type", "noise_level"])
 
 
 @_q("p7_merge_results", S_REPORT + " SELECT *, CASE WHEN noise_level > 3 THEN 'new' END AS tag FROM report")
@@ -322,10 +366,12 @@ def _(spark, d):
     return _grid(spark, d).select("ord", labels.path_key(type=F.col("noise_type"), level=F.col("noise_level").cast("int"), lag=F.col("test_lag"), method=F.col("alert_method")).alias("path"))
 
 
-@_q("p10_labels", S_GRID + """ SELECT ord, CASE WHEN noise_type = 'static' THEN 'Poisson' ELSE 'Dynamical, in-phase' END AS noise, regexp_extract('AlertMethod.' || alert_method || '(7)', '([^.(]+)\\(', 1) AS method FROM grid""")
+@_q("p10_labels", S_GRID + """ SELECT ord, CASE WHEN noise_type = 'static' THEN 'Poisson' ELSE 'Dynamical, in-phase' END AS noise, regexp_extract('AlertMethod.' || alert_method || '(7)', '([^.(]+)\\(', 1) AS method,
+CASE WHEN noise_type = 'static' THEN 'Poisson scaling: ' || CAST(noise_level AS VARCHAR) ELSE 'Vaccination coverage: ' || CAST(percent_tested AS VARCHAR) END AS magnitude FROM grid""")
 def _(spark, d):
     shown = F.concat(F.lit("AlertMethod."), "alert_method", F.lit("(7)"))
-    return _grid(spark, d).select("ord", labels.noise_description(F.col("noise_type"), F.lit("in-phase")).alias("noise"), labels.method_name(shown).alias("method"))
+    magnitude = labels.noise_magnitude(F.col("noise_type"), F.col("noise_level"), F.col("percent_tested"))
+    return _grid(spark, d).select("ord", labels.noise_description(F.col("noise_type"), F.lit("in-phase")).alias("noise"), labels.method_name(shown).alias("method"), magnitude.alias("magnitude"))
 
 
 @_q("p11_test_labels", S_GRID + """ SELECT ord, CASE WHEN sensitivity = 1 THEN 'Perfect test (' || test_lag || ' day lag)' ELSE 'RDT-like (' || CAST(sensitivity * 100 AS VARCHAR) || '% sens/spec)' END AS description,
@@ -368,24 +414,35 @@ q1 AS (SELECT *, i_ * (gamma + mu) / sigma AS e_ FROM q0), q2 AS (SELECT *, 1 -
 q AS (SELECT *, CASE WHEN coverage < 0 OR coverage > 1 THEN 'coverage' WHEN reff <= 1 THEN 'no endemic state' WHEN r_ < 0 THEN 'negative' ELSE 'ok' END AS status FROM q2)"""
 
 
-def _scalar(name: str, sql: str, column: Callable[[], Column]) -> None:
-    @_q(name, f"{S_PAR} SELECT id, round({sql}, 9) AS x FROM q")
+def _scalar(name: str, sql: str | dict[str, str], column: Callable[[], Column | dict[str, Column]]) -> None:
+    named = sql if isinstance(sql, dict) else {"x": sql}
+
+    @_q(name, f"{S_PAR} SELECT id, {', '.join(f'round({x}, 9) AS {n}' for n, x in named.items())} FROM q")
     def _(spark, d):
-        return _params(spark, d).select("id", F.round(column(), 9).alias("x"))
+        found = column()
+        found = found if isinstance(found, dict) else {"x": found}
+        return _params(spark, d).select("id", *(F.round(x, 9).alias(n) for n, x in found.items()))
 
 
 _c = F.col
-_scalar("e1_exit_rates", "sigma + gamma", lambda: _c("sigma") + _c("gamma"))
+_scalar("e1_exit_rates", {"sigma": "sigma", "gamma": "gamma"}, lambda: {"sigma": _c("sigma"), "gamma": _c("gamma")})
 _scalar("e2_birth_rate", "mu", lambda: _c("mu"))
 _scalar("e3_transmission", "beta", lambda: _c("beta"))
 _scalar("e4_reproduction", "(beta * 2) * sigma / ((sigma + mu) * (gamma + mu))", lambda: par.reproduction(_c("beta") * 2, _c("sigma"), _c("gamma"), _c("mu")))
 _scalar("e5_import_rate", "CAST(1.06 AS DOUBLE) * mu * (r0 - 1) / sqrt(n)", lambda: par.import_rate(_c("mu"), _c("r0"), _c("n")))
 _scalar("e6_seasonal", "beta * (1 + force * CASE WHEN shape = 'sine' THEN sin(2 * pi() * day / 365) ELSE cos(2 * pi() * day / 365) END)", lambda: par.seasonal(_c("beta"), _c("force"), _c("day"), _c("shape")))
-_scalar("e7_effective", "r0 * (n * 0.4) / n + r0 * (1 - coverage)", lambda: par.effective(_c("r0"), _c("n") * 0.4, _c("n")) + _c("r0") * (1 - _c("coverage")))
-_scalar("e10_background", "CASE WHEN correlation = 'none' THEN 0 ELSE force END + CASE WHEN (correlation = 'out-of-phase') = (shape = 'sine') THEN 10 ELSE 20 END",
-        lambda: par.background_force(_c("force"), _c("correlation")) + F.when(par.background_shape(_c("shape"), _c("correlation")) == "cosine", 10).otherwise(20))
-_scalar("e11_background_start", "greatest(CASE WHEN status = 'ok' THEN i_ ELSE 0 END, 5 / CAST(n AS DOUBLE)) + CASE WHEN status = 'ok' THEN s_ ELSE 1 - coverage END",
-        lambda: par.background_start(_c("state"), _c("coverage"), _c("n"))["i"] + par.background_start(_c("state"), _c("coverage"), _c("n"))["s"])
+_scalar("e7_effective", {"by_state": "r0 * (n * 0.4) / n", "by_coverage": "r0 * (1 - coverage)"}, lambda: {"by_state": par.effective(_c("r0"), _c("n") * 0.4, _c("n")), "by_coverage": _c("r0") * (1 - _c("coverage"))})
+_scalar("e10_background", {"force": "CASE WHEN correlation = 'none' THEN 0 ELSE force END", "turned": "CASE WHEN (correlation = 'out-of-phase') = (shape = 'sine') THEN CAST(1 AS DOUBLE) ELSE 0 END",
+         "beta": "(r0 / 2 + 1) * (sigma + mu) * (gamma + mu) / sigma", "epsilon": "CAST(1.06 AS DOUBLE) * mu * (r0 / 2 + 1 - 1) / sqrt(n)"}, lambda: _background())
+_scalar("e11_background_start", {"s": "CASE WHEN status = 'ok' THEN s_ ELSE 1 - coverage END", "e": "CASE WHEN status = 'ok' THEN e_ ELSE 0 END", "i": "greatest(CASE WHEN status = 'ok' THEN i_ ELSE 0 END, 5 / CAST(n AS DOUBLE))",
+         "r": "CASE WHEN status = 'ok' THEN r_ ELSE coverage END"}, lambda: {k: par.background_start(_c("state"), _c("coverage"), _c("n"))[k] for k in "seir"})
+
+
+def _background() -> dict[str, Column]:
+    """A background of another R0 than the series': its force, whether its season is a cosine, its beta and imports."""
+    r0 = _c("r0") / 2 + 1
+    cosine = (par.background_shape(_c("shape"), _c("correlation")) == "cosine").cast("double")
+    return {"force": par.background_force(_c("force"), _c("correlation")), "turned": cosine, "beta": par.transmission(r0, _c("sigma"), _c("gamma"), _c("mu")), "epsilon": par.import_rate(_c("mu"), r0, _c("n"))}
 
 
 @_q("e8_equilibrium", S_PAR + " SELECT id, status, CASE WHEN status = 'ok' THEN round(s_, 9) END AS s, CASE WHEN status = 'ok' THEN round(e_, 9) END AS e, CASE WHEN status = 'ok' THEN round(i_, 9) END AS i, CASE WHEN status = 'ok' THEN round(r_, 9) END AS r FROM q")
@@ -393,10 +450,10 @@ def _(spark, d):
     return _params(spark, d).select("id", "state.status", *(F.round(F.col("state")[x], 9).alias(x) for x in "seir"))
 
 
-@_q("e9_initial_counts", S_PAR + " SELECT id, CAST(round_even(coverage * 0.5 * n, 0) AS BIGINT) AS s, CAST(round_even(0.015625 * n, 0) AS BIGINT) AS e, CAST(round_even((1 - (coverage * 0.5 + 0.015625 + 0.0078125)) * n, 0) AS BIGINT) AS r FROM q")
+@_q("e9_initial_counts", S_PAR + " SELECT id, CAST(round_even(coverage * 0.5 * n, 0) AS BIGINT) AS s, CAST(round_even(0.015625 * n, 0) AS BIGINT) AS e, CAST(round_even(0.0078125 * n, 0) AS BIGINT) AS i, CAST(round_even((1 - (coverage * 0.5 + 0.015625 + 0.0078125)) * n, 0) AS BIGINT) AS r FROM q")
 def _(spark, d):
     x = par.initial_counts(_c("n"), _c("coverage") * 0.5, F.lit(0.015625), F.lit(0.0078125))
-    return _params(spark, d).select("id", *(x[k].alias(k) for k in "ser"))
+    return _params(spark, d).select("id", *(x[k].alias(k) for k in "seir"))
 
 
 @_q("e12_parameter_record", S_PAR + " SELECT id, round(sigma, 9) AS sigma, round(gamma, 9) AS gamma, round(mu, 9) AS mu, round(beta, 9) AS beta, round(CAST(1.06 AS DOUBLE) * mu * (r0 - 1) / sqrt(n), 12) AS epsilon, n, shape FROM q")
@@ -428,7 +485,7 @@ def _(spark, d):
     series = _series(spark, d)
     drawn = se.static_background(series.drop("noise"), 20.0, 7, SIM)
     want = series.agg((20 * F.avg("incidence")).alias("want"))
-    return drawn.groupBy("sim").agg(F.avg("noise").alias("m")).join(F.broadcast(want)).select("sim", (F.abs(F.col("m") - F.col("want")) < 5 * F.sqrt(F.col("want") / 2500)).alias("near"))
+    return drawn.groupBy("sim").agg(F.avg("noise").alias("m"), F.count("*").alias("days")).join(F.broadcast(want)).select("sim", (F.abs(F.col("m") - F.col("want")) < 5 * F.sqrt(F.col("want") / F.col("days"))).alias("near"))
 
 
 @_q("t5_combine_series", S_SERIES + " SELECT sim, day, incidence, noise, incidence + noise AS total FROM series")
@@ -531,33 +588,44 @@ def _(spark, d):
 
 @_q("t18_outbreak_classes", S_OUT + " SELECT sim, lo, hi, duration, size, CAST(duration >= 3 AND size >= 4 * thr AS INTEGER) AS status FROM oruns, spec")
 def _(spark, d):
-    series = _series(spark, d)
+    series = _kept(spark, _series(spark, d))
     return rn.outbreak_runs(series, _spec(series), SIM).drop("run_idx")
 
 
 @_q("t19_outbreaks", S_OUT + " SELECT * FROM outbreaks")
 def _(spark, d):
-    series = _series(spark, d)
+    series = _kept(spark, _series(spark, d))
     return rn.outbreaks(series, _spec(series), SIM)
 
 
+@_q("t19_outbreak_specs", S_OUT + """,
+specs AS (SELECT 1 AS outbreak_spec, thr AS t, 3 AS least_days, 4 * thr AS least_size FROM spec UNION ALL SELECT 2, thr + 1, 2, thr + 1 FROM spec UNION ALL SELECT 3, 1, 5, 10 FROM spec),
+sflag AS (SELECT sim, outbreak_spec, day, incidence, day - row_number() OVER (PARTITION BY sim, outbreak_spec ORDER BY day) AS island FROM series JOIN specs ON incidence >= t),
+sruns AS (SELECT sim, outbreak_spec, min(day) AS lo, max(day) AS hi, count(*) AS duration, CAST(sum(incidence) AS BIGINT) AS size FROM sflag GROUP BY sim, outbreak_spec, island)
+SELECT sim, outbreak_spec, CAST(row_number() OVER (PARTITION BY sim, outbreak_spec ORDER BY lo) AS INTEGER) AS outbreak_idx, lo, hi, duration, size FROM sruns JOIN specs USING (outbreak_spec) WHERE duration >= least_days AND size >= least_size""")
+def _(spark, d):
+    series = _kept(spark, _series(spark, d))
+    one = _spec(series)
+    return rn.outbreaks(series, [one, rn.OutbreakSpec(one.threshold + 1, 2, one.threshold + 1), rn.OutbreakSpec(1, 5, 10)], SIM)
+
+
 @_q("t20_outbreak_status", S_OUT + " SELECT s.sim, s.day, CAST(o.sim IS NOT NULL AS INTEGER) AS status FROM series s LEFT JOIN outbreaks o ON o.sim = s.sim AND s.day BETWEEN o.lo AND o.hi")
 def _(spark, d):
-    series = _series(spark, d)
+    series = _kept(spark, _series(spark, d))
     return rn.outbreak_status(series, _spec(series), SIM)
 
 
 @_q("t21_series_without_outbreak", S_OUT + " SELECT r_regionkey AS sim FROM region WHERE r_regionkey NOT IN (SELECT sim FROM outbreaks WHERE size >= 30 * (SELECT thr FROM spec))")
 def _(spark, d):
-    series = _series(spark, d)
+    series = _kept(spark, _series(spark, d))
     spec = _spec(series)
     return rn.without_outbreak(series.select("sim").distinct(), rn.outbreaks(series, spec, SIM).where(F.col("size") >= 30 * spec.threshold), SIM)
 
 
 @_q("t22_time_window", S_OUT + " SELECT sim, outbreak_idx, lo, hi FROM outbreaks WHERE lo >= 365 AND hi <= 1460")
 def _(spark, d):
-    series = _series(spark, d)
-    return se.in_years(rn.outbreaks(series, _spec(series), SIM), 1, 4, src.DAYS).select("sim", "outbreak_idx", "lo", "hi")
+    series = _kept(spark, _series(spark, d))
+    return se.in_years(rn.outbreaks(series, _spec(series), SIM), 1, 4).select("sim", "outbreak_idx", "lo", "hi")
 
 
 # Matching and metrics ----------------------------------------------------------------------------------------------
@@ -660,25 +728,28 @@ def _(spark, d):
     return alerts.select("sim", F.lit("alert").alias("kind"), "duration").union(outbreaks.select("sim", F.lit("outbreak"), "duration"))
 
 
-S_SHARE = """ SELECT s.sim, coalesce((SELECT sum(duration) FROM alerts a WHERE a.sim = s.sim), 0) / CAST(2500 AS DOUBLE) AS share_in_alert,
-coalesce((SELECT sum(duration) FROM outbreaks o WHERE o.sim = s.sim), 0) / CAST(2500 AS DOUBLE) AS share_in_outbreak FROM sims s"""
+S_SHARE = """ SELECT s.sim, coalesce((SELECT sum(duration) FROM alerts a WHERE a.sim = s.sim), 0) / (SELECT CAST(n AS DOUBLE) FROM ends) AS share_in_alert,
+coalesce((SELECT sum(duration) FROM outbreaks o WHERE o.sim = s.sim), 0) / (SELECT CAST(n AS DOUBLE) FROM ends) AS share_in_outbreak FROM sims s"""
 
 
 @_q("m19_time_shares", S_ALERT + S_SHARE)
 def _(spark, d):
     _, _, alerts, outbreaks, _, sims = _world(spark, d)
-    return me.share_of_time(sims, alerts, src.DAYS, SIM, "share_in_alert").join(me.share_of_time(sims, outbreaks, src.DAYS, SIM, "share_in_outbreak"), "sim")
+    return me.share_of_time(sims, alerts, SIM, "share_in_alert").join(me.share_of_time(sims, outbreaks, SIM, "share_in_outbreak"), "sim")
 
 
 @_q("m20_metric_record", S_ALERT + """ SELECT a.sim, n_alerts, n_outbreaks, round(balanced, 9) AS accuracy, ppv, detected,
 array_to_string((SELECT list(alert_lo - outbreak_lo ORDER BY outbreak_idx) FROM firsts f WHERE f.sim = a.sim), ',') AS delays,
 array_to_string((SELECT list(cases ORDER BY outbreak_idx) FROM avoid v WHERE v.sim = a.sim), ',') AS unavoidable_cases,
-array_to_string((SELECT list(duration ORDER BY alert_idx) FROM alerts x WHERE x.sim = a.sim), ',') AS alert_durations FROM acc a""")
+array_to_string((SELECT list(duration ORDER BY alert_idx) FROM alerts x WHERE x.sim = a.sim), ',') AS alert_durations,
+array_to_string((SELECT list(duration ORDER BY outbreak_idx) FROM outbreaks x WHERE x.sim = a.sim), ',') AS outbreak_durations,
+coalesce((SELECT sum(duration) FROM alerts x WHERE x.sim = a.sim), 0) / (SELECT CAST(n AS DOUBLE) FROM ends) AS share_in_alert,
+coalesce((SELECT sum(duration) FROM outbreaks x WHERE x.sim = a.sim), 0) / (SELECT CAST(n AS DOUBLE) FROM ends) AS share_in_outbreak FROM acc a""")
 def _(spark, d):
     series, _, alerts, outbreaks, pairs, sims = _world(spark, d)
-    out = me.record(sims, series, alerts, outbreaks, pairs, src.DAYS, SIM, "BalancedAccuracy")
+    out = me.record(sims, series, alerts, outbreaks, pairs, SIM, "BalancedAccuracy")
     text = lambda c: F.when(F.size(c) > 0, F.array_join(c, ",")).alias(c)
-    return out.select("sim", "n_alerts", "n_outbreaks", _r("accuracy", 9).alias("accuracy"), "ppv", "detected", text("delays"), text("unavoidable_cases"), text("alert_durations"))
+    return out.select("sim", "n_alerts", "n_outbreaks", _r("accuracy", 9).alias("accuracy"), "ppv", "detected", text("delays"), text("unavoidable_cases"), text("alert_durations"), text("outbreak_durations"), "share_in_alert", "share_in_outbreak")
 
 
 # Threshold selection -----------------------------------------------------------------------------------------------
@@ -687,62 +758,83 @@ KEYS = ["percent_tested", "sensitivity", "specificity", "test_lag", "sim"]
 SCENARIO = KEYS[:-1]
 
 
-def _sweep_input(spark: SparkSession, d: str):
-    series = _series(spark, d)
-    outbreaks = rn.outbreaks(series, _spec(series), SIM)
-    # every scenario reads the test positives, so they are kept; what doesn't fit in memory goes to disk
-    positives = se.with_alert_inputs(te.expected_positives(series, RATES, TESTS, SIM), KEYS).persist()
-    mean = series.agg(F.avg(F.col("incidence") + F.col("noise"))).first()[0]
-    return series, outbreaks, positives, sw.equal_grid(0.0, float(2 * math.ceil(mean)), 10)[1:]
-
-
-S_SWEEP = S_TEST + S_OUT[len(S_SERIES):] + """,
-ready AS (
-  SELECT percent_tested, sensitivity, specificity, test_lag, sim, day,
-    avg(true_pos + false_pos) OVER (PARTITION BY sim, percent_tested, sensitivity, specificity, test_lag ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS value FROM late),
+def _sweep_input(spark: SparkSession, d: str, levels: list[float] | None = None):
+    """Series, outbreaks, test positives with outbreak_idx, and a grid of thresholds up to twice the mean.
+
+    levels: every background level of a batch, with noise_level as a further key.
+    """
+    series = _kept(spark, _series(spark, d))
+    means = series.agg(F.avg("incidence"), F.avg(F.col("incidence") + F.col("noise"))).first()
+    outbreaks = rn.outbreaks(series, _spec_of(means[0]), SIM)
+    marked, keys = rn.marked(series, outbreaks, SIM), SIM
+    if levels:
+        rows = marked.select("sim", "day", "incidence", "noise", "outbreak_idx", F.explode(F.lit(levels)).alias("noise_level"))
+        marked, keys = rows.withColumn("noise", F.bround(F.col("noise") * F.col("noise_level")).cast("long")), [*SIM, "noise_level"]
+    positives = se.with_alert_inputs(te.expected_positives(marked, RATES, TESTS, keys), [*KEYS, *keys[1:]])
+    return series, outbreaks, positives, sw.equal_grid(0.0, float(2 * math.ceil(means[1])), 10)[1:]
+
+
+def _sweep_sql(tests: str, methods: str, levels: str = "", metrics: str = "'BalancedAccuracy'") -> str:
+    """Scores by metric and best thresholds; tests: key columns of a test positive, methods: those of a compared value."""
+    series = "series" if not levels else f"(SELECT sim, day, incidence, CAST(round_even(noise * noise_level, 0) AS BIGINT) AS noise, noise_level FROM series, (SELECT unnest([{levels}]) AS noise_level)) series"
+    tested = S_TEST[len(S_SERIES) :].replace("percent_tested, sensitivity, specificity, test_lag,", f"{tests},").replace("percent_tested, sensitivity, specificity, test_lag ", f"{tests} ").replace("FROM series, percents", f"FROM {series}, percents")
+    compared = "CASE alert_method WHEN 'DailyThreshold' THEN CAST(daily AS DOUBLE) WHEN 'MovingAverage' THEN mean ELSE greatest(daily, mean) END"
+    several = methods != tests
+    return S_SERIES + tested + S_OUT[len(S_SERIES) :] + f""",
+smoothed AS (SELECT {tests}, sim, day, true_pos + false_pos AS daily, avg(true_pos + false_pos) OVER (PARTITION BY sim, {tests} ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS mean FROM late),
+ready AS (SELECT {methods}, sim, day, {compared if several else "mean"} AS value FROM smoothed{", (SELECT unnest(['DailyThreshold', 'MovingAverage', 'DailyThresholdMovingAverage']) AS alert_method)" if several else ""}),
 upper_bound AS (SELECT 2 * ceil(avg(incidence + noise)) AS u FROM series),
 cands AS (SELECT CAST(0 AS DOUBLE) + k * (u - CAST(0 AS DOUBLE)) / 10 AS "T" FROM upper_bound, (SELECT unnest(range(1, 11)) AS k)),
-reached AS (
-  SELECT percent_tested, sensitivity, specificity, test_lag, sim, "T", day,
-    day - row_number() OVER (PARTITION BY percent_tested, sensitivity, specificity, test_lag, sim, "T" ORDER BY day) AS island FROM ready JOIN cands ON value >= "T"),
-aruns AS (SELECT percent_tested, sensitivity, specificity, test_lag, sim, "T", island, min(day) AS lo, max(day) AS hi FROM reached GROUP BY ALL),
+reached AS (SELECT {methods}, sim, "T", day, day - row_number() OVER (PARTITION BY {methods}, sim, "T" ORDER BY day) AS island FROM ready JOIN cands ON value >= "T"),
+aruns AS (SELECT {methods}, sim, "T", island, min(day) AS lo, max(day) AS hi FROM reached GROUP BY ALL),
 met AS (
-  SELECT a.*, outbreak_idx, row_number() OVER (PARTITION BY percent_tested, sensitivity, specificity, test_lag, a.sim, "T", a.lo ORDER BY outbreak_idx) AS n
+  SELECT a.*, outbreak_idx, row_number() OVER (PARTITION BY {methods}, a.sim, "T", a.lo ORDER BY outbreak_idx) AS n
   FROM aruns a JOIN outbreaks o ON a.sim = o.sim AND ((a.lo >= o.lo AND a.lo <= o.hi) OR (a.lo <= o.lo AND a.hi > o.lo))),
-every AS (SELECT DISTINCT percent_tested, sensitivity, specificity, test_lag, sim, "T" FROM ready, cands),
-na AS (SELECT percent_tested, sensitivity, specificity, test_lag, sim, "T", count(*) AS n_alerts FROM aruns GROUP BY ALL),
-nm AS (SELECT percent_tested, sensitivity, specificity, test_lag, sim, "T", count(*) AS hits, count(DISTINCT outbreak_idx) AS found FROM met WHERE n = 1 GROUP BY ALL),
+every AS (SELECT DISTINCT {methods}, sim, "T" FROM ready, cands),
+na AS (SELECT {methods}, sim, "T", count(*) AS n_alerts FROM aruns GROUP BY ALL),
+nm AS (SELECT {methods}, sim, "T", count(*) AS hits, count(DISTINCT outbreak_idx) AS found FROM met WHERE n = 1 GROUP BY ALL),
 no AS (SELECT sim, count(*) AS n_outbreaks FROM outbreaks GROUP BY sim),
 ratios AS (
   SELECT e.*, coalesce(hits, 0) / nullif(coalesce(n_alerts, 0), 0) AS ppv, coalesce(found, 0) / nullif(coalesce(n_outbreaks, 0), 0) AS sens
-  FROM every e LEFT JOIN na USING (percent_tested, sensitivity, specificity, test_lag, sim, "T") LEFT JOIN nm USING (percent_tested, sensitivity, specificity, test_lag, sim, "T") LEFT JOIN no USING (sim)),
+  FROM every e LEFT JOIN na USING ({methods}, sim, "T") LEFT JOIN nm USING ({methods}, sim, "T") LEFT JOIN no USING (sim)),
 scored AS (
-  SELECT percent_tested, sensitivity, specificity, test_lag, "T",
-    round(avg((coalesce(ppv, 0) + coalesce(sens, 0)) / nullif((ppv IS NOT NULL)::INT + (sens IS NOT NULL)::INT, 0)), 9) AS mean_accuracy FROM ratios GROUP BY ALL),
+  SELECT {methods}, accuracy_metric, "T",
+    round(avg(CASE accuracy_metric WHEN 'F1' THEN coalesce(2 * ppv * sens / nullif(ppv + sens, 0), 0)
+      ELSE (coalesce(ppv, 0) + coalesce(sens, 0)) / nullif((ppv IS NOT NULL)::INT + (sens IS NOT NULL)::INT, 0) END), 9) AS mean_accuracy
+  FROM ratios, (SELECT unnest([{metrics}]) AS accuracy_metric) GROUP BY ALL),
 losses AS (SELECT *, round(1 - mean_accuracy, 9) AS loss FROM scored),
 best AS (
-  SELECT * EXCLUDE (k) FROM (
-    SELECT percent_tested, sensitivity, specificity, test_lag, "T", loss, row_number() OVER (PARTITION BY percent_tested, sensitivity, specificity, test_lag ORDER BY loss, "T") AS k
-    FROM losses WHERE loss IS NOT NULL) WHERE k = 1)"""
+  SELECT * EXCLUDE (k, mean_accuracy) FROM (
+    SELECT *, row_number() OVER (PARTITION BY {methods}, accuracy_metric ORDER BY loss, "T") AS k FROM losses WHERE loss IS NOT NULL) WHERE k = 1)"""
+
+
+TEST = "percent_tested, sensitivity, specificity, test_lag"
+S_SWEEP = _sweep_sql(TEST, TEST)
+S_BATCH = _sweep_sql(f"noise_level, {TEST}", f"alert_method, noise_level, {TEST}", "CAST(0.5 AS DOUBLE), 1.0, 2.0", "'BalancedAccuracy', 'F1'")
+LEVELS = [0.5, 1.0, 2.0]
+
+
+def _ready(positives: DataFrame) -> DataFrame:
+    return sw.prepared(positives, "MovingAverage").select(*KEYS, "day", "value", "outbreak_idx")
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    _, outbreaks, positives, candidates = _sweep_input(spark, d)
-    return sw.scores(sw.prepared(positives, "MovingAverage"), outbreaks, candidates, KEYS, SIM, "BalancedAccuracy")
+    _, _, positives, candidates = _sweep_input(spark, d)
+    return sw.scores(_ready(positives), candidates, KEYS, SIM, "BalancedAccuracy")
 
 
-@_q("o1_candidate_scores", S_SWEEP + " SELECT * FROM losses")
+@_q("o1_candidate_scores", S_SWEEP + " SELECT * EXCLUDE (accuracy_metric) FROM losses")
 def _(spark, d):
     return _scored(spark, d)
 
 
-@_q("o2_best_threshold", S_SWEEP + " SELECT * FROM best")
+@_q("o2_best_threshold", S_SWEEP + " SELECT * EXCLUDE (accuracy_metric) FROM best")
 def _(spark, d):
     return sw.best(_scored(spark, d), SCENARIO)
 
 
 @_q("o3_breakpoint_sweep", S_ALERT + """,
-points AS (SELECT DISTINCT CAST(test_pos AS DOUBLE) AS "T" FROM ma WHERE test_pos BETWEEN 1 AND 40 UNION SELECT CAST(40 AS DOUBLE)),
+points AS (SELECT DISTINCT CAST(test_pos AS DOUBLE) AS "T" FROM ma WHERE test_pos >= 1 UNION SELECT greatest(CAST(1 AS DOUBLE), max(test_pos)) FROM ma),
 xflag AS (SELECT sim, "T", day, day - row_number() OVER (PARTITION BY sim, "T" ORDER BY day) AS island FROM ma JOIN points ON test_pos >= "T"),
 xruns AS (SELECT sim, "T", island, min(day) AS lo, max(day) AS hi FROM xflag GROUP BY ALL),
 xmet AS (SELECT a.*, outbreak_idx, row_number() OVER (PARTITION BY a.sim, "T", a.lo ORDER BY outbreak_idx) AS n FROM xruns a JOIN outbreaks o ON a.sim = o.sim AND ((a.lo >= o.lo AND a.lo <= o.hi) OR (a.lo <= o.lo AND a.hi > o.lo))),
@@ -752,40 +844,42 @@ xr AS (
 xs AS (SELECT "T", round(1 - round(avg((coalesce(ppv, 0) + coalesce(sens, 0)) / nullif((ppv IS NOT NULL)::INT + (sens IS NOT NULL)::INT, 0)), 9), 9) AS loss FROM xr GROUP BY "T")
 SELECT CAST(0.9 AS DOUBLE) AS sensitivity, "T", loss FROM xs WHERE loss IS NOT NULL ORDER BY loss, "T" LIMIT 1""")
 def _(spark, d):
-    series = _series(spark, d)
-    ready = sw.prepared(se.with_alert_inputs(te.expected_positives(series, [1.0], ONE_TEST, SIM), KEYS), "DailyThreshold")
-    points = sw.breakpoints(ready, 1.0, max(1.0, ready.agg(F.max("value")).first()[0] or 0.0))
-    return sw.best(sw.scores(ready, rn.outbreaks(series, _spec(series), SIM), points, KEYS, SIM, "BalancedAccuracy"), SCENARIO).select("sensitivity", "T", "loss")
+    series = _kept(spark, _series(spark, d))
+    marked = rn.marked(series, rn.outbreaks(series, _spec(series), SIM), SIM)
+    ready = sw.prepared(se.with_alert_inputs(te.expected_positives(marked, [1.0], ONE_TEST, SIM), KEYS), "DailyThreshold").select(*KEYS, "day", "value", "outbreak_idx")
+    points = _kept(spark, sw.breakpoints(ready, 1.0, SCENARIO))
+    return sw.best(sw.scores(ready, points, KEYS, SIM, "BalancedAccuracy"), SCENARIO).select("sensitivity", "T", "loss")
 
 
 @_q("o4_optimal_result", S_SWEEP + """ SELECT percent_tested, sensitivity, specificity, test_lag, sim, "T", loss, coalesce(n_alerts, 0) AS n_alerts, coalesce(n_outbreaks, 0) AS n_outbreaks, ppv, sens AS detected
 FROM best JOIN ratios USING (percent_tested, sensitivity, specificity, test_lag, "T") LEFT JOIN na USING (percent_tested, sensitivity, specificity, test_lag, sim, "T") LEFT JOIN no USING (sim)""")
 def _(spark, d):
     series, outbreaks, positives, candidates = _sweep_input(spark, d)
-    ready = sw.prepared(positives, "MovingAverage").select(*KEYS, "day", "value")
-    chosen = sw.best(sw.scores(ready, outbreaks, candidates, KEYS, SIM, "BalancedAccuracy"), SCENARIO)
-    out = sw.result_at(ready, chosen, series, outbreaks, KEYS, SIM, src.DAYS, "BalancedAccuracy")
+    ready = _kept(spark, _ready(positives))
+    chosen = _kept(spark, sw.best(sw.scores(ready, candidates, KEYS, SIM, "BalancedAccuracy"), SCENARIO))
+    out = sw.result_at(ready, chosen, series, outbreaks, KEYS, SIM, "BalancedAccuracy")
     return out.select(*KEYS, "T", "loss", "n_alerts", "n_outbreaks", "ppv", "detected")
 
 
-@_q("o5_scenario_batch", S_SWEEP + " SELECT percent_tested, sensitivity, specificity, test_lag, 'MovingAverage' AS alert_method, 'BalancedAccuracy' AS accuracy_metric, \"T\", loss FROM best")
+@_q("o5_scenario_batch", S_BATCH + " SELECT * FROM best")
 def _(spark, d):
-    _, outbreaks, positives, candidates = _sweep_input(spark, d)
-    return sw.sweep_all(positives, outbreaks, ["MovingAverage"], ["BalancedAccuracy"], candidates, KEYS, SIM)
+    _, _, positives, candidates = _sweep_input(spark, d, LEVELS)
+    return sw.sweep_all(positives, candidates, METHODS, ["BalancedAccuracy", "F1"], [*KEYS[:-1], "noise_level", "sim"], SIM)
 
 
-@_q("o6_resumable_run", S_SWEEP + " SELECT * FROM best")
+@_q("o6_resumable_run", S_SWEEP + " SELECT * EXCLUDE (accuracy_metric) FROM best")
 def _(spark, d):
-    _, outbreaks, positives, candidates = _sweep_input(spark, d)
-    path = _store(spark)
-    scenarios = positives.select(*SCENARIO).distinct()
+    _, _, positives, candidates = _sweep_input(spark, d)
+    path, ready = _store(spark), _kept(spark, _ready(positives))
+    scenarios = _kept(spark, ready.select(*SCENARIO).distinct())
 
     def compute(todo: DataFrame) -> DataFrame:
-        ready = sw.prepared(positives.join(F.broadcast(todo), SCENARIO, "left_semi"), "MovingAverage")
-        return sw.best(sw.scores(ready, outbreaks, candidates, KEYS, SIM, "BalancedAccuracy"), SCENARIO)
+        own = sw.beside(ready, _kept(spark, todo.select(*SCENARIO)), SCENARIO)
+        return sw.best(sw.scores(own, candidates, KEYS, SIM, "BalancedAccuracy"), SCENARIO)
 
-    sw.resume(spark, scenarios.where("sensitivity < 1"), compute, f"{path}/results", f"{path}/checkpoints", "2024-01-01T00-00-00", SCENARIO)
-    return sw.resume(spark, scenarios, compute, f"{path}/results", f"{path}/checkpoints", "2024-01-02T00-00-00", SCENARIO)
+    run = lambda rows, ts: sw.resume(spark, rows, compute, f"{path}/results", f"{path}/checkpoints", ts, SCENARIO, batches=2)
+    run(scenarios.where("sensitivity < 1"), "2024-01-01T00-00-00")
+    return run(scenarios, "2024-01-02T00-00-00")
 
 
 # Reports -----------------------------------------------------------------------------------------------------------
@@ -835,8 +929,7 @@ def _(spark, d):
 
 @_q("r7_nested_summary", S_LINES + f" SELECT noise_type, round(avg(value), 6) AS mean, {S_PCT} FROM lines GROUP BY ALL")
 def _(spark, d):
-    orders = _lines(spark, d).groupBy("noise_type", "l_orderkey").agg(F.collect_list("value").alias("values"))
-    nested = orders.groupBy("noise_type", (F.col("l_orderkey") % 997).alias("part")).agg(F.collect_list("values").alias("nested"))
+    nested = _lines(spark, d).groupBy("noise_type", "l_orderkey", "noise_level").agg(F.collect_list("value").alias("values")).groupBy("noise_type", "l_orderkey").agg(F.collect_list("values").alias("nested"))
     out = rp.summary(rp.flattened(nested, ["noise_type"], "nested"), ["noise_type"], "value")
     return out.select("noise_type", *(_r(c).alias(c) for c in ("mean", "p10", "p90")))
 
@@ -854,26 +947,26 @@ def _(spark, d):
 
 @_q("r10_cell_value", S_LINES + " SELECT noise_type, noise_level, percent_tested, round(avg(value), 6) AS value FROM lines GROUP BY ALL")
 def _(spark, d):
-    rows = _lines(spark, d).groupBy("noise_type", "noise_level", "percent_tested").agg(F.collect_list("value").alias("values"))
-    return rows.select("noise_type", "noise_level", "percent_tested", _r(rp.cell_value(F.col("values"))).alias("value"))
+    keys = ["noise_type", "noise_level", "percent_tested"]
+    rows = _lines(spark, d).groupBy(*keys, "l_orderkey").agg(F.collect_list("value").alias("values"))
+    return rp.cell_values(rows, keys, "values").select(*keys, _r("value").alias("value"))
 
 
-PERCENTS = [0.1, 0.5, 1.0]
+PERCENTS = [k / 10 for k in range(11)]
 WIDE_IDS = ["noise_type", "noise_level", "sensitivity", "specificity", "test_lag"]
-S_WIDE = S_REPORT + """,
+S_WIDE = S_REPORT + f""",
 wide AS (
-  SELECT noise_type, noise_level, sensitivity, specificity, test_lag, max(value) FILTER (WHERE percent_tested = 0.1) AS "0.1", max(value) FILTER (WHERE percent_tested = 0.5) AS "0.5",
-    max(value) FILTER (WHERE percent_tested = 1.0) AS "1.0",
+  SELECT noise_type, noise_level, sensitivity, specificity, test_lag, {", ".join(f'max(value) FILTER (WHERE percent_tested = {p}) AS "{p}"' for p in PERCENTS)},
     CASE WHEN sensitivity = 1 THEN 'Perfect Test' ELSE 'Imperfect Test (' || CAST(round_even(sensitivity * 100, 0) AS INTEGER) || '%)' END AS test_type
-  FROM report WHERE percent_tested IN (0.1, 0.5, 1.0) GROUP BY ALL),
+  FROM report GROUP BY ALL),
 one AS (
-  SELECT 'all_noise_structures' AS noise_type, CAST(NULL AS DOUBLE) AS noise_level, sensitivity, specificity, test_lag, "0.1", "0.5", "1.0", test_type FROM (
+  SELECT 'all_noise_structures' AS noise_type, CAST(NULL AS DOUBLE) AS noise_level, sensitivity, specificity, test_lag, {", ".join(f'"{p}"' for p in PERCENTS)}, test_type FROM (
     SELECT *, row_number() OVER (PARTITION BY test_type, test_lag ORDER BY noise_type, noise_level) AS k FROM wide WHERE test_type = 'Perfect Test') WHERE k = 1),
 collapsed AS (SELECT * FROM wide WHERE test_type <> 'Perfect Test' UNION ALL SELECT * FROM one)"""
 
 
 def _wide(spark: SparkSession, d: str) -> DataFrame:
-    return rp.wide(_report(spark, d).where(F.col("percent_tested").isin(PERCENTS)), WIDE_IDS, PERCENTS)
+    return rp.wide(_report(spark, d), WIDE_IDS, PERCENTS)
 
 
 @_q("r11_wide", S_WIDE + " SELECT * FROM wide")
@@ -892,7 +985,7 @@ def _(spark, d):
 
 
 @_q("r13_presented", S_WIDE + """ SELECT CASE noise_type WHEN 'static' THEN 'Static Noise' WHEN 'dynamic' THEN 'Dynamic Noise' ELSE 'All noise structures' END AS "Noise Type", noise_level, sensitivity, specificity,
-test_lag AS "Test Lag", "0.1" AS "10%", "0.5" AS "50%", "1.0" AS "100%", test_type AS "Test Type" FROM collapsed""")
+test_lag AS "Test Lag", """ + ", ".join(f'"{p}" AS "{round(100 * p)}%"' for p in PERCENTS) + """, test_type AS "Test Type" FROM collapsed""")
 def _(spark, d):
     return rp.presented(rp.collapsed(_wide(spark, d)))
 
@@ -902,7 +995,7 @@ def _(spark, d):
     return rp.at_level(rp.collapsed(_wide(spark, d)), 3.0)
 
 
-@_q("r15_percent_columns", S_WIDE + ' SELECT noise_type, noise_level, test_type, test_lag, sensitivity, round(("0.1" + "0.5" + "1.0") / 3, 6) AS mean FROM wide')
+@_q("r15_percent_columns", S_WIDE + ' SELECT noise_type, noise_level, test_type, test_lag, sensitivity, round((' + " + ".join(f'"{p}"' for p in PERCENTS) + ') / 11, 6) AS mean FROM wide')
 def _(spark, d):
     table = _wide(spark, d)
     columns = rp.percent_columns(table)
@@ -927,8 +1020,8 @@ def _(spark, d):
 @_q("r18_characteristic_mean", S_LINES + " SELECT noise_type, noise_level, avg(value) AS mean FROM lines WHERE sensitivity = 1 AND test_lag = 14 GROUP BY ALL")
 def _(spark, d):
     own = rp.configured(_lines(spark, d), sensitivity=1.0, specificity=1.0, test_lag=14)
-    nested = own.groupBy("noise_type", "noise_level", "year").agg(F.collect_list("value").alias("v")).groupBy("noise_type", "noise_level").agg(F.collect_list("v").alias("nested"))
-    return rp.flattened(nested, ["noise_type", "noise_level"], "nested").groupBy("noise_type", "noise_level").agg(F.avg("value").alias("mean"))
+    lists = own.groupBy("noise_type", "noise_level", "l_orderkey").agg(F.collect_list("value").alias("values"))
+    return rp.cell_values(lists, ["noise_type", "noise_level"], "values", "mean")
 
 
 @_q("r19_perfect_test_consistency", S_REPORT + """,
@@ -948,7 +1041,7 @@ def _(spark, d):
 @_q("r21_bootstrap_interval", S_REPORT + " SELECT round(avg(value), 6) AS mean, true AS inside, true AS near FROM report")
 def _(spark, d):
     rows = _report(spark, d).withColumn("id", F.xxhash64(*REPORT_KEYS))
-    out = rp.bootstrap(rows, "id", "value", 200)
+    out = rp.bootstrap(rows, "id", "value", 10_000)
     wide = rows.agg((F.stddev_pop("value") / F.sqrt(F.count("*"))).alias("se"))
     near = (F.col("high") - F.col("low")).between(2.5 * F.col("se"), 5.5 * F.col("se"))
     return out.join(F.broadcast(wide)).select(_r("mean").alias("mean"), ((F.col("low") < F.col("mean")) & (F.col("mean") < F.col("high"))).alias("inside"), near.alias("near"))

@@ -15,6 +15,11 @@ def noise_description(kind: Column, correlation: Column) -> Column:
     return F.when(kind == "static", "Poisson").otherwise(F.concat(F.lit("Dynamical, "), correlation))
 
 
+def noise_magnitude(kind: Column, scaling: Column, coverage: Column) -> Column:
+    """What makes a background as large as it is: its scaling if static, else the vaccination coverage."""
+    return F.when(kind == "static", F.concat(F.lit("Poisson scaling: "), scaling.cast("string"))).otherwise(F.concat(F.lit("Vaccination coverage: "), coverage.cast("string")))
+
+
 def method_name(shown: Column) -> Column:
     """The last name before a parenthesis: MovingAverage from AlertMethod.MovingAverage(7)."""
     return F.regexp_extract(shown, "([^.(]+)\\(", 1)

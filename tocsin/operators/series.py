@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +12,19 @@ def by_day(keys: list[str]):
     return Window.partitionBy(*keys).orderBy("day")
 
 
+def gathered(parts: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Rows of all parts, dealt by `_dealt`, a hash of the keys; a column that a part lacks is null there.
+
+    Windows and groups name `_dealt` before the keys. Where they don't, Spark 4.1 takes a union of parts that are dealt
+    by keys for dealt by keys too, but adds the parts' partitions one after the other if it reuses an exchange below them
+    (spark.sql.unionOutputPartitioning), so that rows of a key don't meet.
+    """
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    return rows.withColumn("_dealt", F.xxhash64(*keys)).repartition("_dealt")
+
+
 def pooled_mean(series: DataFrame, value: str = "incidence") -> DataFrame:
     return series.agg(F.avg(value).alias("mean"))
 
@@ -61,36 +72,74 @@ def compared(method: Column) -> Column:
     )
 
 
-def in_years(df: DataFrame, first: float, last: float, length: int) -> DataFrame:
+def in_years(df: DataFrame, first: float, last: float) -> DataFrame:
     """Values on days of the window, or intervals (lo, hi) wholly inside it; years have 365 days."""
-    a, b = max(1, int(first * 365)), min(length, int(last * 365))
+    a, b = max(1, int(first * 365)), int(last * 365)
     return df.where((F.col("lo") >= a) & (F.col("hi") <= b)) if "lo" in df.columns else df.where(F.col("day").between(a, b))
 
 
-def _seeds(columns: list[pd.Series]) -> np.ndarray:
-    return columns[0].to_numpy().view(np.uint64)
+#: Trials, or mean, of one part of a draw: its chance of 0 is still a normal number.
+TRIALS, MEAN = 900, 500.0
 
 
-def _draws(batches: Iterator[pd.DataFrame], kind: str, scale: float) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        out = np.zeros(len(pdf), np.int64)
-        for i, (seed, n, p) in enumerate(zip(_seeds([pdf["_seed"]]).tolist(), pdf["_n"], pdf["_p"])):
-            rng = np.random.Generator(np.random.Philox(seed))
-            out[i] = rng.poisson(p * scale) if kind == "poisson" else rng.binomial(n, p)
-        yield pdf.drop(columns=["_seed", "_n", "_p"]).assign(**{"_drawn": out})
+def uniforms(seed: np.ndarray) -> np.ndarray:
+    """A number from [0, 1) for each 64-bit seed."""
+    x = seed.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
 
 
-def draw(df: DataFrame, name: str, kind: str, n: Column, p: Column, stream: list[Column], scale: float = 1.0) -> DataFrame:
-    """df with a column of Binomial(n, p) or Poisson(scale * p) draws.
+def _in_parts(seed: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, number and uniform of each part of each draw."""
+    row = np.repeat(np.arange(len(parts)), parts)
+    number = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+    return row, number, uniforms(seed.astype(np.int64).view(np.uint64)[row] ^ (number.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)))
+
+
+def _inverted(u: np.ndarray, chance: np.ndarray, ratio) -> np.ndarray:
+    """The least k whose cumulative chance exceeds u, for all elements at once; ratio(k, at) is chance k over chance k - 1."""
+    out, at, k = np.zeros(len(u), np.int64), np.arange(len(u)), 0
+    total = chance.copy()
+    while True:
+        open_ = (u[at] >= total) & (chance > 0)
+        at, chance, total, k = at[open_], chance[open_], total[open_], k + 1
+        if not len(at):
+            return out
+        out[at] = k
+        chance = chance * ratio(k, at)
+        total = total + chance
 
-    A row's generator is seeded by a hash of `stream`, so draws don't depend on partitions or on retries.
-    """
-    seeded = df.withColumns({"_seed": F.xxhash64(*stream), "_n": F.coalesce(n.cast("long"), F.lit(0)), "_p": F.coalesce(p.cast("double"), F.lit(0.0))})
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return seeded.mapInPandas(lambda batches: _draws(batches, kind, scale), f"{types}, _drawn long").withColumnRenamed("_drawn", name)
+
+def binomial(seed: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Binomial(n, p) draws by inversion, in parts of TRIALS trials."""
+    n, p = np.maximum(np.nan_to_num(n), 0).astype(np.int64), np.clip(np.nan_to_num(p), 0.0, 1.0)
+    q = np.minimum(p, 1 - p)
+    row, number, u = _in_parts(seed, -(-n // TRIALS))
+    trials, chance = np.minimum(TRIALS, n[row] - number * TRIALS), q[row]
+    hits = _inverted(u, (1 - chance) ** trials, lambda k, at: (trials[at] - k + 1) / k * chance[at] / (1 - chance[at]))
+    drawn = np.bincount(row, np.minimum(hits, trials), len(n)).astype(np.int64)
+    return np.where(p > 0.5, n - drawn, drawn)
+
+
+def poisson(seed: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """Poisson(mean) draws by inversion, in parts of at most MEAN."""
+    mean = np.maximum(np.nan_to_num(mean), 0.0)
+    row, number, u = _in_parts(seed, np.ceil(mean / MEAN).astype(np.int64))
+    part = np.minimum(MEAN, mean[row] - number * MEAN)
+    return np.bincount(row, _inverted(u, np.exp(-part), lambda k, at: part[at] / k), len(mean)).astype(np.int64)
 
 
 def static_background(series: DataFrame, level: float, seed: int, keys: list[str]) -> DataFrame:
-    """Adds noise: an independent Poisson(level * mean incidence) draw for each series and day."""
-    mean = series.agg(F.avg("incidence")).first()[0] or 0.0
-    return draw(series, "noise", "poisson", F.lit(0), F.lit(float(mean)), [F.lit(seed), *map(F.col, keys), F.col("day")], level)
+    """Adds noise: an independent Poisson(level * mean incidence) draw for each series and day.
+
+    A draw's seed is a hash of series and day, so draws don't depend on partitions or on retries.
+    """
+
+    @F.pandas_udf("long")
+    def drawn(seed: pd.Series, mean: pd.Series) -> pd.Series:
+        return pd.Series(poisson(seed.to_numpy(), mean.to_numpy()))
+
+    mean = series.agg((F.avg("incidence") * level).alias("_mean"))  # one row
+    rows = series.crossJoin(F.broadcast(mean))
+    return rows.withColumn("noise", drawn(F.xxhash64(F.lit(seed), *map(F.col, keys), F.col("day")), F.coalesce("_mean", F.lit(0.0)))).drop("_mean")

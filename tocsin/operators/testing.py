@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tocsin.operators.series import by_day, draw
+from tocsin.operators.series import binomial, by_day
 
 
 class TestSpec(NamedTuple):
@@ -25,6 +26,15 @@ def expected(count: Column, p: Column) -> Column:
     return F.bround(count * p).cast("long")
 
 
+def test_positives(true: Column, noise: Column, rate: float, test: TestSpec) -> Column:
+    """A day's expected test positives of one test, without its reporting lag."""
+    part = lambda count, p: expected(expected(count, F.lit(float(rate))), F.lit(float(p)))
+    return part(true, test.sensitivity) + part(noise, 1 - test.specificity)
+
+
+test_positives.__test__ = False
+
+
 def reported(value: Column, lags: list[int], keys: list[str]) -> Column:
     """value on the day its result comes, by the row's test_lag: 0 before, dropped beyond the end. All lags share one window."""
     w = by_day([*keys, *TEST_KEYS])
@@ -49,13 +59,18 @@ def expected_positives(series: DataFrame, rates: list[float], tests: list[TestSp
 
 def drawn_positives(series: DataFrame, rates: list[float], tests: list[TestSpec], keys: list[str], seed: int = 1) -> DataFrame:
     """As expected_positives with binomial draws. The true stream's seeds hold nothing of the noise, so it is the same beside any background."""
-    rows = specified(series, rates, tests)
     at = [*map(F.col, keys), F.col("day"), F.col("percent_tested")]
     spec = [F.col("sensitivity"), F.col("specificity")]
-    rows = draw(rows, "tested_pos", "binomial", F.col("incidence"), F.col("percent_tested"), [F.lit(seed), F.lit("tested"), *at])
-    rows = draw(rows, "tested_noise", "binomial", F.col("noise"), F.col("percent_tested"), [F.lit(seed), F.lit("tested noise"), *at])
-    rows = draw(rows, "_tp", "binomial", F.col("tested_pos"), F.col("sensitivity"), [F.lit(seed), F.lit("true"), *at, *spec])
-    rows = draw(rows, "_fp", "binomial", F.col("tested_noise"), 1 - F.col("specificity"), [F.lit(seed), F.lit("false"), *at, *spec])
+    streams = [F.xxhash64(F.lit(seed), F.lit(name), *stream) for name, stream in (("tested", at), ("tested noise", at), ("true", at + spec), ("false", at + spec))]
+
+    @F.pandas_udf("tested_pos long, tested_noise long, _tp long, _fp long")
+    def drawn(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series, true: pd.Series, noise: pd.Series, rate: pd.Series, sens: pd.Series, spec: pd.Series) -> pd.DataFrame:
+        rate, true, noise = rate.to_numpy(), true.to_numpy(), noise.to_numpy()
+        pos, other = binomial(a.to_numpy(), true, rate), binomial(b.to_numpy(), noise, rate)
+        return pd.DataFrame({"tested_pos": pos, "tested_noise": other, "_tp": binomial(c.to_numpy(), pos, sens.to_numpy()), "_fp": binomial(d.to_numpy(), other, 1 - spec.to_numpy())})
+
+    rows = specified(series, rates, tests)
+    rows = rows.withColumn("_d", drawn(*streams, "incidence", "noise", "percent_tested", *spec)).select(*rows.columns, "_d.*")
     return _reported(rows, tests, keys)
 
 

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tocsin.functions.labels import table_label
+from tocsin.operators.series import uniforms
 
 SPEC = ["sensitivity", "specificity", "test_lag"]
 #: Measures that a report may show.
@@ -27,7 +33,7 @@ def cell_table(results: DataFrame) -> DataFrame:
     """Adds i and j by joining ranks of the distinct types and levels, which are few."""
     types = results.select("noise_type").distinct().select("noise_type", F.row_number().over(Window.orderBy(F.desc("noise_type"))).alias("i"))
     levels = results.select("noise_level").distinct().select("noise_level", F.row_number().over(Window.orderBy("noise_level")).alias("j"))
-    return results.join(F.broadcast(types), "noise_type").join(F.broadcast(levels), "noise_level")
+    return results.join(types, "noise_type").join(levels, "noise_level")
 
 
 def spec_order(*more: str) -> list[Column]:
@@ -68,13 +74,11 @@ def measure(results: DataFrame, name: str, keys: list[str]) -> DataFrame:
     return results.select(*keys, F.col(name).alias("value"))
 
 
-def cell_value(values: Column) -> Column:
-    """Mean of an array's elements; text is made at export only."""
-    return F.aggregate(values, F.lit(0.0), lambda t, x: t + x) / F.nullif(F.size(values), F.lit(0))
-
-
-def as_text(value: Column) -> Column:
-    return F.format_string("%.2f", value)
+def cell_values(df: DataFrame, keys: list[str], nested: str, name: str = "value") -> DataFrame:
+    """(keys, name): mean of all elements of the cells' arrays. Each array is folded where it is, and sums are added up,
+    so no cell is gathered; text is made at export only."""
+    folded = df.select(*keys, F.aggregate(nested, F.lit(0.0), lambda t, x: t + F.coalesce(x, F.lit(0.0))).alias("_t"), F.size(F.filter(nested, lambda x: x.isNotNull())).alias("_n"))
+    return folded.groupBy(*keys).agg((F.sum("_t") / F.nullif(F.sum("_n"), F.lit(0))).alias(name))
 
 
 def repeated_cells(long: DataFrame, ids: list[str]) -> DataFrame:
@@ -131,7 +135,7 @@ def baseline_difference(long: DataFrame, ids: list[str], value: str = "value") -
     """
     perfect = (F.col("sensitivity") == 1.0) & (F.col("specificity") == 1.0) & (F.col("test_lag") == 0)
     base = long.where(perfect).groupBy("percent_tested").agg(F.when(F.count("*") == 1, F.first(value)).otherwise(F.raise_error(F.lit("the baseline isn't unique")).cast("double")).alias("base"))
-    return long.where(~perfect).join(F.broadcast(base), "percent_tested").groupBy(*ids).agg(F.avg(F.col(value) - F.col("base")).alias("mean_difference"))
+    return long.where(~perfect).join(base, "percent_tested").groupBy(*ids).agg(F.avg(F.col(value) - F.col("base")).alias("mean_difference"))
 
 
 def spread_of_means(values: DataFrame, scenario: list[str], keys: list[str], digits: int = 2) -> DataFrame:
@@ -170,23 +174,30 @@ def difference_summary(draws: DataFrame, keys: list[str], value: str) -> DataFra
     )
 
 
+def _replicate_sums(batches: Iterator[pa.RecordBatch], replicates: int) -> Iterator[pa.RecordBatch]:
+    """A task's (replicate, sum of weights, sum of weighted values)."""
+    chance = np.exp(-1.0) / np.cumprod(np.r_[1.0, np.arange(1, 18)])
+    steps = np.cumsum(chance)  # distribution function of Poisson(1)
+    turn = np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    w, wv = np.zeros(replicates), np.zeros(replicates)
+    for batch in batches:
+        h, v = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+        for at in range(0, len(h), 512):
+            weight = np.searchsorted(steps, uniforms(h[at : at + 512, None] ^ turn), side="right")
+            w += weight.sum(axis=0)
+            wv += v[at : at + 512] @ weight
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates), pa.int32()), pa.array(w), pa.array(wv)], ["replicate", "w", "wv"])
+
+
 def bootstrap(values: DataFrame, id_col: str, value: str, replicates: int = 1000, interval: float = 0.95, seed: int = 1) -> DataFrame:
     """One row with the mean and its bias-corrected, accelerated bootstrap interval.
 
     A row's weight in a replicate is Poisson(1), drawn from a hash of (seed, replicate, id), so replicates need no
-    resampling: each task turns its rows into one pair of sums for each replicate.
+    resampling: each task keeps one pair of sums for each replicate, and no row is made for a row and replicate.
     """
-    # inverse distribution function of Poisson(1), from a uniform hash
-    steps, total, p = [], 0.0, 2.718281828459045**-1
-    for k in range(12):
-        total += p
-        steps.append(total)
-        p /= k + 1
-    uniform = lambda b: F.pmod(F.xxhash64(F.lit(seed), b, F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
-    weight = lambda b: sum(((uniform(b) >= s).cast("int") for s in steps), F.lit(0))
-    rows = values.where(F.col(value).isNotNull()).select(id_col, F.col(value).cast("double").alias("v"))
-    reps = rows.select(id_col, "v", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")).withColumn("w", weight(F.col("replicate")))
-    means = reps.groupBy("replicate").agg((F.sum(F.col("w") * F.col("v")) / F.nullif(F.sum("w"), F.lit(0))).alias("m")).where("m is not null")
+    rows = values.where(F.col(value).isNotNull()).select(F.xxhash64(F.lit(seed), id_col).alias("h"), F.col(value).cast("double").alias("v"))
+    sums = rows.mapInArrow(partial(_replicate_sums, replicates=replicates), "replicate int, w double, wv double")
+    means = sums.groupBy("replicate").agg((F.sum("wv") / F.nullif(F.sum("w"), F.lit(0.0))).alias("m")).where("m is not null")
     base = rows.agg(F.avg("v").alias("mean"), F.count("*").alias("n"), F.var_pop("v").alias("var"), F.skewness("v").alias("skew")).first()
     if not base["n"]:
         return rows.agg(F.avg("v").alias("mean"), F.avg("v").alias("low"), F.avg("v").alias("high"))

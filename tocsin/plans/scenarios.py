@@ -14,22 +14,23 @@ SCENARIO_KEYS = [
 def grid(dimensions: list[DataFrame]) -> DataFrame:
     """Every combination of the rows of small dimension frames, with `ord` counting from 1; the first varies fastest.
 
-    Each dimension is a few rows that name the values of one scenario property.
+    Each dimension is a few rows that name the values of one scenario property. Combinations are numbers of a range,
+    which Spark deals to its tasks, and each number is taken apart into a place in every dimension.
     """
-    numbered = []
+    out, size = None, F.lit(1).cast("long")
     for k, d in enumerate(dimensions):
-        rows = F.sort_array(F.collect_list(F.struct(*d.columns)))
-        numbered.append(d.agg(rows.alias(f"_r{k}")))
-    out, order, size = numbered[0], F.lit(0), F.lit(1)
-    for other in numbered[1:]:
-        out = out.join(F.broadcast(other))  # one row each
-    columns = [c for d in dimensions for c in d.columns]
+        one = d.agg(F.sort_array(F.collect_list(F.struct(*d.columns))).alias(f"_r{k}"))  # one row
+        out = one if out is None else out.join(F.broadcast(one))
+        size = size * F.size(f"_r{k}")
+    total = out.select(size).first()[0]
+    rows = dimensions[0].sparkSession.range(total).join(F.broadcast(out))
+    rest, values = F.col("id"), []
     for k, d in enumerate(dimensions):
-        rows = out[f"_r{k}"] if k == 0 else F.col(f"_r{k}")
-        out = out.withColumn(f"_n{k}", F.size(rows)).select("*", F.posexplode(f"_r{k}").alias(f"_p{k}", f"_v{k}"))
-        order, size = order + F.col(f"_p{k}") * size, size * F.col(f"_n{k}")
-    values = [F.col(f"_v{k}.{c}").alias(c) for k, d in enumerate(dimensions) for c in d.columns]
-    return out.select((order + 1).alias("ord"), *values).select("ord", *columns)
+        n = F.size(f"_r{k}")
+        values.append(F.get(f"_r{k}", (rest % n).cast("int")).alias(f"_v{k}"))
+        rest = F.floor(rest / n)
+    rows = rows.select((F.col("id") + 1).cast("int").alias("ord"), *values)
+    return rows.select("ord", *(F.col(f"_v{k}.{c}").alias(c) for k, d in enumerate(dimensions) for c in d.columns))
 
 
 def violations(**rules: Column) -> Column:
@@ -47,8 +48,18 @@ def scenario_rules() -> dict[str, Column]:
     }
 
 
+def dynamics_rules() -> dict[str, Column]:
+    """What valid parameters of a series' dynamics, its population, background and time axis keep to."""
+    c = F.col
+    return {
+        "r0": c("r0") > 0, "latent": c("latent") > 0, "infectious": c("infectious") > 0, "vaccination": (c("min_vaccination") >= 0) & (c("min_vaccination") <= c("max_vaccination")) & (c("max_vaccination") <= 1),
+        "force": c("force").between(0, 1), "population": c("n") > 0, "correlation": c("correlation").isin("in-phase", "out-of-phase", "none"), "time": c("tmax") > c("tmin") + c("tstep"), "tstep": c("tstep") > 0,
+    }
+
+
 def scenario_id(keys: list[str]) -> Column:
-    return F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in keys)), 256)
+    """Digest of names and values of all keys; a null differs from any text, and no text can pass for two values."""
+    return F.sha2(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), 256)
 
 
 def completed_keys(results: DataFrame, keys: list[str]) -> DataFrame:
@@ -66,8 +77,9 @@ def missing(scenarios: DataFrame, results: DataFrame, keys: list[str]) -> DataFr
 
 
 def grouped(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """One row for each group of scenario rows with what is in it."""
-    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sort_array(F.collect_set("ord")).alias("members"))
+    """(keys, n, first): the groups of scenario rows that share these properties, with the lowest ord; members are
+    found by the keys, so no group is gathered."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("ord").alias("first"))
 
 
 def merged(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -1,33 +1,41 @@
 """Threshold sweeps: every candidate threshold of every scenario in one job, the best one, and the resumable driver.
 
-Days are not crossed with thresholds. A day makes a row only for the candidates that its value reaches, and these rows
-keep the series' partitioning through window and aggregation, so a sweep has one large shuffle.
+Days are not crossed with thresholds. An alert begins on a day for just the candidates above the day before and not
+above the day itself, an interval of ranks; so is what a day's start, or a run that reaches an outbreak, detects. Each
+day makes at most two intervals, whose ends are summed along the candidates of its series.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tocsin.operators.matching import ALL_ALERTS, SINGLE, matches
-from tocsin.operators.metrics import accuracy, record, series_counts
+from tocsin.operators.matching import ALL_ALERTS, MULTIPLE, POST_START, SINGLE, matches
+from tocsin.operators.metrics import accuracy, ratio, record
 from tocsin.operators.runs import runs
-from tocsin.operators.series import compared
-from tocsin.plans.scenarios import missing
-from tocsin.sources.results import compact, load_results
+from tocsin.operators.series import compared, gathered
+from tocsin.plans.scenarios import merged, missing
+from tocsin.sources.results import append_checkpoint, compact, exists, load_checkpoints, load_snapshot
+
+#: Rows of a table that every task may get whole, and parts that a larger one is joined in.
+MOST_ROWS, SALTS = 100_000, 64
 
 
 def equal_grid(lower: float, upper: float, n: int) -> list[float]:
     return [lower + k * (upper - lower) / n for k in range(n + 1)]
 
 
-def breakpoints(prepared: DataFrame, lower: float, upper: float, value: str = "value") -> list[float]:
-    """Values at which accuracy can change, inside the bounds, and the upper bound: with these the optimum is exact.
+def breakpoints(prepared: DataFrame, lower: float, scenario: list[str], value: str = "value") -> DataFrame:
+    """(scenario, T): values from `lower` on at which accuracy can change, and the scenario's largest or `lower`.
 
-    Accuracy is constant between neighbouring values, whose number is bounded by the counts' range, not by the rows.
+    Accuracy is constant between neighbouring values, so with these the optimum is exact. Their number is bounded by
+    the counts' range, not by the rows, and they stay a table.
     """
-    found = prepared.select(value).where(F.col(value).between(lower, upper)).distinct()
-    return sorted({float(r[0]) for r in found.collect()} | {upper})
+    found = prepared.where(F.col(value) >= lower).select(*scenario, F.col(value).cast("double").alias("T"))
+    upper = prepared.groupBy(*scenario).agg(F.greatest(F.max(value).cast("double"), F.lit(float(lower))).alias("T"))
+    return found.union(upper).distinct()
 
 
 def prepared(positives: DataFrame, method: str) -> DataFrame:
@@ -35,35 +43,96 @@ def prepared(positives: DataFrame, method: str) -> DataFrame:
     return positives.withColumn("value", compared(F.lit(method)))
 
 
-def series_names(ready: DataFrame, keys: list[str]) -> DataFrame:
-    """Every series with `series_id`, one long for all its keys: float keys would be dealt anew at each step."""
-    return ready.select(*keys).distinct().withColumn("series_id", F.xxhash64(*keys))
+def beside(rows: DataFrame, table: DataFrame, on: list[str], most: int = MOST_ROWS) -> DataFrame:
+    """Inner join with a written table of few rows a scenario: sent to every task if its rows, counted, are few, else
+    joined in parts, as a scenario may hold most rows."""
+    if table.count() <= most:
+        return rows.join(F.broadcast(table), on)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    return salted.join(table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*on, "_salt"]).drop("_salt")
+
 
+def series_names(ready: DataFrame, keys: list[str]) -> DataFrame:
+    """Every series with `series_id`, one long for all its keys (float keys would be dealt anew at each step), and its length."""
+    return ready.groupBy(*keys).agg(F.count("*").cast("int").alias("length")).withColumn("series_id", F.xxhash64(*keys))
 
-def candidate_runs(ready: DataFrame, candidates: list[float], keys: list[str], by: list[str]) -> DataFrame:
-    """Alert runs for every candidate: (series_id, by, candidate, alert_idx, lo, hi, duration), candidates counted from 0.
 
-    Dealt once by series; window and sums by (series, candidate) keep that.
-    """
-    days = ready.select(F.xxhash64(*keys).alias("series_id"), *by, "day", "value").repartition("series_id")
-    reached = F.filter(F.lit(sorted(map(float, candidates))), lambda c: c <= F.col("value"))
-    return runs(days.select("series_id", *by, "day", F.posexplode(reached).alias("candidate", "T")), ["series_id", *by, "candidate"], "alert_idx")
+def rank(value: Column, candidates: Column, most: int) -> Column:
+    """How many of the ascending candidates, at most `most`, a value reaches; by halving."""
+    steps = F.array(*(F.lit(1 << b) for b in reversed(range(most.bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda r, s: F.when(F.get(candidates, r + s - 1) <= value, r + s).otherwise(r))
 
 
-def scores(ready: DataFrame, outbreaks: DataFrame, candidates: list[float], keys: list[str], by: list[str], metric: str, filtering: str = ALL_ALERTS, matching: str = SINGLE) -> DataFrame:
-    """(keys without by, T, mean_accuracy, loss): accuracy averaged over all series of a scenario for each T.
+def _intervals(ranked: DataFrame, filtering: str, matching: str) -> DataFrame:
+    """(series_id, a, b, alert, matched, o, covers): what happens for candidates a < k <= b.
 
-    keys name a series with its test, `by` the columns that name it among outbreaks.
+    alert and matched are 1 if an alert begins, and if it is one that meets an outbreak; covers: outbreak o is detected.
     """
-    each = ["series_id", *by, "candidate"]
+    w = Window.partitionBy("series_id").orderBy("day")
+    last = F.max(F.when(F.col("outbreak_idx").isNotNull(), F.col("day"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    days = ranked.withColumns({"before": F.coalesce(F.lag("r").over(w), F.lit(0)), "after": F.coalesce(F.lead("r").over(w), F.lit(0)), "fresh": ~F.col("outbreak_idx").eqNullSafe(F.lag("outbreak_idx").over(w)), "since": last})
+    days = days.withColumn("least", F.min("r").over(Window.partitionBy("series_id", "since").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)))
+    # at an outbreak's first day: the lowest rank since the last outbreak's end, 0 before the first outbreak
+    gap = F.when(F.lag("since").over(w).isNull(), F.lit(0)).otherwise(F.lag("least").over(w))
+    days = days.withColumn("gap", gap)
+    through = F.least("before", "r", "after")  # an alert is on the day before, the first day and the day after it
+    inside, fresh = F.col("outbreak_idx").isNotNull(), F.col("fresh") & F.col("outbreak_idx").isNotNull()
+    part = lambda a, b, alert, matched, covers: F.struct(a.alias("a"), b.alias("b"), F.lit(alert).alias("alert"), matched.cast("int").alias("matched"), covers.alias("covers"))
+    found = [F.when(F.col("r") > F.col("before"), part(F.col("before"), F.col("r"), 1, inside, inside))]
+    if filtering == ALL_ALERTS:
+        found.append(F.when(fresh & (through > F.col("gap")), part(F.col("gap"), through, 0, F.lit(1), F.lit(matching == SINGLE))))
+        if matching == MULTIPLE:
+            found.append(F.when(fresh & (through > 0), part(F.lit(0), through, 0, F.lit(0), F.lit(True))))
+    elif filtering != POST_START:
+        raise ValueError(f"no such filter: {filtering}")
+    rows = days.select("series_id", F.col("outbreak_idx").alias("o"), F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("i"))
+    return rows.select("series_id", "o", "i.*")
+
+
+def candidate_counts(ready: DataFrame, candidates: list[float] | DataFrame, keys: list[str], by: list[str], filtering: str = ALL_ALERTS, matching: str = SINGLE) -> DataFrame:
+    """(keys, T, n_alerts, n_outbreaks, n_matched_alerts, n_matched_outbreaks) of every series and candidate.
+
+    ready: (keys, day, value, outbreak_idx), the last from runs.marked(). candidates: thresholds for all scenarios, or
+    a written table (scenario, T), where the scenario is keys without `by`.
+    """
+    if matching not in (SINGLE, MULTIPLE):
+        raise ValueError(f"no such matching: {matching}")
+    scenario = [k for k in keys if k not in by]
+    if isinstance(candidates, list):
+        days, most = ready.withColumn("_t", F.lit(sorted(map(float, candidates)))), len(candidates)
+    else:
+        tables = candidates.groupBy(*scenario).agg(F.sort_array(F.collect_list("T")).alias("_t"), F.count("*").alias("_n"))
+        most = tables.agg(F.coalesce(F.max("_n"), F.lit(1))).first()[0]
+        days = beside(ready, tables.drop("_n"), scenario, MOST_ROWS // max(1, most // 100))
+    ranked = days.select(F.xxhash64(*keys).alias("series_id"), "day", "outbreak_idx", rank(F.col("value"), F.col("_t"), most).alias("r")).repartition("series_id")
+    found = _intervals(ranked, filtering, matching)
+    covered = F.max(F.when(F.col("covers"), F.col("b"))).over(Window.partitionBy("series_id", "o").orderBy("a", "b", "alert", "matched").rowsBetween(Window.unboundedPreceding, -1))
+    found = found.withColumn("fresh", F.greatest("a", F.coalesce(covered, F.lit(0))))
+    new = (F.col("covers") & (F.col("b") > F.col("fresh"))).cast("int")
+    end = lambda at, sign, alert, matched, new: F.struct((at + 1).alias("k"), (sign * alert).alias("n_alerts"), (sign * matched).alias("n_matched_alerts"), (sign * new).alias("n_matched_outbreaks"))
+    none = F.lit(0)
+    ends = F.array(end(F.col("a"), 1, F.col("alert"), F.col("matched"), none), end(F.col("fresh"), 1, none, none, new), end(F.col("b"), -1, F.col("alert"), F.col("matched"), new))
+    steps = found.select("series_id", F.explode(ends).alias("e")).select("series_id", "e.*")
+    names = days.groupBy(*keys).agg(F.coalesce(F.max("outbreak_idx"), F.lit(0)).cast("long").alias("n_outbreaks"), F.first("_t").alias("_t")).withColumn("series_id", F.xxhash64(*keys))
+    axis = names.select("series_id", F.posexplode("_t").alias("k", "T")).select("series_id", (F.col("k") + 1).alias("k"), *(F.lit(0).alias(c) for c in steps.columns[2:]))
+    sums = gathered([steps, axis], ["series_id"]).groupBy("_dealt", "series_id", "k").agg(*(F.sum(c).alias(c) for c in steps.columns[2:]))
+    w = Window.partitionBy("_dealt", "series_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    counts = sums.select("series_id", "k", *(F.sum(c).over(w).alias(c) for c in steps.columns[2:]))
+    return counts.join(names, "series_id").where(F.col("k") <= F.size("_t")).select(*keys, F.element_at("_t", F.col("k")).alias("T"), "n_alerts", "n_outbreaks", "n_matched_alerts", "n_matched_outbreaks")
+
+
+def mean_losses(counts: DataFrame, scenario: list[str], metrics: list[str]) -> DataFrame:
+    """(scenario, accuracy_metric, T, mean_accuracy, loss): accuracy averaged over a scenario's series, for each metric."""
+    each = counts.select("*", F.explode(F.lit(metrics)).alias("accuracy_metric"))
+    ppv, detected = ratio(F.col("n_matched_alerts"), F.col("n_alerts")), ratio(F.col("n_matched_outbreaks"), F.col("n_outbreaks"))
+    each = each.withColumn("accuracy", accuracy(F.col("accuracy_metric"), ppv, detected))
+    return each.groupBy(*scenario, "accuracy_metric", "T").agg(F.round(F.avg("accuracy"), 9).alias("mean_accuracy")).withColumn("loss", F.round(1 - F.col("mean_accuracy"), 9))
+
+
+def scores(ready: DataFrame, candidates: list[float] | DataFrame, keys: list[str], by: list[str], metric: str, filtering: str = ALL_ALERTS, matching: str = SINGLE) -> DataFrame:
+    """(keys without by, T, mean_accuracy, loss) for one metric; see candidate_counts()."""
     scenario = [k for k in keys if k not in by]
-    alerts = candidate_runs(ready, candidates, keys, by)
-    pairs = matches(alerts, outbreaks, each, by, filtering, matching)
-    every = series_names(ready, keys).select("series_id", *keys, F.posexplode(F.lit(sorted(map(float, candidates)))).alias("candidate", "T"))
-    counts = series_counts(every, alerts, outbreaks, pairs, each, by)
-    ratio = lambda a, b: F.col(a) / F.when(F.col(b) > 0, F.col(b))
-    found = counts.select(*scenario, "T", accuracy(F.lit(metric), ratio("n_matched_alerts", "n_alerts"), ratio("n_matched_outbreaks", "n_outbreaks")).alias("accuracy"))
-    return found.groupBy(*scenario, "T").agg(F.round(F.avg("accuracy"), 9).alias("mean_accuracy")).withColumn("loss", F.round(1 - F.col("mean_accuracy"), 9))
+    return mean_losses(candidate_counts(ready, candidates, keys, by, filtering, matching), scenario, [metric]).drop("accuracy_metric")
 
 
 def best(scored: DataFrame, scenario: list[str]) -> DataFrame:
@@ -72,37 +141,57 @@ def best(scored: DataFrame, scenario: list[str]) -> DataFrame:
     return scored.where("loss is not null").groupBy(*scenario).agg(pick).select(*scenario, "_b.T", "_b.loss")
 
 
-def result_at(ready: DataFrame, chosen: DataFrame, series: DataFrame, outbreaks: DataFrame, keys: list[str], by: list[str], length: int, metric: str, filtering: str = ALL_ALERTS, matching: str = SINGLE) -> DataFrame:
-    """The metric record of every series at its scenario's best T."""
+def result_at(ready: DataFrame, chosen: DataFrame, series: DataFrame, outbreaks: DataFrame, keys: list[str], by: list[str], metric: str, filtering: str = ALL_ALERTS, matching: str = SINGLE) -> DataFrame:
+    """The metric record of every series at its scenario's best T; chosen is a written table with a row a scenario."""
     scenario, each = [k for k in keys if k not in by], ["series_id", *by]
     names = series_names(ready, keys)
-    at = ready.join(F.broadcast(chosen), scenario).where(F.col("value") >= F.col("T"))  # one row for each scenario
+    at = beside(ready, chosen, scenario).where(F.col("value") >= F.col("T"))
     alerts = runs(at.select(F.xxhash64(*keys).alias("series_id"), *by, "day").repartition("series_id"), each, "alert_idx")
-    series_keys = names.select(*each)
-    own = series_keys.join(outbreaks, by)
-    pairs = matches(alerts, own, each, each, filtering, matching)
-    found = record(series_keys, series_keys.join(series, by), alerts, own, pairs, length, each, metric)
-    return found.join(names, each).join(F.broadcast(chosen), scenario)
-
-
-def resume(spark: SparkSession, scenarios: DataFrame, compute, path: str, checkpoints: str, run_ts: str, keys: list[str]) -> DataFrame:
-    """Compute what the store lacks, save all as a new snapshot, clear checkpoints. compute: scenarios -> results."""
-    old = load_results(spark, path, checkpoints, keys)
-    todo = scenarios if old is None else missing(scenarios, old, keys)
-    new = compute(todo)
-    results = new if old is None else old.unionByName(new)
-    compact(results, path, run_ts, checkpoints)
-    return spark.read.parquet(f"{path}/run_ts={run_ts}").drop("schema_fingerprint")
+    own = names.select(*each).join(outbreaks, by)
+    pairs = matches(alerts, own, each, None, filtering, matching)
+    found = record(names.select(*each, "length"), series, alerts, own, pairs, each, metric, by)
+    return beside(found.join(names.drop("length"), each), chosen, scenario)
 
 
-def sweep_all(positives: DataFrame, outbreaks: DataFrame, methods: list[str], metrics: list[str], candidates: list[float], keys: list[str], by: list[str]) -> DataFrame:
-    """Best T of every (test, method, metric); test positives are prepared once for all of them."""
-    out: DataFrame | None = None
-    scenario: list[Column] = [F.col(k) for k in keys if k not in by]
-    for method in methods:
-        ready = prepared(positives, method)
-        for metric in metrics:
-            found = best(scores(ready, outbreaks, candidates, keys, by, metric), [k for k in keys if k not in by])
-            found = found.select(*scenario, F.lit(method).alias("alert_method"), F.lit(metric).alias("accuracy_metric"), "T", "loss")
-            out = found if out is None else out.unionByName(found)
-    return out
+def sweep_all(positives: DataFrame, candidates: list[float] | DataFrame, methods: list[str], metrics: list[str], keys: list[str], by: list[str]) -> DataFrame:
+    """(scenario, alert_method, accuracy_metric, T, loss): the best T of every test, background, method and metric.
+
+    positives, with outbreak_idx, are made once and read once: a day's row is taken for each method, and the counts of a
+    method serve every metric.
+    """
+    rows = positives.select("*", F.explode(F.lit(methods)).alias("alert_method"))
+    ready = rows.select(*keys, "alert_method", "day", "outbreak_idx", compared(F.col("alert_method")).alias("value"))
+    scenario = [*(k for k in keys if k not in by), "alert_method"]
+    counts = candidate_counts(ready, candidates, [*keys, "alert_method"], by)
+    return best(mean_losses(counts, scenario, metrics), [*scenario, "accuracy_metric"])
+
+
+def resume(
+    spark: SparkSession, scenarios: DataFrame, compute: Callable[[DataFrame], DataFrame], path: str, checkpoints: str, run_ts: str, keys: list[str],
+    batches: int = 5, expected: str | None = None, policy: str = "continue",
+) -> DataFrame:
+    """Compute what the store lacks in batches, save all as a new snapshot, clear checkpoints. compute: scenarios -> results.
+
+    Scenarios fall into `batches` by a hash of their keys, and a batch is a checkpoint as soon as it is computed, so a
+    run that ends early loses one batch: the next one takes the checkpoints of earlier runs as results. A run_ts that
+    the store has is refused before anything is computed. expected and policy pass stored rows through the schema gate.
+    """
+    if exists(spark, f"{path}/run_ts={run_ts}"):
+        raise ValueError(f"the store has a snapshot of {run_ts}")
+    old = load_snapshot(spark, path, expected, policy)
+    if old is not None and policy == "force" and old.isEmpty():
+        old = None  # nothing of another schema is taken up, its columns neither
+    begun = load_checkpoints(spark, checkpoints, keys, expected, policy)
+    known = [df.select(*keys) for df in (old, begun) if df is not None]
+    todo = scenarios
+    for done in known:
+        todo = missing(todo, done, keys)
+    todo = todo.withColumn("_batch", F.pmod(F.xxhash64(*keys), F.lit(batches)).cast("int"))
+    for number in sorted(r[0] for r in todo.select("_batch").distinct().collect()):  # at most `batches` numbers
+        append_checkpoint(compute(todo.where(F.col("_batch") == number).drop("_batch")), checkpoints, run_ts, number)
+    new = load_checkpoints(spark, checkpoints, keys, expected, policy)
+    results = old if new is None else new if old is None else merged(old, new)
+    if results is None:
+        results = compute(todo.drop("_batch"))
+    compact(results, path, run_ts, checkpoints)
+    return spark.read.parquet(f"{path}/run_ts={run_ts}").drop("schema_fingerprint")

@@ -5,31 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+FINGERPRINT = "schema_fingerprint"
+
 
 def fingerprint(df: DataFrame) -> str:
     """Digest of names and types, without nullability."""
     from hashlib import sha256
 
-    return sha256(", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields).encode()).hexdigest()
+    return sha256(", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields if f.name != FINGERPRINT).encode()).hexdigest()
+
+
+def _folder(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    folder, files = _folder(spark, path)
+    return files.exists(folder)
+
+
+def _marked(df: DataFrame) -> DataFrame:
+    return df.withColumn(FINGERPRINT, F.lit(fingerprint(df)))
 
 
 def save_results(results: DataFrame, path: str, run_ts: str) -> None:
-    """Add a snapshot; Spark's committer shows it as a whole or not at all."""
-    results.withColumn("schema_fingerprint", F.lit(fingerprint(results))).write.mode("overwrite").parquet(f"{path}/run_ts={run_ts}")
+    """Add a snapshot; Spark's committer shows it as a whole or not at all. A snapshot of that name is never replaced."""
+    _marked(results).write.mode("errorifexists").parquet(f"{path}/run_ts={run_ts}")
 
 
-def append_checkpoint(batch: DataFrame, path: str, number: int) -> None:
-    """Add one batch, not all batches so far."""
-    batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+def append_checkpoint(batch: DataFrame, path: str, run_id: str, number: int) -> None:
+    """Add one batch of a run, not all batches so far; the same batch of the same run is written anew."""
+    _marked(batch).write.mode("overwrite").parquet(f"{path}/run_id={run_id}/batch={number}")
 
 
 def stored(spark: SparkSession, path: str) -> DataFrame | None:
-    """All that is stored under a path, or None if nothing is."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    """All that is stored under a path, with the columns of all its files, or None if nothing is."""
+    folder, files = _folder(spark, path)
     if not files.exists(folder) or not len(files.listStatus(folder)):
         return None
-    return spark.read.option("basePath", path).parquet(path)
+    return spark.read.option("basePath", path).option("mergeSchema", True).parquet(path)
 
 
 def latest(snapshots: DataFrame, column: str = "run_ts") -> DataFrame:
@@ -38,13 +53,22 @@ def latest(snapshots: DataFrame, column: str = "run_ts") -> DataFrame:
     return snapshots.where(F.col(column) == F.lit(newest))
 
 
-def newest_rows(batches: DataFrame, keys: list[str], order: str = "batch") -> DataFrame:
-    """The row of the newest batch for each key."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(order))
+def newest_snapshot(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest snapshot with its own schema and fingerprint, whatever older ones hold; None if there is none."""
+    folder, files = _folder(spark, path)
+    if not files.exists(folder):
+        return None
+    names = sorted(s.getPath().getName() for s in files.listStatus(folder) if s.getPath().getName().startswith("run_ts="))
+    return spark.read.parquet(f"{path}/{names[-1]}") if names else None
+
+
+def newest_rows(batches: DataFrame, keys: list[str], order: tuple[str, ...] = ("run_id", "batch")) -> DataFrame:
+    """The newest row for each key."""
+    w = Window.partitionBy(*keys).orderBy(*map(F.desc, order))
     return batches.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def gate(results: DataFrame, expected: str, policy: str = "continue", column: str = "schema_fingerprint") -> DataFrame:
+def gate(results: DataFrame, expected: str, policy: str = "continue", column: str = FINGERPRINT) -> DataFrame:
     """Rows written with the expected schema. policy for others: continue (keep all), force (drop all), quit (raise)."""
     if policy not in ("continue", "force", "quit"):
         raise ValueError(f"no such policy: {policy}")
@@ -56,21 +80,35 @@ def gate(results: DataFrame, expected: str, policy: str = "continue", column: st
     return results.join(stale.select(F.lit(True).alias("_stale")).limit(1), F.col("_stale"), "left_anti")
 
 
-def load_results(spark: SparkSession, path: str, checkpoints: str, keys: list[str]) -> DataFrame | None:
-    """The newest snapshot, else the newest checkpoint row of each key, else None."""
-    found = stored(spark, path)
-    if found is not None:
-        return latest(found).drop("run_ts", "schema_fingerprint")
+def load_checkpoints(spark: SparkSession, checkpoints: str, keys: list[str], expected: str | None = None, policy: str = "continue") -> DataFrame | None:
+    """The newest checkpoint row of each key that passes the gate, or None if there is no checkpoint."""
     found = stored(spark, checkpoints)
-    return None if found is None else newest_rows(found, keys).drop("batch")
+    if found is None:
+        return None
+    found = gate(found, expected, policy) if expected else found
+    return newest_rows(found, keys).drop("run_id", "batch", FINGERPRINT)
+
+
+def load_snapshot(spark: SparkSession, path: str, expected: str | None = None, policy: str = "continue") -> DataFrame | None:
+    """The newest snapshot's rows that pass the gate, or None if there is no snapshot."""
+    found = newest_snapshot(spark, path)
+    return None if found is None else (gate(found, expected, policy) if expected else found).drop(FINGERPRINT)
+
+
+def load_results(spark: SparkSession, path: str, checkpoints: str, keys: list[str], expected: str | None = None, policy: str = "continue") -> DataFrame | None:
+    """The newest snapshot, else the newest checkpoint row of each key, else None.
+
+    expected is the fingerprint that rows should have; policy says what happens to others, see gate().
+    """
+    found = load_snapshot(spark, path, expected, policy)
+    return load_checkpoints(spark, checkpoints, keys, expected, policy) if found is None else found
 
 
 def compact(results: DataFrame, path: str, run_ts: str, checkpoints: str) -> None:
     """Save a snapshot; only then are the checkpoints deleted."""
     save_results(results, path, run_ts)
-    spark = results.sparkSession
-    folder = spark._jvm.org.apache.hadoop.fs.Path(checkpoints)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    folder, files = _folder(results.sparkSession, checkpoints)
+    files.delete(folder, True)
 
 
 def export_csv(report: DataFrame, path: str, drop: tuple[str, ...] = ("noise_level",)) -> None:

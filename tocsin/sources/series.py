@@ -5,37 +5,57 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FIRST_DAY, DAYS = "1995-01-01", 2500
-
 
 def count_series(events: DataFrame, keys: list[str], day: Column, **counts: Column) -> DataFrame:
     """Events counted by series and day; each named column counts the rows where its condition holds."""
     return events.groupBy(*keys, day.alias("day")).agg(*(F.count_if(c).alias(name) for name, c in counts.items()))
 
 
-def dense_days(counts: DataFrame, series: DataFrame, days: int, keys: list[str], values: list[str]) -> DataFrame:
-    """Every series of `series` on every day 1..days, missing counts as 0; days outside are dropped."""
-    axis = series.select(*keys, F.explode(F.sequence(F.lit(1), F.lit(days))).alias("day"))
-    return axis.join(counts, [*keys, "day"], "left").select(*keys, "day", *(F.coalesce(v, F.lit(0)).alias(v) for v in values))
+def numbered_days(counts: DataFrame, unit: str = "DAY") -> DataFrame:
+    """counts with `day` as a number from 1, the first date or time that any series has; unit DAY or HOUR."""
+    first = counts.agg(F.min("day").alias("_first"))  # one row
+    steps = F.timestamp_diff(unit, F.col("_first").cast("timestamp_ntz"), F.col("day").cast("timestamp_ntz")) + 1
+    return counts.crossJoin(F.broadcast(first)).withColumn("day", steps.cast("int")).drop("_first")
+
+
+def dense_days(counts: DataFrame, series: DataFrame, keys: list[str], values: list[str], bounds: tuple[int, int] | None = None) -> DataFrame:
+    """Every series of `series` on every day from the first to the last that counts has, missing counts as 0.
+
+    bounds gives other ends; a count outside them then raises an error when it is read. Counts without a day are of none.
+    """
+    if bounds is None:
+        ends = counts.agg(F.min("day").alias("_first"), F.max("day").alias("_last"))  # one row
+        axis = series.select(*keys).crossJoin(F.broadcast(ends))
+    else:
+        outside = F.raise_error(F.concat_ws(" ", F.lit("a count lies outside the days, at"), F.col("day").cast("string"))).cast("int")
+        counts = counts.where(F.col("day").isNotNull()).withColumn("day", F.when(F.col("day").between(*bounds), F.col("day")).otherwise(outside))
+        axis = series.select(*keys, F.lit(bounds[0]).alias("_first"), F.lit(bounds[1]).alias("_last"))
+    axis = axis.select(*keys, F.explode(F.sequence("_first", "_last")).alias("day"))
+    joined = axis.join(counts, [*keys, "day"], "left" if bounds is None else "full_outer")
+    return joined.select(*keys, "day", *(F.coalesce(v, F.lit(0)).alias(v) for v in values))
 
 
 def shipped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(sim, day, returned): order lines by their supplier's region and ship date."""
+    """(sim, date, returned): order lines by their supplier's region and ship date."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     suppliers = read("supplier").join(read("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), F.col("n_regionkey").alias("sim"))
-    lines = read("lineitem").select("l_suppkey", (F.datediff("l_shipdate", F.lit(FIRST_DAY)) + 1).alias("day"), (F.col("l_returnflag") == "R").alias("returned"))
-    return lines.join(suppliers, "l_suppkey").select("sim", "day", "returned")
+    lines = read("lineitem").select("l_suppkey", F.col("l_shipdate").cast("date").alias("date"), (F.col("l_returnflag") == "R").alias("returned"))
+    return lines.join(suppliers, "l_suppkey").select("sim", "date", "returned")
+
+
+def line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sim, day, incidence, noise) of days with order lines: returned ones are the signal, others the background."""
+    return numbered_days(count_series(shipped_lines(spark, sf_dir), ["sim"], F.col("date"), incidence=F.col("returned"), noise=~F.col("returned")))
 
 
 def line_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dense (sim, day, incidence, noise) of order lines: returned ones are the signal, others the background."""
-    counts = count_series(shipped_lines(spark, sf_dir), ["sim"], F.col("day"), incidence=F.col("returned"), noise=~F.col("returned"))
+    """Dense (sim, day, incidence, noise) of order lines, from the first ship date to the last."""
     sims = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_regionkey").alias("sim"))
-    return dense_days(counts, sims, DAYS, ["sim"], ["incidence", "noise"])
+    return dense_days(line_counts(spark, sf_dir), sims, ["sim"], ["incidence", "noise"])
 
 
-def event_series(spark: SparkSession, sf_dir: str, hours: int = 720) -> DataFrame:
-    """Dense (sim, day, incidence) of events: one series for each type, one step for each hour of 2024 on."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("sim"), F.timestamp_diff("HOUR", F.lit("2024-01-01").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz")).cast("int").alias("hour"))
-    counts = count_series(events, ["sim"], F.col("hour") + 1, incidence=F.lit(True))
-    return dense_days(counts, events.select("sim").distinct(), hours, ["sim"], ["incidence"])
+def event_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense (sim, day, incidence) of events: one series for each type, one step for each hour from the first on."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("sim"), F.date_trunc("HOUR", F.col("ts").cast("timestamp_ntz")).alias("hour"))
+    counts = numbered_days(count_series(events, ["sim"], F.col("hour"), incidence=F.lit(True)), "HOUR")
+    return dense_days(counts, events.select("sim").distinct(), ["sim"], ["incidence"])
