@@ -42,6 +42,7 @@ def _cut_pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, size:
                  pa.array([raw[4 * s : 4 * (s + n)] for s, n in zip(begin.tolist(), length.tolist())], pa.binary())],
                 ["doc_id", "piece", "start", "length", "ids"],
             )
+    encoder(path).forget()  # an idle worker holds no words
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -36,6 +36,8 @@ BEGINNINGS = (5,)
 SMOOTHING, LEAST_RELEVANCE = 5.0, 0.02
 #: Terms that no example holds share document frequencies by this many hash buckets; they only enter a text's length.
 BUCKET_BITS = 16
+#: Bytes of text that are taken apart at once.
+TEXT_BYTES = 1 << 18
 #: Votes of the class sizes that are added to each score.
 PRIOR_WEIGHT = 0.5
 
@@ -92,7 +94,7 @@ def _places(known: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = text_buffer(batch.column(0))
-        for a, b in chunks(offsets):
+        for a, b in chunks(offsets, TEXT_BYTES):
             doc, found, counts = _counted(data, offsets[a : b + 1])
             at = pa.array(np.concatenate([np.arange(b - a), doc]))  # first a row without a term for each example
             term = pa.array(np.concatenate([np.zeros(b - a, np.int64), found.view(np.int64)]), mask=np.arange(b - a + len(doc)) < b - a)
@@ -106,7 +108,7 @@ def _document_counts(batches: Iterator[pa.RecordBatch], known: np.ndarray) -> It
     for batch in batches:
         data, offsets = text_buffer(batch.column(0))
         docs += batch.num_rows
-        for a, b in chunks(offsets):
+        for a, b in chunks(offsets, TEXT_BYTES):
             _, hashes, _ = _counted(data, offsets[a : b + 1])
             at, own = _places(known, hashes)
             at = np.where(own, at, len(known) + (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64))
@@ -262,7 +264,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def _score(batches: Iterator[pa.RecordBatch], model: Model, evidence: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = text_buffer(batch.column(1))
-        for a, b in chunks(offsets):
+        for a, b in chunks(offsets, TEXT_BYTES):
             doc, at, value = model.vectors(*_counted(data, offsets[a : b + 1]), b - a)
             cuts = np.searchsorted(doc, np.arange(b - a + 1)).tolist()
             scores, seen = [], []

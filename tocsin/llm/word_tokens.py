@@ -15,7 +15,7 @@ import numpy as np
 from tocsin.llm.common import hash_ranges, split_words
 
 #: Words that a worker remembers; then it begins anew.
-MOST_WORDS = 500_000
+MOST_WORDS = 250_000
 _WORDS_AT_ONCE = 256
 
 _WHITE, _LETTER, _DIGIT, _SIGN, _OTHER = range(5)
@@ -46,9 +46,9 @@ class WordEncoder:
         names = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(names.values()) + 1, bool)
         self.ends[[i for name, i in names.items() if name.endswith("</w>")]] = True
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.known: dict[int, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.begin, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
@@ -118,7 +118,7 @@ class WordEncoder:
             hashes = hash_ranges(buffer, start, end, fold=True)
         distinct, first, at = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.known) + len(distinct) > MOST_WORDS:
-            self._forget()
+            self.forget()
         keys = distinct.tolist()
         new = [i for i, h in enumerate(keys) if h not in self.known]
         if new:
