@@ -22,6 +22,9 @@ WHITE_SPACE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Bytes of text that are handled at once, and hashed at once.
 CHUNK_BYTES, SEGMENT_BYTES = 1 << 20, 1 << 18
 
+#: Bytes of an Arrow batch between an executor and its Python worker.
+BATCH_BYTES = 8 << 20
+
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
@@ -71,6 +74,14 @@ class Scratch:
                 path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands whole texts to Python workers in Arrow batches of about BATCH_BYTES.
+
+    Spark's own 64 MB take several times that of an executor's memory outside its heap, in each task at a time.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def refuse(carry: tuple[str, ...], *names: str) -> None:
     """Raise if a column to hand through has a name of the result, or is named twice."""
     clash = {c for c in carry if c.lower() in names or [x.lower() for x in carry].count(c.lower()) > 1}

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tocsin.llm.common import Scratch, as_long, chunks, lists, mix, split_words, text_buffer, windows
+from tocsin.llm.common import Scratch, as_long, chunks, lists, mix, small_batches, split_words, text_buffer, windows
 from tocsin.llm.components import components
 
 #: A pair of similarity 0.8 meets in one of 30 bands of 5 with a probability of 1 - (1 - 0.8 ** 5) ** 30 = 0.999993.
@@ -176,6 +176,7 @@ def near_duplicates(
     linked with nothing. A row with a null id is linked with nothing, has a null component and is kept. Rows that
     repeat an id are one node of the graph and all returned. Other columns of docs are ignored.
     """
+    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     key = ["finger1", "finger2", "n_shingles"]

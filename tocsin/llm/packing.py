@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tocsin.llm.common import Scratch, chunks, refuse, text_buffer
+from tocsin.llm.common import Scratch, chunks, refuse, small_batches, text_buffer
 from tocsin.llm.word_tokens import encoder, with_end
 
 GROUP_PIECES = 1 << 16
@@ -51,6 +51,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, size: int, id_col: str
     A document is its ids and then end_id; a null text is empty, so it gives one piece with the end id alone. Only
     documents longer than a sequence are cut. Rows that repeat an id, or have none, are encoded like any other.
     """
+    small_batches(docs.sparkSession)
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return text.mapInArrow(partial(_cut_pieces, path=tokenizer, end_id=end_id, size=size), "doc_id long, piece int, start long, length long, ids binary")
 

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tocsin.llm.common import chunks, text_buffer
+from tocsin.llm.common import chunks, small_batches, text_buffer
 from tocsin.llm.word_tokens import encoder, with_end
 
 SEGMENT_IDS, LANES, STEPS, CHECKPOINT = 1 << 20, 64, 1024, 512
@@ -176,6 +176,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_c
     the order of their texts' hashes and then of the texts, and fall in several ranges where they are many. partitions
     is the number of ranges, the session's shuffle partitions if None. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     keys = [F.col("doc_id"), F.col("_turn")]
     dealt = text.withColumn("_turn", F.xxhash64("text"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tocsin.llm.common import Scratch, chunks, hash_ranges, refuse, text_buffer
+from tocsin.llm.common import Scratch, chunks, hash_ranges, refuse, small_batches, text_buffer
 
 #: Labelled examples of each class that are learnt from at most, and neighbours.
 EXAMPLES, NEIGHBOURS = 1500, 15
@@ -212,6 +212,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample's terms and their counts come to the driver, all of a size that the sample bounds.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     labelled = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     sizes = dict(labelled.groupBy("toxic").count().collect())
     by_hash = F.xxhash64("doc_id", F.lit(17))
@@ -285,6 +286,7 @@ def toxicity_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     through; a name of the result is refused.
     """
     refuse(carry, "doc_id", "text", "score", "evidence")
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carry)
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return rows.mapInArrow(partial(_score, model=model, evidence=evidence), f"{types}, score double, evidence array<struct<doc_id: long, cosine: double, toxic: int>>")
