@@ -12,17 +12,18 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import cases
-from tocsin.llm import queries
+from tocsin.llm import common, queries
 from tocsin.llm.common import Scratch
 from tocsin.llm.components import components, union_find
 from tocsin.llm.embedding_dedup import learn_rotation, near_vectors
 from tocsin.llm.license_scan import bodies, license_matches, license_sql
 from tocsin.llm.near_dup import near_duplicates, superminhash
 from tocsin.llm.packing import pack, pieces, sum_of_squares
-from tocsin.llm.piece_bpe import encode_pieces
+from tocsin.llm.piece_bpe import PieceEncoder, PieceModel, encode_pieces
 from tocsin.llm.quality import RULES, SHRINK, limits, measures, quality_verdicts
 from tocsin.llm.substring_dedup import remove_repeats
 from tocsin.llm.token_output import BLOCK, CHECKPOINT, LANES, Segment, encode_segment, frequencies, read_tokens, write_tokens
+from tocsin.llm.word_tokens import WordEncoder
 
 WORD_BPE, PIECE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("piece_bpe_32k.model")
 ROWS = cases.ROWS + cases.near_rows()
@@ -69,6 +70,39 @@ def test_substring_dedup(spark):
     assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in found) == Counter(cases.repeats(alike, 13))
 
 
+def test_words_of_a_pattern_differ(spark):
+    """Words of two letters that a polynomial hash modulo 2^64 can't tell apart, as whole words and inside texts."""
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+
+    one = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    for x, y in ((one, two), (one.upper(), two)):
+        rows = [(1, f"{x} " * 15), (2, f"{y} " * 15)]
+        docs = cases.messy(spark, rows)
+        assert [r["n_removed"] for r in remove_repeats(docs).collect()] == [0, 0]
+        assert all(r["kept"] for r in near_duplicates(docs).collect())
+        tokenizer, model = Tokenizer.from_file(WORD_BPE), SentencePieceProcessor(model_file=PIECE_BPE)
+        data = np.frombuffer("".join(t for _, t in rows).encode(), np.uint8)
+        ids, ptr = WordEncoder(WORD_BPE).encode(data, np.array([0, len(rows[0][1]), len(data)]))
+        assert [ids[a:b].tolist() for a, b in zip(ptr[:-1], ptr[1:])] == [tokenizer.encode(t, add_special_tokens=False).ids for _, t in rows]
+        encoder = PieceEncoder(PieceModel(PIECE_BPE))
+        assert [encoder.encode_text(t) for _, t in rows] == [(model.encode(t), t) for _, t in rows]
+
+
+def test_ranges_are_told_apart_by_their_bytes(monkeypatch):
+    data = np.frombuffer(b"ab\0ab ab abcdefgh abcdefgi abcdefgh\0", np.uint8)
+    cuts = [(0, 2), (0, 3), (3, 5), (6, 8), (6, 6), (9, 17), (18, 26), (27, 35), (27, 36)]
+    start, end = np.array(cuts).T
+    a, b = common.hash_ranges(data, start, end, seed=5), common.hash_ranges(data, start, end)
+    assert not (set(a.tolist()) & set(b.tolist()))
+    for broken in (False, True):
+        if broken:
+            monkeypatch.setattr(common, "hash_ranges", lambda buffer, start, end: np.zeros(len(start), np.uint64))
+        first, at = common.distinct_ranges(data, start, end)
+        assert [data[start[first[k]] : end[first[k]]].tobytes() for k in at] == [data[a:b].tobytes() for a, b in cuts] and len(first) == 6
+
+
 @pytest.mark.parametrize(("shingle", "percent"), [(4, 80), (5, 80)])
 def test_near_duplicates(spark, shingle, percent):
     found = near_duplicates(cases.messy(spark, ROWS).repartition(4), shingle=shingle, percent=percent).collect()

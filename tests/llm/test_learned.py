@@ -221,6 +221,14 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, SF).count() == len(rows)
 
 
+def test_near_dups_stage_tells_rows_of_one_id_apart(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    rows = [(1, a), (5, a), (5, b), (None, b), (None, a + " tail"), (None, "none like it"), (7, None), (7, None)]
+    docs = cases.messy(spark, rows).select(*corpus_pipeline.COLUMNS)
+    kept = dict(corpus_pipeline.STAGES)["near duplicates"](spark, docs, SF).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter([(1, a), (5, b), (None, "none like it"), (7, None), (7, None)])
+
+
 def test_stages_on_messy_rows(spark):
     docs = cases.messy(spark).select(*corpus_pipeline.COLUMNS)
     for name, stage in corpus_pipeline.STAGES:

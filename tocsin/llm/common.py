@@ -25,17 +25,14 @@ CHUNK_BYTES, SEGMENT_BYTES = 1 << 20, 1 << 18
 #: Bytes of an Arrow batch between an executor and its Python worker.
 BATCH_BYTES = 8 << 20
 
-_MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 _solid = np.ones(256, bool)
 _solid[list(WHITE_SPACE)] = False
-_byte_value = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
-_fold = np.arange(256)
+_fold = np.arange(256, dtype=np.uint8)
 _fold[ord("A") : ord("Z") + 1] += 32
-_folded_value = _byte_value[_fold]
-_powers = {}
+#: What is left of an 8-byte block of which only the first n bytes belong to a range.
+_first_bytes = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -98,16 +95,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) <= n:
-        size = max(n, SEGMENT_BYTES) + 1
-        for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
-            steps = np.full(size, base & _MASK, np.uint64)
-            steps[0] = 1
-            _powers[name] = np.multiply.accumulate(steps)
-    return _powers["up"], _powers["down"]
-
-
 class Words(NamedTuple):
     """Words of consecutive documents: hash, byte range in the buffer, and document i's words at ptr[i]:ptr[i + 1]."""
 
@@ -160,26 +147,67 @@ def split_words(data: np.ndarray, offsets: np.ndarray, fold: bool = False, hashe
     return Words(hash_ranges(buffer, start, end, fold) if hashes else np.zeros(0, np.uint64), start + lo, end + lo, np.searchsorted(start, offsets - lo))
 
 
-def hash_ranges(buffer: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool = False) -> np.ndarray:
-    """64-bit hashes of the byte ranges [start, end), which ascend and may overlap."""
+def folded(buffer: np.ndarray) -> np.ndarray:
+    """The bytes with a-z in place of A-Z."""
+    return _fold[buffer]
+
+
+def _blocks(buffer: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """8-byte blocks of the byte ranges, zeros behind a range's end; where each range's blocks begin (one at least), and their places in it."""
+    length = end - start
+    n = np.maximum((length + 7) >> 3, 1)
+    ptr = np.concatenate([[0], np.cumsum(n)])
+    place = np.arange(ptr[-1]) - np.repeat(ptr[:-1], n)
+    padded = np.concatenate([buffer, np.zeros(8, np.uint8)])
+    at_byte = np.ndarray((len(buffer) + 1,), "<u8", padded, strides=(1,))
+    blocks = at_byte[np.repeat(start, n) + 8 * place]
+    blocks[ptr[1:] - 1] &= _first_bytes[length - 8 * (n - 1)]
+    return blocks, ptr, place
+
+
+def _hashed(blocks: np.ndarray, ptr: np.ndarray, place: np.ndarray, length: np.ndarray, seed: int) -> np.ndarray:
+    keys = mix(np.arange(1, int(place.max()) + 2, dtype=np.uint64) * _GOLDEN + np.uint64(seed))
+    return mix(np.add.reduceat(mix(blocks ^ keys[place]), ptr[:-1]) + length.astype(np.uint64) * _GOLDEN + np.uint64(seed))
+
+
+def hash_ranges(buffer: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool = False, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the byte ranges [start, end), which ascend and may overlap; another seed gives an independent hash.
+
+    A range's 8-byte blocks are mixed with a key of their place, so that neither order nor pattern of blocks cancels
+    out, then summed and mixed with the range's length.
+    """
+    if fold:
+        buffer = folded(buffer)
     out = np.empty(len(start), np.uint64)
-    values = _folded_value if fold else _byte_value
     at = 0
     while at < len(start):
-        base = int(start[at])
-        to = max(at + 1, int(np.searchsorted(start, base + SEGMENT_BYTES)))
-        while to > at + 1 and int(end[to - 1]) - base > 2 * SEGMENT_BYTES:
-            to -= 1
-        n = int(end[at:to].max()) - base
-        up, down = _power_tables(n)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values[buffer[base : base + n]] * up[:n], out=sums[1:])
-        s, e = start[at:to] - base, end[at:to] - base
-        out[at:to] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(_BASE))
+        to = max(at + 1, int(np.searchsorted(start, int(start[at]) + SEGMENT_BYTES)))
+        s, e = start[at:to], end[at:to]
+        base, top = int(s[0]), int(e.max())
+        out[at:to] = _hashed(*_blocks(buffer[base:top], s - base, e - base), e - s, seed)
         at = to
     return out
 
 
+def distinct_ranges(buffer: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of one range of each distinct content, and the number of each range's content among these.
+
+    Ranges of equal hash are compared by their bytes; should two differ, all are told apart by their bytes alone.
+    """
+    _, first, at = np.unique(hash_ranges(buffer, start, end), return_index=True, return_inverse=True)
+    blocks, ptr, place = _blocks(buffer, start, end)
+    model = first[at]
+    if ((end - start) == (end - start)[model]).all() and (blocks == blocks[np.repeat(ptr[:-1][model], np.diff(ptr)) + place]).all():
+        return first, at
+    raw, number, firsts = buffer.tobytes(), {}, []
+    numbers = np.empty(len(start), np.int64)
+    for i, (a, b) in enumerate(zip(start.tolist(), end.tolist())):
+        numbers[i] = number.setdefault(raw[a:b], len(firsts))
+        if numbers[i] == len(firsts):
+            firsts.append(i)
+    return np.array(firsts, np.int64), numbers
+
+
 def windows(words: Words, size: int, multiplier: int = 0xD6E8FEB86659FD93) -> tuple[np.ndarray, np.ndarray]:
     """Hash of the `size` words from each word on, and whether they lie in one document. Other multipliers give other hashes."""
     n = len(words.hash)

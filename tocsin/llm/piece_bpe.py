@@ -18,9 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tocsin.llm.common import chunks, hash_ranges, text_buffer
+from tocsin.llm.common import chunks, distinct_ranges, text_buffer
 
-MOST_UNITS = 200_000
+#: Units that a worker remembers, and their bytes; then it begins anew.
+MOST_UNITS, MOST_BYTES = 200_000, 16 << 20
 SPACE = "▁"
 _NONE = np.iinfo(np.int64).max
 
@@ -180,13 +181,14 @@ class PieceEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
+        self.n_bytes = 0
         self.counts: list[int] = []
         self.ids: list[bytes] = []
         self.decimals: list[bytes] = []
         self.texts: list[bytes] = []
 
-    def _learn(self, keys: list[int], units: list[bytes]) -> None:
+    def _learn(self, units: list[bytes]) -> None:
         model = self.model
         chars = np.frombuffer(b"".join(units).decode().encode("utf-32-le"), np.uint32).astype(np.int64)
         lengths = np.array([len(u.decode()) for u in units], np.int64)
@@ -210,7 +212,8 @@ class PieceEncoder:
             self.ids.append(left[a:b].astype("<u4").tobytes())
             self.decimals.append(b"".join([model.decimal[i] for i in own]))
             self.texts.append(b"".join([model.text[i] for i in own]))
-            self.known[keys[k]] = n + k
+            self.known[units[k]] = n + k
+        self.n_bytes += sum(map(len, units))
 
     def units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of the documents' units in what is known, and where each document's begin. Each full document begins with a space."""
@@ -227,15 +230,14 @@ class PieceEncoder:
                     begins[a : b - self.model.space_run : self.model.space_run] = True
         start = np.flatnonzero(begins)
         end = np.append(start[1:], len(data))
-        hashes = hash_ranges(data, start, end)
-        distinct, first, at = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) + len(distinct) > MOST_UNITS:
+        first, at = distinct_ranges(data, start, end)
+        raw = data.tobytes()
+        keys = [raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist())]
+        if len(self.known) + len(keys) > MOST_UNITS or self.n_bytes > MOST_BYTES:
             self._forget()
-        keys = distinct.tolist()
-        new = [i for i, h in enumerate(keys) if h not in self.known]
+        new = [k for k in keys if k not in self.known]
         if new:
-            raw, places = data.tobytes(), first[new]
-            self._learn([keys[i] for i in new], [raw[a:b] for a, b in zip(start[places].tolist(), end[places].tolist())])
+            self._learn(new)
         rows = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
         return rows[at], np.searchsorted(start, offsets)
 

@@ -5,7 +5,8 @@ windows have equal seeds. Documents are joined on seeds first; only around a see
 matches extended to the left and right, window by window, to the first document that holds the same words. Windows
 that follow one another make maximal repeats, whose words go.
 
-Windows are equal when two independent 64-bit hashes are, so false matches stay out of reach at any size.
+Windows are equal when two independent 64-bit hashes are, each made of its own hash of the words, so false matches stay
+out of reach at any size.
 
 Texts are dealt once into chunks of a few megabytes by a hash of id and text, so neither copies nor rows without an id
 meet in one, and chunks to partitions whose number grows with the text. A chunk sends each seed or window only
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tocsin.llm.common import Words, refuse, split_words, text_buffer, windows
+from tocsin.llm.common import Words, hash_ranges, refuse, split_words, text_buffer, windows
 
 SEED_WORDS = 6
 CHUNK_BYTES = 2 << 20
@@ -39,6 +40,7 @@ _LAST = np.iinfo(np.int64).max
 
 
 class _Chunk(NamedTuple):
+    data: np.ndarray
     texts: list[bytes]
     words: Words
     ids: np.ndarray
@@ -71,7 +73,7 @@ def _read(table: pa.Table, length: int) -> _Chunk:
     _, fits = windows(words, length)
     seed = _runs_min(grams, width) if len(grams) >= width else grams[:0]
     at = np.flatnonzero(fits[: len(seed)])
-    return _Chunk(texts, words, ids[order], seed[at], at, order)
+    return _Chunk(data, texts, words, ids[order], seed[at], at, order)
 
 
 def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +140,8 @@ def _shared_windows(chunk: _Chunk, answers: pa.Table, length: int) -> tuple[np.n
     shared = np.empty(len(order), bool)
     shared[order] = np.repeat(here | _bits(answers, 1), ends - begins)
     at = chunk.at[shared]
-    one, two = windows(chunk.words, length)[0][at], windows(chunk.words, length, _SECOND)[0][at]
+    again = chunk.words._replace(hash=hash_ranges(chunk.data, chunk.words.start, chunk.words.end, seed=_SECOND))
+    one, two = windows(chunk.words, length)[0][at], windows(again, length, _SECOND)[0][at]
     order, begins = _groups(one, two)
     return at, order, begins, one[order[begins]], two[order[begins]]
 

@@ -12,10 +12,10 @@ import os
 
 import numpy as np
 
-from tocsin.llm.common import hash_ranges, split_words
+from tocsin.llm.common import distinct_ranges, folded, split_words
 
-#: Words that a worker remembers; then it begins anew.
-MOST_WORDS = 250_000
+#: Words that a worker remembers, and their bytes; then it begins anew.
+MOST_WORDS, MOST_BYTES = 250_000, 16 << 20
 _WORDS_AT_ONCE = 256
 
 _WHITE, _LETTER, _DIGIT, _SIGN, _OTHER = range(5)
@@ -49,11 +49,12 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
+        self.n_bytes = 0
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.begin, self.length = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
 
-    def _learn(self, hashes: list[int], words: list[str], odd: np.ndarray) -> None:
+    def _learn(self, keys: list[bytes], words: list[str], odd: np.ndarray) -> None:
         """odd words may make several tokens' words or none; all others are one word of the tokenizer's own."""
         parts = []
         even, lone = np.flatnonzero(~odd).tolist(), np.flatnonzero(odd).tolist()
@@ -74,7 +75,8 @@ class WordEncoder:
         self.begin[n : n + len(words)] = self.used + np.cumsum(lengths) - lengths
         self.length[n : n + len(words)] = lengths
         self.used += len(flat)
-        self.known.update((hashes[i], n + k) for k, i in enumerate([*even, *lone]))
+        self.known.update((keys[i], n + k) for k, i in enumerate([*even, *lone]))
+        self.n_bytes += sum(map(len, keys))
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -110,19 +112,17 @@ class WordEncoder:
         word = np.cumsum(begins_word[start]) - 1
         end = np.minimum(np.append(start[1:], len(buffer)), words.end[word] - lo)
         odd = odd[word]
-        if odd.any():
-            hashes = np.empty(len(start), np.uint64)
-            hashes[~odd] = hash_ranges(buffer, start[~odd], end[~odd], fold=True)
-            hashes[odd] = hash_ranges(data[lo : lo + len(buffer)], start[odd], end[odd])
-        else:
-            hashes = hash_ranges(buffer, start, end, fold=True)
-        distinct, first, at = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) + len(distinct) > MOST_WORDS:
+        norm, raw = folded(buffer), data[lo : lo + len(buffer)]
+        for a, b in zip(start[odd].tolist(), end[odd].tolist()):
+            norm[a:b] = raw[a:b]
+        first, at = distinct_ranges(norm, start, end)
+        content = norm.tobytes()
+        keys = [content[a:b] for a, b in zip(start[first].tolist(), end[first].tolist())]
+        if len(self.known) + len(keys) > MOST_WORDS or self.n_bytes > MOST_BYTES:
             self.forget()
-        keys = distinct.tolist()
-        new = [i for i, h in enumerate(keys) if h not in self.known]
+        new = [i for i, k in enumerate(keys) if k not in self.known]
         if new:
-            raw, places = data[lo : lo + len(buffer)].tobytes(), first[new]
+            raw, places = raw.tobytes(), first[new]
             texts = [raw[a:b].decode() for a, b in zip(start[places].tolist(), end[places].tolist())]
             self._learn([keys[i] for i in new], texts, odd[places])
         rows = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[at]
