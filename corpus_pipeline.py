@@ -36,9 +36,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id; rows without an id stay."""
-    away = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(away, "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each group of near duplicates, the one with the smallest id (none: last).
+
+    Rows are told apart by a written key of their own, so rows of one id, or of none, are different documents.
+    """
+    scratch = Scratch(spark)
+    rows = scratch.write(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")))
+    groups = near_duplicates(rows, id_col="row").select(F.col("doc_id").alias("row"), "component_id")
+    smallest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    stay = groups.join(rows.select("row", "doc_id"), "row").groupBy("component_id").agg(smallest).select("first.row")
+    return rows.join(stay, "row", "left_semi").select(*COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
