@@ -435,7 +435,7 @@ def test_near_vectors_recall(spark, dims, lean):
 def test_registered_query_matches_sql(spark, name):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         con.execute(f"create view {t} as select * from read_parquet('{sf}/{t}.parquet')")
     want = con.execute(queries.ORACLES[name])
     names = [c[0] for c in want.description]

@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tocsin.llm.chat import chat_digests, format_chat
 from tocsin.llm.common import shared_folder
+from tocsin.llm.conversation_repair import damage, repair_conversations
 from tocsin.llm.embedding_dedup import near_vectors
 from tocsin.llm.language_id import identify, prototypes
 from tocsin.llm.license_scan import license_matches, license_sql
@@ -16,7 +18,7 @@ from tocsin.llm.near_dup import near_duplicates
 from tocsin.llm.packing import pack, pieces
 from tocsin.llm.piece_bpe import encode_pieces
 from tocsin.llm.quality import quality_verdicts
-from tocsin.llm.sql import near_dup_sql, near_vectors_sql, substring_dedup_sql
+from tocsin.llm.sql import CONTROL_TURNS, chat_sql, near_dup_sql, near_vectors_sql, substring_dedup_sql
 from tocsin.llm.substring_dedup import remove_repeats
 from tocsin.llm.token_output import read_tokens, write_tokens
 from tocsin.llm.toxicity import fold, learn, toxicity_scores
@@ -77,6 +79,18 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"), least=0.98)
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.union(spark.createDataFrame(CONTROL_TURNS, "conv_id long, turn long, role string, text string"))
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
+    return chat_digests(format_chat(turns, *vocabulary), *vocabulary)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations")
+    return repair_conversations(conversations, damage(conversations))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -88,10 +102,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
+    "op11_chat_format": op11_chat_format,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": substring_dedup_sql(),
     "op6_license_scan": license_sql(),
     "op9_minhash_near_dedup": near_dup_sql(),
     "op10_embedding_near_dedup": near_vectors_sql(),
+    "op11_chat_format": chat_sql(),
 }
