@@ -18,7 +18,8 @@ from tocsin.llm.near_dup import near_duplicates
 from tocsin.llm.packing import pack, pieces
 from tocsin.llm.piece_bpe import encode_pieces
 from tocsin.llm.quality import quality_verdicts
-from tocsin.llm.sql import CONTROL_TURNS, chat_sql, near_dup_sql, near_vectors_sql, substring_dedup_sql
+from tocsin.llm.spelling import spelling_variants, word_counts
+from tocsin.llm.sql import CONTROL_TURNS, chat_sql, near_dup_sql, near_vectors_sql, spelling_sql, substring_dedup_sql
 from tocsin.llm.substring_dedup import remove_repeats
 from tocsin.llm.token_output import read_tokens, write_tokens
 from tocsin.llm.toxicity import fold, learn, toxicity_scores
@@ -86,6 +87,10 @@ def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(format_chat(turns, *vocabulary), *vocabulary)
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(word_counts(_table(spark, sf_dir, "documents")))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = _table(spark, sf_dir, "conversations")
     return repair_conversations(conversations, damage(conversations))
@@ -103,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
     "op11_chat_format": op11_chat_format,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLES: dict[str, str] = {
@@ -111,4 +117,5 @@ ORACLES: dict[str, str] = {
     "op9_minhash_near_dedup": near_dup_sql(),
     "op10_embedding_near_dedup": near_vectors_sql(),
     "op11_chat_format": chat_sql(),
+    "op12_spelling_variants": spelling_sql(),
 }

@@ -71,3 +71,27 @@ def chat_sql() -> str:
       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
       CAST(sum({marks} + length(head) + length(content)) AS BIGINT) AS formatted_chars
     FROM written GROUP BY conv_id"""
+
+
+def spelling_sql(least_letters: int = 7, ratio: int = 10) -> str:
+    """crc32 is taken of the UTF-8 bytes of characters up to U+00FF, with its table made from its polynomial."""
+    return rf"""
+    WITH RECURSIVE remainders AS (
+      SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+    runs AS (
+      SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]{{{least_letters},}}')), '{_UPPER}', '{_LOWER}') AS run FROM documents),
+    codes AS (SELECT id, run, list_transform(string_split(id || ':' || run, ''), lambda c: CAST(unicode(c) AS BIGINT)) AS codes FROM (SELECT DISTINCT id, run FROM runs)),
+    bytes AS (SELECT id, run, flatten(list_transform(codes, lambda c: CASE WHEN c < 128 THEN [c] ELSE [192 | (c >> 6), 128 | (c & 63)] END)) AS bytes FROM codes),
+    crcs AS (SELECT id, run, xor(list_reduce(bytes, lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)]), CAST(4294967295 AS BIGINT)), 4294967295) AS h FROM bytes, remainders),
+    spelt AS (SELECT CASE WHEN h % 31 = 0 THEN run[1 : h % length(run)] || run[h % length(run) + 2 :] ELSE run END AS word FROM runs JOIN crcs USING (id, run)),
+    words AS (SELECT word, count(*) AS n FROM spelt WHERE length(word) >= {least_letters} GROUP BY word HAVING count(*) >= 2),
+    places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS place FROM words),
+    rests AS (SELECT word, n, place, word[1 : place - 1] || word[place + 1 :] AS rest FROM places),
+    inserted AS (SELECT DISTINCT r.word AS x, r.n AS x_n, w.word AS y, w.n AS y_n FROM rests r JOIN words w ON r.rest = w.word),
+    near AS (
+      SELECT a.word AS word, b.word AS other, b.n AS other_n FROM rests a JOIN rests b ON a.place = b.place AND a.rest = b.rest AND a.word <> b.word
+      UNION ALL SELECT x, y, y_n FROM inserted UNION ALL SELECT y, x, x_n FROM inserted),
+    best AS (SELECT word, count(*) AS n_near, max(other_n) AS most, arg_min(other, struct_pack(a := -other_n, b := other)) AS other FROM near GROUP BY word),
+    forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= {ratio} * w.n THEN other END AS form, CASE WHEN most >= {ratio} * w.n THEN most END AS form_n FROM words w LEFT JOIN best USING (word)),
+    follow(word, target, form) AS (SELECT word, word, form FROM forms UNION ALL SELECT f.word, g.word, g.form FROM follow f JOIN forms g ON g.word = f.form)
+    SELECT forms.word, forms.form, follow.target AS root, n, n_near, form_n FROM forms JOIN follow ON follow.word = forms.word AND follow.form IS NULL"""
