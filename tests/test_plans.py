@@ -58,11 +58,20 @@ def test_wide_refuses_repeated_cells(spark):
 def test_store(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     assert st.load_results(spark, f"{tmp_path}/r", f"{tmp_path}/c", ["k"]) is None
-    st.append_checkpoint(df, f"{tmp_path}/c", "a", 1)
-    st.append_checkpoint(df.withColumn("v", F.lit("new")).where("k = 2"), f"{tmp_path}/c", "b", 1)
+    assert st.append_checkpoint(df, f"{tmp_path}/c", "a", 1, ["k"])
+    assert st.append_checkpoint(df.withColumn("v", F.lit("new")).where("k = 2"), f"{tmp_path}/c", "b", 1, ["k"])
+    assert not st.append_checkpoint(df.orderBy(F.desc("k")).repartition(2), f"{tmp_path}/c", "a", 7, ["k"])  # these scenarios are there
     assert sorted(map(tuple, st.load_results(spark, f"{tmp_path}/r", f"{tmp_path}/c", ["k"]).collect())) == [(1, "a"), (2, "new")]
-    with pytest.raises(ValueError, match="another schema"):
-        st.gate(df.withColumn("schema_fingerprint", F.lit("x")), st.fingerprint(df), "quit")
+    st.compact(st.load_results(spark, f"{tmp_path}/r", f"{tmp_path}/c", ["k"]), f"{tmp_path}/r", "2024-01-01T00-00-00", f"{tmp_path}/c")
+    assert st.entries(spark, f"{tmp_path}/c") == [] and len(st.contained(spark, f"{tmp_path}/r")) == 2
+    assert sorted(map(tuple, st.load_results(spark, f"{tmp_path}/r", f"{tmp_path}/c", ["k"]).collect())) == [(1, "a"), (2, "new")]
+
+
+def test_newest_rows_keep_all_rows_of_a_key(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (None, "c"), (2, "d")], "k int, v string")
+    st.append_checkpoint(df, f"{tmp_path}/c", "a", 0, ["k"])
+    st.append_checkpoint(df.where("k = 1").limit(1).withColumn("v", F.lit("new")), f"{tmp_path}/c", "b", 0, ["k"])
+    assert sorted(map(str, map(tuple, st.load_checkpoints(spark, f"{tmp_path}/c", ["k"]).collect()))) == ["(1, 'new')", "(2, 'd')", "(None, 'c')"]
 
 
 def test_snapshots_are_never_replaced(spark, tmp_path):
@@ -73,6 +82,43 @@ def test_snapshots_are_never_replaced(spark, tmp_path):
     assert st.load_results(spark, f"{tmp_path}/r", f"{tmp_path}/c", ["k"]).collect() == df.collect()
 
 
+def test_what_a_broken_run_leaves_is_not_read(spark, tmp_path, monkeypatch):
+    df, path = spark.createDataFrame([(1, "a")], "k int, v string"), f"{tmp_path}/r"
+    st.save_results(df, path, "2024-01-01T00-00-00")
+    for fault in ("_write", "_commit"):  # killed before the data are written, and before the rename
+        with monkeypatch.context() as m:
+            m.setattr(st, fault, lambda *a, **k: (_ for _ in ()).throw(RuntimeError("killed")))
+            with pytest.raises(RuntimeError, match="killed"):
+                st.save_results(df.withColumn("v", F.lit("b")), path, "2024-01-02T00-00-00")
+        (tmp_path / "r" / "data-left" / "_temporary").mkdir(parents=True, exist_ok=True)
+        assert st.load_results(spark, path, f"{tmp_path}/c", ["k"]).collect() == df.collect()
+    new = df.withColumn("v", F.lit("c"))
+    st.save_results(new, path, "2024-01-02T00-00-00")  # a retry under the same name
+    assert st.load_snapshot(spark, path).collect() == new.collect()
+    folder = next(m["folder"] for m in st.entries(spark, path) if m["name"] == "2024-01-02T00-00-00")
+    next((tmp_path / "r" / folder).glob("*.parquet")).write_bytes(b"damaged")
+    with pytest.warns(UserWarning, match="lost files"):
+        assert st.load_snapshot(spark, path).collect() == df.collect()  # the newest readable one
+
+
+def test_gate_by_folder(spark, tmp_path):
+    old, new = spark.createDataFrame([(1, 5)], "k int, x int"), spark.createDataFrame([(2, 0.5)], "k int, x double")
+    text = spark.createDataFrame([(3, "z")], "k int, x string")
+    for number, df in enumerate((old, text, new)):
+        st.append_checkpoint(df, f"{tmp_path}/c", "run", number, ["k"])
+    load = lambda policy, expected=new.schema: sorted(map(tuple, st.load_checkpoints(spark, f"{tmp_path}/c", ["k"], expected, policy).collect()))
+    with pytest.warns(UserWarning, match="another schema"):
+        assert load("continue") == [(1, 5.0), (2, 0.5)]  # a wider type is taken, another one isn't
+    with pytest.warns(UserWarning, match="another schema"):
+        assert load("force") == [(2, 0.5)]
+    with pytest.raises(ValueError, match="another schema"):
+        load("quit")
+    with pytest.warns(UserWarning, match="another schema"):
+        assert load("force", old.schema) == [(1, 5)]
+    with pytest.raises(ValueError, match="policy"):
+        load("else")
+
+
 def test_resume_computes_only_what_is_missing(spark, tmp_path):
     scenarios, asked = spark.range(6).select(F.col("id").alias("k")), []
 
@@ -112,7 +158,29 @@ def test_resume_takes_up_a_broken_run(spark, tmp_path):
     out = sw.resume(spark, scenarios, compute, *paths, "2024-01-02T00-00-00", ["k"], batches=4)
     assert set.union(*asked) == set(range(40)) - first
     assert sorted(map(tuple, out.select("k", "x").collect())) == [(k, 2 * k) for k in range(40)]
-    assert not st.exists(spark, paths[1])
+    assert st.entries(spark, paths[1]) == []
+
+
+def test_resume_gives_each_key_once_after_any_break(spark, tmp_path, monkeypatch):
+    scenarios, paths = spark.range(30).select(F.col("id").alias("k")), (f"{tmp_path}/r", f"{tmp_path}/c")
+    rows = lambda out: sorted(map(tuple, out.select("k", "x").collect()))
+    calls = []
+
+    def compute(todo):
+        calls.append(todo.count())
+        if len(calls) == 3:
+            raise RuntimeError("lost")
+        return todo.withColumn("x", F.col("k") * 2)
+
+    with pytest.raises(RuntimeError, match="lost"):
+        sw.resume(spark, scenarios.where("k < 20"), compute, *paths, "2024-01-01T00-00-00", ["k"], batches=5)
+    with monkeypatch.context() as m:  # a retry under its own name, with more scenarios and other batches, killed between save and delete
+        m.setattr(sw, "compact", lambda results, path, run_ts, checkpoints: st.save_results(results, path, run_ts, tuple(e["name"] for e in st.entries(spark, checkpoints))))
+        out = sw.resume(spark, scenarios, compute, *paths, "2024-01-01T00-00-00", ["k"], batches=3)
+        assert rows(out) == [(k, 2 * k) for k in range(30)] and len(st.entries(spark, paths[1])) > 2
+    assert sum(calls) == 30 + calls[2]  # nothing that was a checkpoint was computed again
+    out = sw.resume(spark, spark.range(33).select(F.col("id").alias("k")), compute, *paths, "2024-01-02T00-00-00", ["k"], batches=2)
+    assert rows(out) == [(k, 2 * k) for k in range(33)] and st.entries(spark, paths[1]) == []
 
 
 def test_resume_passes_the_gate(spark, tmp_path):
@@ -124,7 +192,7 @@ def test_resume_passes_the_gate(spark, tmp_path):
         return todo.withColumn("x", F.col("k") * 2)
 
     scenarios = spark.range(1, 3).select(F.col("id").alias("k"))
-    own = st.fingerprint(spark.createDataFrame([], "k long, x long"))
+    own = spark.createDataFrame([], "k long, x long").schema
     with pytest.raises(ValueError, match="another schema"):
         sw.resume(spark, scenarios, compute, *paths, "2024-01-02T00-00-00", ["k"], expected=own, policy="quit")
     out = sw.resume(spark, scenarios, compute, *paths, "2024-01-02T00-00-00", ["k"], expected=own, policy="continue")

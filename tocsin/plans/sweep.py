@@ -11,13 +11,14 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tocsin.operators.matching import ALL_ALERTS, MULTIPLE, POST_START, SINGLE, matches
 from tocsin.operators.metrics import accuracy, ratio, record
 from tocsin.operators.runs import runs
 from tocsin.operators.series import compared, gathered
 from tocsin.plans.scenarios import merged, missing
-from tocsin.sources.results import append_checkpoint, compact, exists, load_checkpoints, load_snapshot
+from tocsin.sources.results import append_checkpoint, batch_digest, compact, contained, has_snapshot, load_checkpoints, load_snapshot
 
 #: Rows of a table that every task may get whole, and parts that a larger one is joined in.
 MOST_ROWS, SALTS = 100_000, 64
@@ -168,30 +169,31 @@ def sweep_all(positives: DataFrame, candidates: list[float] | DataFrame, methods
 
 def resume(
     spark: SparkSession, scenarios: DataFrame, compute: Callable[[DataFrame], DataFrame], path: str, checkpoints: str, run_ts: str, keys: list[str],
-    batches: int = 5, expected: str | None = None, policy: str = "continue",
+    batches: int = 5, expected: StructType | None = None, policy: str = "continue",
 ) -> DataFrame:
     """Compute what the store lacks in batches, save all as a new snapshot, clear checkpoints. compute: scenarios -> results.
 
-    Scenarios fall into `batches` by a hash of their keys, and a batch is a checkpoint as soon as it is computed, so a
-    run that ends early loses one batch: the next one takes the checkpoints of earlier runs as results. A run_ts that
-    the store has is refused before anything is computed. expected and policy pass stored rows through the schema gate.
+    Scenarios fall into `batches` by a hash of their keys, and a batch is a checkpoint, named by its scenarios, as soon
+    as it is computed; so a run that ends early loses one batch, and the next one, under whatever run_ts and with
+    whatever batches, takes the checkpoints that no snapshot contains as results. Each key comes from one place: the
+    newest snapshot, else the checkpoint written last. A scenario may have several result rows. A run_ts that the store
+    has is refused before anything is computed. expected and policy pass stored folders through the schema gate.
     """
-    if exists(spark, f"{path}/run_ts={run_ts}"):
+    if has_snapshot(spark, path, run_ts):
         raise ValueError(f"the store has a snapshot of {run_ts}")
     old = load_snapshot(spark, path, expected, policy)
-    if old is not None and policy == "force" and old.isEmpty():
-        old = None  # nothing of another schema is taken up, its columns neither
-    begun = load_checkpoints(spark, checkpoints, keys, expected, policy)
-    known = [df.select(*keys) for df in (old, begun) if df is not None]
+    taken = frozenset() if old is None else contained(spark, path)
+    begun = load_checkpoints(spark, checkpoints, keys, expected, policy, taken)
     todo = scenarios
-    for done in known:
-        todo = missing(todo, done, keys)
+    for done in (old, begun):
+        todo = todo if done is None else missing(todo, done, keys)
     todo = todo.withColumn("_batch", F.pmod(F.xxhash64(*keys), F.lit(batches)).cast("int"))
-    for number in sorted(r[0] for r in todo.select("_batch").distinct().collect()):  # at most `batches` numbers
-        append_checkpoint(compute(todo.where(F.col("_batch") == number).drop("_batch")), checkpoints, run_ts, number)
-    new = load_checkpoints(spark, checkpoints, keys, expected, policy)
-    results = old if new is None else new if old is None else merged(old, new)
-    if results is None:
-        results = compute(todo.drop("_batch"))
-    compact(results, path, run_ts, checkpoints)
-    return spark.read.parquet(f"{path}/run_ts={run_ts}").drop("schema_fingerprint")
+    for number, digest in todo.groupBy("_batch").agg(batch_digest(keys)).orderBy("_batch").collect():  # at most `batches` rows
+        append_checkpoint(compute(todo.where(F.col("_batch") == number).drop("_batch")), checkpoints, run_ts, number, keys, digest)
+    new = load_checkpoints(spark, checkpoints, keys, expected, policy, taken)
+    if old is None or new is None:
+        results = old if new is None else new
+    else:
+        results = merged(old, missing(new, old, keys))
+    compact(compute(todo.drop("_batch")) if results is None else results, path, run_ts, checkpoints)
+    return load_snapshot(spark, path)
