@@ -1,7 +1,9 @@
 """Literal cases of the detection operators, and a double loop against the DataFrames on random series."""
 
 import datetime
+import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -178,6 +180,42 @@ def test_draws_follow_their_distributions():
     assert np.allclose(share, [0.421875, 0.421875, 0.140625, 0.015625], atol=0.01)
 
 
+@pytest.mark.parametrize(("n", "p"), [(30, 0.4), (25, 0.7), (200, 0.06), (100, 0.5), (1000, 0.97)])
+def test_binomial_draws_by_chi_square(n, p):
+    x = se.binomial(np.arange(200_000) + 7, np.full(200_000, n), np.full(200_000, p))
+    chance = np.array([math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log(1 - p)) for k in range(n + 1)])
+    assert _chi_square_fits(np.bincount(x, minlength=n + 1), chance)
+
+
+@pytest.mark.parametrize("mean", [3.0, 10.0, 11.5, 40.0, 300.0])
+def test_poisson_draws_by_chi_square(mean):
+    x = se.poisson(np.arange(200_000) + 9, np.full(200_000, mean))
+    top = max(int(x.max()), int(mean + 12 * mean**0.5)) + 1
+    chance = np.array([math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) for k in range(top + 1)])
+    assert _chi_square_fits(np.bincount(x, minlength=top + 1), chance)
+
+
+def _chi_square_fits(counts, chance):
+    """Whether counts fit the chances of all values, rare ones in one class; five standard deviations are allowed."""
+    want = chance * counts.sum()
+    often = want >= 20
+    seen, want = np.append(counts[often], counts[~often].sum()), np.append(want[often], max(want[~often].sum(), 1e-9))
+    seen, want = (seen, want) if want[-1] >= 5 else (seen[:-1], want[:-1])
+    return ((seen - want) ** 2 / want).sum() < (len(want) - 1) + 5 * (2 * (len(want) - 1)) ** 0.5
+
+
+def test_draws_of_many_trials_take_constant_memory():
+    seed = np.arange(20_000)
+    tracemalloc.start()
+    for n, p in ((10**9, 0.3), (10**9, 1e-9), (10**12, 0.5), (10**9, 1 - 1e-4)):
+        x = se.binomial(seed, np.full(len(seed), n), np.full(len(seed), p))
+        assert abs(x.mean() - n * p) <= 5 * (n * p * (1 - p) / len(seed)) ** 0.5 and abs(x.var() / (n * p * (1 - p)) - 1) <= 0.06
+    x = se.poisson(seed, np.full(len(seed), 3e9))
+    assert abs(x.mean() - 3e9) <= 5 * (3e9 / len(seed)) ** 0.5 and abs(x.var() / 3e9 - 1) <= 0.06
+    assert tracemalloc.get_traced_memory()[1] < 40 << 20
+    tracemalloc.stop()
+
+
 def test_days_reach_as_far_as_the_counts(spark):
     """No axis is given beforehand: dates of any century are in it; given bounds that counts cross are an error."""
     events = spark.createDataFrame([("a", "1871-03-05"), ("a", "1871-03-05"), ("b", "1871-03-01"), ("b", "2031-12-31"), ("a", None)], "sim string, date string").withColumn("date", F.col("date").cast("date"))

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,6 +44,33 @@ def test_percentiles(spark):
     assert rp.summary(rp.flattened(nested, [], "x"), [], "value", (0.5,)).first()[:] == (4.0, 4.0)
 
 
+def test_percentiles_of_groups_equal_sorting(spark):
+    rng = random.Random(11)
+    groups = {None: [rng.random() for _ in range(700)], "ties": [3.0] * 500 + [rng.choice([1.0, 3.0, 9.0]) for _ in range(333)], "one": [5.0], "two": [1.0, 2.0], "none": [None] * 4, "gaps": [None, -2.0, 8.5, None, 0.0]}
+    rows = [(g, v) for g, values in groups.items() for v in values]
+    names = {"least": 0.0, "a": 0.1, "b": 0.5, "c": 0.933, "most": 1.0}
+    df = spark.createDataFrame(rows, "g string, v double").repartition(7)
+    for accuracy in (10, 10_000):
+        found = {r["g"]: r for r in rp.percentiles(df, ["g"], "v", names, (F.count("*").alias("n"),), accuracy).collect()}
+        assert found.keys() == groups.keys()
+        for g, values in groups.items():
+            own = sorted(v for v in values if v is not None)
+            assert found[g]["n"] == len(values)
+            for name, p in names.items():
+                assert found[g][name] == (pytest.approx(np.quantile(own, p), rel=1e-12) if own else None), (g, name)
+    assert rp.percentiles(df.limit(0), ["g"], "v", names).count() == 0
+
+
+def test_percentiles_of_many_distinct_values(spark):
+    """Ten million distinct values in one group; what is sorted is a small part of them."""
+    n = 10_000_000
+    df = spark.range(n, numPartitions=16).select(F.pmod(F.col("id") * 7_654_321, F.lit(n)).cast("double").alias("v"))
+    row = rp.percentiles(df, [], "v", {"a": 0.1, "b": 0.5, "c": 0.987}).first()
+    assert tuple(row) == pytest.approx(tuple(p * (n - 1) for p in (0.1, 0.5, 0.987)), rel=1e-12)
+    lo, hi = df.agg(*(F.percentile_approx("v", F.lit(0.5 + s * 4 / rp.ACCURACY), F.lit(rp.ACCURACY)) for s in (-1, 1))).first()
+    assert df.where(F.col("v").between(lo, hi)).count() < 16 * n / rp.ACCURACY
+
+
 def test_spec_order(spark):
     rows = [(0.9, 0.95, 1), (0.8, 0.9, 2), (0.85, 0.92, 2), (0.95, 0.98, 1)]
     df = rp.distinct_specs(spark.createDataFrame(rows, "sensitivity double, specificity double, test_lag int"))

@@ -873,21 +873,52 @@ def _(spark, d):
     return sw.sweep_all(positives, candidates, METHODS, ["BalancedAccuracy", "F1"], [*KEYS[:-1], "noise_level", "sim"], SIM)
 
 
-@_q("o6_resumable_run", S_SWEEP + " SELECT * EXCLUDE (accuracy_metric) FROM best")
-def _(spark, d):
-    _, _, positives, candidates = _sweep_input(spark, d)
+S_RECORD = S_SWEEP + f""",
+chosen AS (SELECT * EXCLUDE (accuracy_metric) FROM best),
+told AS (SELECT a.*, hi - lo + 1 AS duration FROM aruns a JOIN chosen USING ({TEST}, "T")),
+heard AS (SELECT {TEST}, sim, outbreak_idx, min(lo) AS alert_lo FROM met m JOIN chosen USING ({TEST}, "T") WHERE n = 1 GROUP BY ALL),
+whole AS (SELECT sim, count(*) AS days FROM series GROUP BY sim),
+each AS (SELECT {TEST}, "T", loss, sim, days FROM chosen, whole),
+due AS (SELECT {TEST}, sim, outbreak_idx, o.lo, o.hi, o.duration, alert_lo FROM each e JOIN outbreaks o USING (sim) LEFT JOIN heard USING ({TEST}, sim, outbreak_idx)),
+missed AS (
+  SELECT {TEST}, due.sim, outbreak_idx, coalesce(sum(incidence), 0) AS cases
+  FROM due LEFT JOIN series s ON s.sim = due.sim AND s.day >= lo AND s.day <= CASE WHEN alert_lo IS NULL THEN hi ELSE greatest(alert_lo, lo) - 1 END GROUP BY ALL),
+by_outbreak AS (
+  SELECT {TEST}, sim, list(alert_lo - lo ORDER BY outbreak_idx) FILTER (WHERE alert_lo IS NOT NULL) AS delays, list(cases ORDER BY outbreak_idx) AS unavoidable_cases,
+    list(duration ORDER BY outbreak_idx) AS outbreak_durations, sum(duration) AS outbreak_days FROM due JOIN missed USING ({TEST}, sim, outbreak_idx) GROUP BY ALL),
+by_alert AS (SELECT {TEST}, sim, list(duration ORDER BY lo) AS alert_durations, sum(duration) AS alert_days, count(*) AS n_alerts FROM told GROUP BY ALL),
+record AS (
+  SELECT e.*, coalesce(by_alert.n_alerts, 0) AS n_alerts, coalesce(n_outbreaks, 0) AS n_outbreaks, ppv, sens AS detected,
+    round((coalesce(ppv, 0) + coalesce(sens, 0)) / nullif((ppv IS NOT NULL)::INT + (sens IS NOT NULL)::INT, 0), 9) AS accuracy,
+    delays, unavoidable_cases, alert_durations, outbreak_durations,
+    coalesce(alert_days, 0) / CAST(days AS DOUBLE) AS share_in_alert, coalesce(outbreak_days, 0) / CAST(days AS DOUBLE) AS share_in_outbreak
+  FROM each e JOIN ratios r USING ({TEST}, "T", sim) LEFT JOIN no USING (sim) LEFT JOIN by_outbreak USING ({TEST}, sim) LEFT JOIN by_alert USING ({TEST}, sim))"""
+RECORD_LISTS = ["delays", "unavoidable_cases", "alert_durations", "outbreak_durations"]
+
+
+def _stored_records(spark: SparkSession, d: str) -> DataFrame:
+    """The record of every series at its scenario's best threshold, as a run, and one that takes it up, leave it in the store."""
+    series, outbreaks, positives, candidates = _sweep_input(spark, d)
     path, ready = _store(spark), _kept(spark, _ready(positives))
     scenarios = _kept(spark, ready.select(*SCENARIO).distinct())
 
     def compute(todo: DataFrame) -> DataFrame:
-        own = sw.beside(ready, _kept(spark, todo.select(*SCENARIO)), SCENARIO)
-        return sw.best(sw.scores(own, candidates, KEYS, SIM, "BalancedAccuracy"), SCENARIO)
+        own = _kept(spark, sw.beside(ready, _kept(spark, todo.select(*SCENARIO)), SCENARIO))
+        chosen = _kept(spark, sw.best(sw.scores(own, candidates, KEYS, SIM, "BalancedAccuracy"), SCENARIO))
+        return sw.result_at(own, chosen, series, outbreaks, KEYS, SIM, "BalancedAccuracy").drop("series_id")
 
     run = lambda rows, ts: sw.resume(spark, rows, compute, f"{path}/results", f"{path}/checkpoints", ts, SCENARIO, batches=2)
     run(scenarios.where("sensitivity < 1"), "2024-01-01T00-00-00")
     return run(scenarios, "2024-01-02T00-00-00")
 
 
+@_q("o6_resumable_run", S_RECORD + f""" SELECT {TEST}, sim, "T", loss, n_alerts, n_outbreaks, ppv, detected, accuracy, {", ".join(f"array_to_string({c}, ',') AS {c}" for c in RECORD_LISTS)}, share_in_alert, share_in_outbreak FROM record""")
+def _(spark, d):
+    text = lambda c: F.when(F.size(c) > 0, F.array_join(c, ",")).alias(c)
+    out = _stored_records(spark, d)
+    return out.select(*KEYS, "T", "loss", "n_alerts", "n_outbreaks", "ppv", "detected", _r("accuracy", 9).alias("accuracy"), *map(text, RECORD_LISTS), "share_in_alert", "share_in_outbreak")
+
+
 # Reports -----------------------------------------------------------------------------------------------------------
 
 @_q("r1_configured", S_REPORT + " SELECT * FROM report WHERE noise_type = 'static' AND sensitivity = 0.9 AND test_lag = 0")
@@ -1071,8 +1102,46 @@ def _(spark, d):
 
 
 @_q("r23_difference_summary", S_LINES + """ SELECT sensitivity, specificity, test_lag, round(avg(value - noise_level), 6) AS mean, round(stddev_samp(value - noise_level), 6) AS sd, round(median(value - noise_level), 6) AS median,
-min(value - noise_level) AS least, max(value - noise_level) AS most, round(quantile_cont(value - noise_level, 0.1), 6) AS q10, round(quantile_cont(value - noise_level, 0.9), 6) AS q90 FROM lines GROUP BY ALL""")
+min(value - noise_level) AS least, max(value - noise_level) AS most, round(quantile_cont(value - noise_level, 0.1), 6) AS q10, round(quantile_cont(value - noise_level, 0.25), 6) AS q25, round(quantile_cont(value - noise_level, 0.75), 6) AS q75, round(quantile_cont(value - noise_level, 0.9), 6) AS q90 FROM lines GROUP BY ALL""")
 def _(spark, d):
     rows = _lines(spark, d).withColumn("difference", F.col("value") - F.col("noise_level"))
     out = rp.difference_summary(rows, rp.SPEC, "difference")
-    return out.select(*rp.SPEC, *(_r(c).alias(c) for c in ("mean", "sd", "median")), "least", "most", _r("q10").alias("q10"), _r("q90").alias("q90"))
+    return out.select(*rp.SPEC, *(_r(c).alias(c) for c in ("mean", "sd", "median")), "least", "most", *(_r(c).alias(c) for c in ("q10", "q25", "q75", "q90")))
+
+
+# Reports on the store: nested measures of its records ---------------------------------------------------------------
+
+@_q("r6_stored_summary", S_RECORD + " SELECT sensitivity, specificity, test_lag, round(avg(accuracy), 6) AS mean, round(quantile_cont(accuracy, 0.1), 6) AS p10, round(quantile_cont(accuracy, 0.9), 6) AS p90 FROM record GROUP BY ALL")
+def _(spark, d):
+    out = rp.summary(_stored_records(spark, d), rp.SPEC, "accuracy")
+    return out.select(*rp.SPEC, *(_r(c).alias(c) for c in ("mean", "p10", "p90")))
+
+
+@_q("r9_stored_delays", S_RECORD + f""", flat AS (SELECT {TEST}, unnest(delays) AS value FROM record)
+SELECT {TEST}, round(avg(value), 6) AS mean, {S_PCT} FROM flat GROUP BY ALL""")
+def _(spark, d):
+    by_scenario = _stored_records(spark, d).select(*SCENARIO, F.array("delays").alias("nested"))
+    out = rp.summary(rp.flattened(by_scenario, SCENARIO, "nested"), SCENARIO, "value")
+    return out.select(*SCENARIO, *(_r(c).alias(c) for c in ("mean", "p10", "p90")))
+
+
+@_q("r10_stored_cells", S_RECORD + f""", flat AS (SELECT {TEST}, unnest(unavoidable_cases) AS value FROM record)
+SELECT {TEST}, printf('%.2f', round_even(avg(value), 2)) AS value FROM flat GROUP BY ALL""")
+def _(spark, d):
+    out = rp.cell_values(_stored_records(spark, d), SCENARIO, "unavoidable_cases")
+    return out.where("value is not null").select(*SCENARIO, rp.as_text("value").alias("value"))
+
+
+@_q("r17_stored_spread", S_RECORD + f""", flat AS (SELECT {TEST}, unnest(alert_durations) AS value FROM record), means AS (SELECT {TEST}, avg(value) AS m FROM flat GROUP BY ALL)
+SELECT sensitivity, specificity, test_lag, round_even(min(m), 2) AS lowest, round_even(max(m), 2) AS highest, round_even(avg(m), 2) AS mean, round_even(quantile_cont(m, 0.5), 2) AS median FROM means GROUP BY ALL""")
+def _(spark, d):
+    values = _stored_records(spark, d).select(*SCENARIO, F.explode("alert_durations").alias("value"))
+    return rp.spread_of_means(values, ["percent_tested"], rp.SPEC)
+
+
+@_q("r19_stored_consistency", S_RECORD + """, perfect AS (
+  SELECT percent_tested, sim, "T", accuracy, first_value("T") OVER w AS t, first_value(accuracy) OVER w AS a FROM record WHERE sensitivity = 1 AND test_lag = 0 WINDOW w AS (ORDER BY percent_tested, sim))
+SELECT percent_tested, sim, "T", accuracy FROM perfect WHERE abs("T" - t) > CAST(0.000001 AS DOUBLE) OR abs(accuracy - a) > CAST(0.000001 AS DOUBLE)""")
+def _(spark, d):
+    rows = _stored_records(spark, d).withColumns({"ord": F.struct("percent_tested", "sim"), "accuracy": _r("accuracy", 9)})
+    return rp.inconsistent(rows, ["test_lag"], "ord", ["T", "accuracy"]).select("percent_tested", "sim", "T", "accuracy")

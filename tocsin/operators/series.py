@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -78,8 +80,8 @@ def in_years(df: DataFrame, first: float, last: float) -> DataFrame:
     return df.where((F.col("lo") >= a) & (F.col("hi") <= b)) if "lo" in df.columns else df.where(F.col("day").between(a, b))
 
 
-#: Trials, or mean, of one part of a draw: its chance of 0 is still a normal number.
-TRIALS, MEAN = 900, 500.0
+#: Expected hits from which on a draw is made by transformed rejection, below by inversion.
+LEAST_HITS = 10.0
 
 
 def uniforms(seed: np.ndarray) -> np.ndarray:
@@ -90,11 +92,36 @@ def uniforms(seed: np.ndarray) -> np.ndarray:
     return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
 
 
-def _in_parts(seed: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, number and uniform of each part of each draw."""
-    row = np.repeat(np.arange(len(parts)), parts)
-    number = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
-    return row, number, uniforms(seed.astype(np.int64).view(np.uint64)[row] ^ (number.astype(np.uint64) * np.uint64(0xD1342543DE82EF95)))
+def _uniform(seed: np.ndarray, number: int) -> np.ndarray:
+    """The number-th uniform of each seed."""
+    return uniforms(seed.astype(np.int64).view(np.uint64) ^ np.uint64(number * 0xD1342543DE82EF95 % (1 << 64)))
+
+
+#: log k! less its leading terms (k + 1/2) log(k + 1) - (k + 1) + log(2 pi) / 2, for small k.
+_tail = np.array([math.lgamma(k + 1) - (k + 0.5) * math.log(k + 1) + (k + 1) - 0.5 * math.log(2 * math.pi) for k in range(10)])
+
+
+def _factorial_tail(k: np.ndarray) -> np.ndarray:
+    square = (k + 1.0) ** 2
+    return np.where(k < 10, _tail[np.clip(k, 0, 9).astype(np.int64)], (1 / 12 - (1 / 360 - 1 / (1260 * square)) / square) / (k + 1.0))
+
+
+def _rejected(seed: np.ndarray, a: np.ndarray, b: np.ndarray, centre: np.ndarray, sure: np.ndarray, most: np.ndarray, accepts) -> np.ndarray:
+    """Draws by transformed rejection (Hoermann 1993): a pair of uniforms an attempt, until each row has one accepted.
+
+    sure is the chance below which an attempt near the centre is accepted at once; accepts(rows, k, v, us) decides on others.
+    """
+    out, open_, turn = np.zeros(len(seed), np.int64), np.arange(len(seed)), 0
+    while len(open_):
+        u, v = _uniform(seed[open_], 2 * turn) - 0.5, _uniform(seed[open_], 2 * turn + 1)
+        us = np.maximum(0.5 - np.abs(u), 1e-12)
+        k = np.floor((2 * a[open_] / us + b[open_]) * u + centre[open_])
+        good = (us >= 0.07) & (v <= sure[open_])
+        tried = np.flatnonzero(~good & (k >= 0) & (k <= most[open_]))
+        good[tried] = accepts(open_[tried], k[tried], np.maximum(v[tried], 1e-300), us[tried])
+        out[open_[good]] = k[good].astype(np.int64)
+        open_, turn = open_[~good], turn + 1
+    return out
 
 
 def _inverted(u: np.ndarray, chance: np.ndarray, ratio) -> np.ndarray:
@@ -112,22 +139,46 @@ def _inverted(u: np.ndarray, chance: np.ndarray, ratio) -> np.ndarray:
 
 
 def binomial(seed: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Binomial(n, p) draws by inversion, in parts of TRIALS trials."""
+    """Binomial(n, p) draws; memory and time don't depend on n."""
     n, p = np.maximum(np.nan_to_num(n), 0).astype(np.int64), np.clip(np.nan_to_num(p), 0.0, 1.0)
-    q = np.minimum(p, 1 - p)
-    row, number, u = _in_parts(seed, -(-n // TRIALS))
-    trials, chance = np.minimum(TRIALS, n[row] - number * TRIALS), q[row]
-    hits = _inverted(u, (1 - chance) ** trials, lambda k, at: (trials[at] - k + 1) / k * chance[at] / (1 - chance[at]))
-    drawn = np.bincount(row, np.minimum(hits, trials), len(n)).astype(np.int64)
-    return np.where(p > 0.5, n - drawn, drawn)
+    q, out = np.minimum(p, 1 - p), np.zeros(len(n), np.int64)
+    large = n * q >= LEAST_HITS
+    few = np.flatnonzero(~large)
+    trials, chance = n[few], q[few]
+    hits = _inverted(_uniform(seed[few], 0), np.exp(trials * np.log1p(-chance)), lambda k, at: (trials[at] - k + 1) / k * chance[at] / (1 - chance[at]))
+    out[few] = np.minimum(hits, trials)
+    rows = np.flatnonzero(large)
+    t, c = n[rows].astype(float), q[rows]
+    spread, odds, mode = np.sqrt(t * c * (1 - c)), c / (1 - c), np.floor((t + 1) * c)
+    b = 1.15 + 2.53 * spread
+    a = -0.0873 + 0.0248 * b + 0.01 * c
+    scale = (2.83 + 5.1 / b) * spread
+
+    def accepts(at: np.ndarray, k: np.ndarray, v: np.ndarray, us: np.ndarray) -> np.ndarray:
+        m, n_, r = mode[at], t[at], odds[at]
+        chance = (m + 0.5) * np.log((m + 1) / (r * (n_ - m + 1))) + (n_ + 1) * np.log((n_ - m + 1) / (n_ - k + 1)) + (k + 0.5) * np.log(r * (n_ - k + 1) / (k + 1))
+        chance += _factorial_tail(m) + _factorial_tail(n_ - m) - _factorial_tail(k) - _factorial_tail(n_ - k)
+        return np.log(v * scale[at] / (a[at] / us**2 + b[at])) <= chance
+
+    out[rows] = _rejected(seed[rows], a, b, t * c + 0.5, 0.92 - 4.2 / b, t, accepts)
+    return np.where(p > 0.5, n - out, out)
 
 
 def poisson(seed: np.ndarray, mean: np.ndarray) -> np.ndarray:
-    """Poisson(mean) draws by inversion, in parts of at most MEAN."""
-    mean = np.maximum(np.nan_to_num(mean), 0.0)
-    row, number, u = _in_parts(seed, np.ceil(mean / MEAN).astype(np.int64))
-    part = np.minimum(MEAN, mean[row] - number * MEAN)
-    return np.bincount(row, _inverted(u, np.exp(-part), lambda k, at: part[at] / k), len(mean)).astype(np.int64)
+    """Poisson(mean) draws; memory and time don't depend on the mean."""
+    mean, out = np.maximum(np.nan_to_num(mean), 0.0), np.zeros(len(mean), np.int64)
+    few, rows = np.flatnonzero(mean < LEAST_HITS), np.flatnonzero(mean >= LEAST_HITS)
+    out[few] = _inverted(_uniform(seed[few], 0), np.exp(-mean[few]), lambda k, at: mean[few][at] / k)
+    m = mean[rows]
+    b = 0.931 + 2.53 * np.sqrt(m)
+    a = -0.059 + 0.02483 * b
+
+    def accepts(at: np.ndarray, k: np.ndarray, v: np.ndarray, us: np.ndarray) -> np.ndarray:
+        chance = (k + 1 - m[at]) + k * np.log(m[at] / (k + 1)) - 0.5 * np.log(2 * math.pi * (k + 1)) - _factorial_tail(k)
+        return np.log(v * (1.1239 + 1.1328 / (b[at] - 3.4)) / (a[at] / us**2 + b[at])) <= chance
+
+    out[rows] = _rejected(seed[rows], a, b, m + 0.43, 0.9277 - 3.6224 / (b - 2), np.full(len(rows), np.inf), accepts)
+    return out
 
 
 def static_background(series: DataFrame, level: float, seed: int, keys: list[str]) -> DataFrame:

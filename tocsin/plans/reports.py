@@ -20,6 +20,8 @@ MEASURES = (
     "outbreak_durations", "proportion_timeseries_in_alert", "proportion_timeseries_in_outbreak", "n_alerts",
 )
 ALL_NOISE = "all_noise_structures"
+#: A percentile's sketch is off by n / ACCURACY ranks at most.
+ACCURACY = 10_000
 
 
 def configured(results: DataFrame, **values: object) -> DataFrame:
@@ -56,10 +58,53 @@ def levels_differ(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).union(b.exceptAll(a))
 
 
+def same(a: str, b: str, keys: list[str]) -> Column:
+    """Equality of all keys of two aliased tables; nulls are equal."""
+    out = F.lit(True)
+    for k in keys:
+        out &= F.col(f"{a}.`{k}`").eqNullSafe(F.col(f"{b}.`{k}`"))
+    return out
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, names: dict[str, float], more: tuple[Column, ...] = (), accuracy: int = ACCURACY) -> DataFrame:
+    """(keys, more..., names...): exact interpolated percentiles of each group, and further aggregates.
+
+    Distributed selection. A mergeable sketch brackets every asked rank; one pass counts, in partial sums, the values
+    below a bracket, and each distinct value inside it; only these are sorted, about 8 / accuracy of a group's rows, or
+    all of a group of fewer than `accuracy`. A bracket that doesn't hold its rank raises an error. Nulls are skipped; a
+    group without values has null.
+    """
+    group = keys or ["_all"]
+    rows = df.withColumn("_v", F.col(value).cast("double"))
+    rows = rows if keys else rows.withColumn("_all", F.lit(0))
+    points = list(names.values())
+    near = lambda sign: F.percentile_approx("_v", F.array(*(F.lit(min(1.0, max(0.0, p + sign * 4 / accuracy))) for p in points)), F.lit(accuracy))
+    whole = lambda edge, of: F.when(F.col("_n") < accuracy, F.array(*[F.col(edge)] * len(points))).otherwise(F.col(of))
+    brackets = rows.groupBy(*group).agg(F.count("_v").alias("_n"), near(-1).alias("_lo"), near(1).alias("_hi"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), *more)
+    brackets = brackets.withColumns({"_lo": whole("_min", "_lo"), "_hi": whole("_max", "_hi")}).drop("_min", "_max")
+    asked = brackets.select(*group, F.posexplode(F.arrays_zip("_lo", "_hi", F.array(*(F.lit(p) * (F.col("_n") - 1) for p in points)).alias("_at"))).alias("_k", "_b"))
+    asked = asked.select(*group, "_k", "_b._at", F.floor("_b._at").alias("_low"), F.ceil("_b._at").alias("_high"))
+
+    own = rows.where("_v is not null").select(*group, "_v").alias("x").join(brackets.select(*group, "_lo", "_hi").alias("y"), same("x", "y", group)).select("x.*", "_lo", "_hi")
+    # a value below its bracket counts as null, one above doesn't count
+    inside = F.filter(F.transform("_lo", lambda lo, k: F.struct(k.alias("k"), F.when(F.col("_v") >= lo, F.col("_v")).alias("v"), (F.col("_v") <= F.get("_hi", k)).alias("in"))), lambda s: s["in"])
+    counts = own.select(*group, F.explode(inside).alias("_s")).groupBy(*group, F.col("_s.k").alias("_k"), F.col("_s.v").alias("_v")).agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*group, "_k").orderBy(F.asc_nulls_first("_v")).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.withColumn("_upto", upto).alias("x").join(asked.alias("y"), same("x", "y", [*group, "_k"])).select("x.*", "_at", "_low", "_high")
+    found = ranked.groupBy(*group, "_k", "_at", "_low", "_high").agg(
+        F.min(F.when(F.col("_upto") > F.col("_low"), F.struct("_upto", "_v"))).alias("_a"), F.min(F.when(F.col("_upto") > F.col("_high"), F.struct("_upto", "_v"))).alias("_b")
+    )
+    held = F.col("_a._v").isNotNull() & F.col("_b._v").isNotNull()
+    between = F.when(F.col("_low") == F.col("_high"), F.col("_a._v")).otherwise((F.col("_high") - F.col("_at")) * F.col("_a._v") + (F.col("_at") - F.col("_low")) * F.col("_b._v"))
+    found = found.select(*group, "_k", F.when(held, between).otherwise(F.raise_error(F.lit("a bracket misses its rank")).cast("double")).alias("_p"))
+    wide = found.groupBy(*group).agg(*(F.max(F.when(F.col("_k") == k, F.col("_p"))).alias(name) for k, name in enumerate(names)))
+    totals = brackets.drop("_n", "_lo", "_hi")
+    return totals.alias("x").join(wide.alias("y"), same("x", "y", group), "left").select(*(F.col(f"x.`{c}`") for c in totals.columns if c != "_all"), *(F.col(f"y.`{n}`") for n in names))
+
+
 def summary(df: DataFrame, keys: list[str], value: str, points: tuple[float, ...] = (0.1, 0.9)) -> DataFrame:
     """(keys, mean, p..): mean and exact interpolated percentiles; nulls are skipped, nothing gives null."""
-    aggregates = [F.avg(value).alias("mean"), *(F.percentile(value, F.lit(p)).alias(f"p{round(100 * p)}") for p in points)]
-    return df.groupBy(*keys).agg(*aggregates) if keys else df.agg(*aggregates)
+    return percentiles(df, keys, value, {f"p{round(100 * p)}": p for p in points}, (F.avg(value).alias("mean"),))
 
 
 def flattened(df: DataFrame, keys: list[str], nested: str, name: str = "value") -> DataFrame:
@@ -81,6 +126,11 @@ def cell_values(df: DataFrame, keys: list[str], nested: str, name: str = "value"
     return folded.groupBy(*keys).agg((F.sum("_t") / F.nullif(F.sum("_n"), F.lit(0))).alias(name))
 
 
+def as_text(value: str, digits: int = 2) -> Column:
+    """A cell as text with so many digits, for export; null stays null."""
+    return F.when(F.col(value).isNotNull(), F.format_string(f"%.{digits}f", F.bround(value, digits)))
+
+
 def repeated_cells(long: DataFrame, ids: list[str]) -> DataFrame:
     """(ids, percent_tested) that occur more than once, which a pivot can't show."""
     return long.groupBy(*ids, "percent_tested").count().where("count > 1")
@@ -141,8 +191,8 @@ def baseline_difference(long: DataFrame, ids: list[str], value: str = "value") -
 def spread_of_means(values: DataFrame, scenario: list[str], keys: list[str], digits: int = 2) -> DataFrame:
     """(keys, lowest, highest, mean, median) of scenario means, rounded."""
     means = values.groupBy(*keys, *scenario).agg(F.avg("value").alias("m"))
-    r = lambda c: F.bround(c, digits)
-    return means.groupBy(*keys).agg(r(F.min("m")).alias("lowest"), r(F.max("m")).alias("highest"), r(F.avg("m")).alias("mean"), r(F.percentile("m", F.lit(0.5))).alias("median"))
+    found = percentiles(means, keys, "m", {"median": 0.5}, (F.min("m").alias("lowest"), F.max("m").alias("highest"), F.avg("m").alias("mean")))
+    return found.select(*keys, *(F.bround(c, digits).alias(c) for c in ("lowest", "highest", "mean", "median")))
 
 
 def inconsistent(results: DataFrame, keys: list[str], order: str, values: list[str], tolerance: float = 1e-6) -> DataFrame:
@@ -167,11 +217,8 @@ def confusion(prevalence: DataFrame, step: float = 0.05, n: int = 20) -> DataFra
 
 
 def difference_summary(draws: DataFrame, keys: list[str], value: str) -> DataFrame:
-    points = (0.1, 0.25, 0.5, 0.75, 0.9)
-    return draws.groupBy(*keys).agg(
-        F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.percentile(value, F.lit(0.5)).alias("median"), F.min(value).alias("least"), F.max(value).alias("most"),
-        *(F.percentile(value, F.lit(p)).alias(f"q{round(100 * p)}") for p in points),
-    )
+    names = {"median": 0.5} | {f"q{round(100 * p)}": p for p in (0.1, 0.25, 0.5, 0.75, 0.9)}
+    return percentiles(draws, keys, value, names, (F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("least"), F.max(value).alias("most")))
 
 
 def _replicate_sums(batches: Iterator[pa.RecordBatch], replicates: int) -> Iterator[pa.RecordBatch]:
