@@ -444,6 +444,32 @@ _scalar("e11_background_start", {"s": "CASE WHEN status = 'ok' THEN s_ ELSE 1 -
          "r": "CASE WHEN status = 'ok' THEN r_ ELSE coverage END"}, lambda: {k: par.background_start(_c("state"), _c("coverage"), _c("n"))[k] for k in "seir"})
 
 
+S_DAYS = S_SERIES + ", " + S_PAR.removeprefix("WITH ") + """,
+onday AS (
+  SELECT sim, s.day, incidence, sigma, gamma, mu, q.n, beta * (1 + force * CASE WHEN shape = 'sine' THEN sin(2 * pi() * s.day / 365) ELSE cos(2 * pi() * s.day / 365) END) AS beta_t
+  FROM series s JOIN q ON q.id = sim + 1)"""
+
+
+def _seasonal_days(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A region's series has the parameters of the part numbered after it, on every day of its own."""
+    series = _kept(spark, _series(spark, d))
+    rows = _params(spark, d).drop("day").withColumn("sim", (F.col("id") - 1).cast("int"))
+    return series, par.seasonal_series(rows, series.groupBy("sim").agg(F.min("day").alias("first"), F.max("day").alias("last")), SIM)
+
+
+@_q("e6_seasonal_series", S_DAYS + " SELECT sim, day, round(beta_t, 9) AS beta_t FROM onday")
+def _(spark, d):
+    return _seasonal_days(spark, d)[1].select("sim", "day", _r("beta_t", 9).alias("beta_t"))
+
+
+@_q("e7_effective_series", S_DAYS + """ SELECT sim, day, round((beta_t * sigma / ((sigma + mu) * (gamma + mu))) * (greatest(n - sum(incidence) OVER (PARTITION BY sim ORDER BY day), 0)) / n, 9) AS reff FROM onday""")
+def _(spark, d):
+    series, days = _seasonal_days(spark, d)
+    upto = F.sum("incidence").over(se.by_day(SIM))
+    states = series.join(days.select("sim", "n").distinct(), "sim").select("sim", "day", F.greatest(F.col("n") - upto, F.lit(0)).alias("susceptible"))
+    return par.effective_series(days, states, SIM).select("sim", "day", _r("reff", 9).alias("reff"))
+
+
 def _background() -> dict[str, Column]:
     """A background of another R0 than the series': its force, whether its season is a cosine, its beta and imports."""
     r0 = _c("r0") / 2 + 1
@@ -857,6 +883,16 @@ def _(spark, d):
     return sw.best(sw.scores(ready, points, KEYS, SIM, "BalancedAccuracy"), SCENARIO).select("sensitivity", "T", "loss")
 
 
+@_q("o3_averaged_breakpoints", _sweep_sql(TEST, TEST).replace("""cands AS (SELECT CAST(0 AS DOUBLE) + k * (u - CAST(0 AS DOUBLE)) / 10 AS "T" FROM upper_bound, (SELECT unnest(range(1, 11)) AS k))""",
+f"""cands AS (SELECT DISTINCT {TEST}, value AS "T" FROM ready WHERE value >= 0 UNION SELECT {TEST}, greatest(max(value), CAST(0 AS DOUBLE)) FROM ready GROUP BY {TEST})""").replace('FROM ready JOIN cands ON value >= "T"', f'FROM ready JOIN cands USING ({TEST}) WHERE value >= "T"').replace("FROM ready, cands)", f"FROM ready JOIN cands USING ({TEST}))")
++ " SELECT * EXCLUDE (accuracy_metric) FROM best")
+def _(spark, d):
+    """Every value that a moving average takes is a candidate of its scenario."""
+    _, _, positives, _ = _sweep_input(spark, d)
+    ready = _kept(spark, _ready(positives))
+    return sw.best(sw.scores(ready, _kept(spark, sw.breakpoints(ready, 0.0, SCENARIO)), KEYS, SIM, "BalancedAccuracy"), SCENARIO)
+
+
 @_q("o4_optimal_result", S_SWEEP + """ SELECT percent_tested, sensitivity, specificity, test_lag, sim, "T", loss, coalesce(n_alerts, 0) AS n_alerts, coalesce(n_outbreaks, 0) AS n_outbreaks, ppv, sens AS detected
 FROM best JOIN ratios USING (percent_tested, sensitivity, specificity, test_lag, "T") LEFT JOIN na USING (percent_tested, sensitivity, specificity, test_lag, sim, "T") LEFT JOIN no USING (sim)""")
 def _(spark, d):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -40,6 +40,24 @@ def effective(r0_of_beta: Column, susceptible: Column, n: Column) -> Column:
     return r0_of_beta * susceptible / n
 
 
+def seasonal_series(rows: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
+    """rows (keys, beta, force, shape, ...) for every day of spans (keys, first, last), with beta_t, that day's transmission.
+
+    The days are made from each span, so no table of days is crossed with the rows. A row without a span has no day.
+    """
+    days = rows.join(spans, keys).withColumn("day", F.explode(F.sequence("first", "last"))).drop("first", "last")
+    return days.withColumn("beta_t", seasonal(F.col("beta"), F.col("force"), F.col("day"), F.col("shape")))
+
+
+def effective_series(days: DataFrame, states: DataFrame, keys: list[str]) -> DataFrame:
+    """days of seasonal_series() with reff, the effective reproduction number on states (keys, day, susceptible).
+
+    A day that states lack has a null one.
+    """
+    r0 = reproduction(F.col("beta_t"), F.col("sigma"), F.col("gamma"), F.col("mu"))
+    return days.join(states, [*keys, "day"], "left").withColumn("reff", effective(r0, F.col("susceptible"), F.col("n")))
+
+
 def equilibrium(r0: Column, beta: Column, sigma: Column, gamma: Column, mu: Column, coverage: Column) -> Column:
     """STRUCT<status, s, e, i, r> of endemic proportions; a status other than ok has null proportions."""
     reff = r0 * (1 - coverage)

@@ -58,10 +58,24 @@ def series_names(ready: DataFrame, keys: list[str]) -> DataFrame:
     return ready.groupBy(*keys).agg(F.count("*").cast("int").alias("length")).withColumn("series_id", F.xxhash64(*keys))
 
 
-def rank(value: Column, candidates: Column, most: int) -> Column:
-    """How many of the ascending candidates, at most `most`, a value reaches; by halving."""
-    steps = F.array(*(F.lit(1 << b) for b in reversed(range(most.bit_length()))))
-    return F.aggregate(steps, F.lit(0), lambda r, s: F.when(F.get(candidates, r + s - 1) <= value, r + s).otherwise(r))
+def rank(value: Column, candidates: list[float]) -> Column:
+    """How many of the ascending candidates a value reaches; by halving."""
+    grid = F.array(*map(F.lit, candidates))
+    steps = F.array(*(F.lit(1 << b) for b in reversed(range(len(candidates).bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda r, s: F.when(F.get(grid, r + s - 1) <= value, r + s).otherwise(r))
+
+
+def merged_ranks(values: DataFrame, candidates: DataFrame, scenario: list[str]) -> DataFrame:
+    """(scenario, value, r): how many of its scenario's candidates (scenario, T) each distinct value reaches.
+
+    Values and candidates are sorted together once, and candidates are counted as they pass, so neither is crossed with
+    the other, and no list of candidates is carried along.
+    """
+    distinct = values.select(*scenario, "value").distinct().withColumn("asks", F.lit(1))
+    given = candidates.select(*scenario, F.col("T").alias("value"), F.lit(0).alias("asks"))
+    w = Window.partitionBy("_dealt", *scenario).orderBy("value", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    both = gathered([given, distinct], scenario).withColumn("r", F.count_if(F.col("asks") == 0).over(w).cast("int"))
+    return both.where("asks = 1").select(*scenario, "value", "r")
 
 
 def _intervals(ranked: DataFrame, filtering: str, matching: str) -> DataFrame:
@@ -100,12 +114,11 @@ def candidate_counts(ready: DataFrame, candidates: list[float] | DataFrame, keys
         raise ValueError(f"no such matching: {matching}")
     scenario = [k for k in keys if k not in by]
     if isinstance(candidates, list):
-        days, most = ready.withColumn("_t", F.lit(sorted(map(float, candidates)))), len(candidates)
+        grid = sorted(map(float, candidates))
+        days = ready.withColumn("r", rank(F.col("value"), grid))
     else:
-        tables = candidates.groupBy(*scenario).agg(F.sort_array(F.collect_list("T")).alias("_t"), F.count("*").alias("_n"))
-        most = tables.agg(F.coalesce(F.max("_n"), F.lit(1))).first()[0]
-        days = beside(ready, tables.drop("_n"), scenario, MOST_ROWS // max(1, most // 100))
-    ranked = days.select(F.xxhash64(*keys).alias("series_id"), "day", "outbreak_idx", rank(F.col("value"), F.col("_t"), most).alias("r")).repartition("series_id")
+        days = ready.join(merged_ranks(ready, candidates, scenario), [*scenario, "value"])
+    ranked = days.select(F.xxhash64(*keys).alias("series_id"), "day", "outbreak_idx", "r").repartition("series_id")
     found = _intervals(ranked, filtering, matching)
     covered = F.max(F.when(F.col("covers"), F.col("b"))).over(Window.partitionBy("series_id", "o").orderBy("a", "b", "alert", "matched").rowsBetween(Window.unboundedPreceding, -1))
     found = found.withColumn("fresh", F.greatest("a", F.coalesce(covered, F.lit(0))))
@@ -114,12 +127,18 @@ def candidate_counts(ready: DataFrame, candidates: list[float] | DataFrame, keys
     none = F.lit(0)
     ends = F.array(end(F.col("a"), 1, F.col("alert"), F.col("matched"), none), end(F.col("fresh"), 1, none, none, new), end(F.col("b"), -1, F.col("alert"), F.col("matched"), new))
     steps = found.select("series_id", F.explode(ends).alias("e")).select("series_id", "e.*")
-    names = days.groupBy(*keys).agg(F.coalesce(F.max("outbreak_idx"), F.lit(0)).cast("long").alias("n_outbreaks"), F.first("_t").alias("_t")).withColumn("series_id", F.xxhash64(*keys))
-    axis = names.select("series_id", F.posexplode("_t").alias("k", "T")).select("series_id", (F.col("k") + 1).alias("k"), *(F.lit(0).alias(c) for c in steps.columns[2:]))
-    sums = gathered([steps, axis], ["series_id"]).groupBy("_dealt", "series_id", "k").agg(*(F.sum(c).alias(c) for c in steps.columns[2:]))
+    names = ready.groupBy(*keys).agg(F.coalesce(F.max("outbreak_idx"), F.lit(0)).cast("long").alias("n_outbreaks")).withColumn("series_id", F.xxhash64(*keys))
+    if isinstance(candidates, list):
+        axis = names.select("series_id", F.posexplode(F.lit(grid)).alias("k", "T")).withColumn("k", F.col("k") + 1)
+    else:
+        numbered = candidates.select(*scenario, "T", F.row_number().over(Window.partitionBy(*scenario).orderBy("T")).alias("k"))
+        axis = names.select(*scenario, "series_id").join(numbered, scenario).select("series_id", "k", "T")
+    summed = steps.columns[2:]
+    axis = axis.select("series_id", "k", *(F.lit(0).alias(c) for c in summed), "T")
+    sums = gathered([steps, axis], ["series_id"]).groupBy("_dealt", "series_id", "k").agg(*(F.sum(c).alias(c) for c in summed), F.max("T").alias("T"))
     w = Window.partitionBy("_dealt", "series_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    counts = sums.select("series_id", "k", *(F.sum(c).over(w).alias(c) for c in steps.columns[2:]))
-    return counts.join(names, "series_id").where(F.col("k") <= F.size("_t")).select(*keys, F.element_at("_t", F.col("k")).alias("T"), "n_alerts", "n_outbreaks", "n_matched_alerts", "n_matched_outbreaks")
+    counts = sums.select("series_id", "T", *(F.sum(c).over(w).alias(c) for c in summed)).where("T is not null")
+    return counts.join(names, "series_id").select(*keys, "T", "n_alerts", "n_outbreaks", "n_matched_alerts", "n_matched_outbreaks")
 
 
 def mean_losses(counts: DataFrame, scenario: list[str], metrics: list[str]) -> DataFrame:
