@@ -12,10 +12,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import cases
-from tocsin.llm import common, queries
+from tocsin.llm import common, embedding_dedup, queries
 from tocsin.llm.common import Scratch
 from tocsin.llm.components import components, union_find
-from tocsin.llm.embedding_dedup import learn_rotation, near_vectors
+from tocsin.llm.embedding_dedup import Layout, layout, learn_rotation, near_vectors
 from tocsin.llm.license_scan import bodies, license_matches, license_sql
 from tocsin.llm.near_dup import near_duplicates, superminhash
 from tocsin.llm.packing import pack, pieces, sum_of_squares
@@ -404,7 +404,7 @@ def test_near_vectors(spark):
 
 
 @pytest.mark.parametrize(("dims", "lean"), [(32, 0.0), (64, 0.7), (128, 0.5)])
-def test_near_vectors_recall(spark, dims, lean):
+def test_near_vectors_recall(spark, monkeypatch, dims, lean):
     """Links found by the tables against brute force, also where all vectors lean one way; exact finds all of them."""
     rng = np.random.default_rng(dims)
     toward = np.ones(dims) / dims**0.5
@@ -420,17 +420,29 @@ def test_near_vectors_recall(spark, dims, lean):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").withColumn("label", F.lit(1))
     exact = {r["vec_id"]: r["n_links"] for r in near_vectors(df, exact=True, block=64).collect()}
     assert [exact[i] for i in range(len(x))] == near.sum(axis=1).tolist()
-    found = {r["vec_id"]: r["n_links"] for r in near_vectors(df, block=64).collect()}
-    alone = near.sum(axis=1) < 100
-    recall = sum(found[i] for i in np.flatnonzero(alone).tolist()) / near[alone].sum()
-    print(f"recall at {dims} dimensions, lean {lean}: {recall:.4f}")
-    assert 0.95 <= recall <= 1 and sum(found.values()) >= 0.99 * near.sum()
+    alone, results = near.sum(axis=1) < 100, []
+    tables = ((None, 4096), (None, 20), (layout(10**8, 0.98), 50)) if dims == 64 else ((None, 4096),)  # tables for more vectors, and split buckets
+    for shape, bucket in tables:
+        monkeypatch.setattr(embedding_dedup, "BUCKET", bucket)
+        found = {r["vec_id"]: r["n_links"] for r in near_vectors(df, block=64, shape=shape).collect()}
+        recall = sum(found[i] for i in np.flatnonzero(alone).tolist()) / near[alone].sum()
+        print(f"recall at {dims} dimensions, lean {lean}, {shape}: {recall:.4f}")
+        assert 0.95 <= recall <= 1 and sum(found.values()) >= 0.99 * near.sum()
+        results.append(found)
+    assert results[0] == results[min(1, len(results) - 1)]
     _, projection, _ = learn_rotation(unit)
     codes = (unit[:700] - unit.mean(axis=0)) @ projection > 0
     apart = (codes[:, None, :] != codes[None]).reshape(700, 700, 4, 16).sum(axis=3)
     assert ((apart <= 1).any(axis=2)).mean() < 0.02  # tables don't make cells of unrelated vectors meet
 
 
+def test_layout_follows_the_vectors():
+    shapes = [layout(n, 0.98) for n in (0, 1, 2**16, 2**16 + 1, 10**6, 10**8, 10**12)]
+    assert shapes[0] == shapes[2] == Layout(16, 4) and shapes[3].sub == 17
+    assert all(x.sub <= y.sub and x.tables <= y.tables and y.words * 64 >= y.bits for x, y in zip(shapes[:-1], shapes[1:]))
+    assert layout(10**6, 0.9).tables > layout(10**6, 0.98).tables and layout(10, 1.0).tables == 4
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_registered_query_matches_sql(spark, name):
     sf = "/root/testdata/sf0.001"
