@@ -14,6 +14,7 @@ from tocsin.operators import matching as mt
 from tocsin.operators import metrics as me
 from tocsin.operators import runs as rn
 from tocsin.operators import series as se
+from tocsin.operators import slices as sl
 from tocsin.operators import testing as te
 from tocsin.sources import series as src
 
@@ -251,3 +252,27 @@ def test_labels(spark):
     assert [r[0] for r in df.select(labels.noise_label(F.col("k"))).collect()] == ["Static Noise", "Static Noise", "Dynamical Noise", "Dynamical Noise", "Custom_Noise"]
     with pytest.raises(Exception, match="unknown test"):
         spark.range(1).select(labels.table_label(F.lit(0.5), F.lit(0.7), F.lit(3))).collect()
+
+
+def test_slices_equal_whole_series(spark):
+    rng = random.Random(12)
+    rows = [(s, d, 9 if s == 3 else rng.choice([0, 0, 3, 5, 9]) if s else 0) for s in range(4) for d in range(1, 131)]  # one run over all slices, one series without any
+    df = spark.createDataFrame(rows, "sim int, day int, incidence long").repartition(5)
+    spec, flagged = rn.OutbreakSpec(3, 2, 10), df.where("incidence >= 3")
+    for size in (1, 7, 10, 1000):
+        mean = sl.trailing_mean(df, SIM, "incidence", 5, "m", size).select("sim", "day", "m")
+        assert sorted(mean.collect()) == sorted(df.select("sim", "day", se.trailing_mean(F.col("incidence"), 5, SIM).alias("m")).collect())
+        assert sorted(sl.runs(flagged, SIM, "k", {"total": F.col("incidence")}, size).collect()) == sorted(rn.runs(flagged, SIM, "k", total=F.col("incidence")).collect())
+        assert sorted(sl.outbreak_status(df, spec, SIM, size).collect()) == sorted(rn.outbreak_status(df, spec, SIM).collect())
+        upto = {(r["sim"], r["day"]): r["u"] for r in sl.running_sum(df, SIM, "incidence", "u", size).collect()}
+        assert upto == {(s, d): sum(v for x, e, v in rows if x == s and e <= d) for s, d, _ in rows}
+
+
+def test_one_series_of_ten_million_days(spark):
+    n = 10_000_000
+    df = spark.range(1, n + 1, numPartitions=16).select(F.lit(1).alias("sim"), F.col("id").cast("int").alias("day"), F.when(F.col("id") % 1000 < 600, 2).otherwise(0).cast("long").alias("incidence"))
+    found = sl.runs(df.where("incidence > 0"), SIM, "k", {"total": F.col("incidence")})
+    row = found.agg(F.count("*"), F.max("k"), F.sum("duration"), F.min("duration"), F.max("total"), F.count_distinct("k")).first()
+    # days 1 to 599, then 600 days at a time, the last day alone
+    assert tuple(row) == (n // 1000 + 1, n // 1000 + 1, 6 * n // 10, 1, 1200, n // 1000 + 1)
+    assert df.groupBy(sl.slice_of(F.col("day")).alias("s")).count().agg(F.count("*"), F.max("count")).first()[:] == (-(-n // sl.SLICE), sl.SLICE)

@@ -20,6 +20,7 @@ from tocsin.operators import matching as mt
 from tocsin.operators import metrics as me
 from tocsin.operators import runs as rn
 from tocsin.operators import series as se
+from tocsin.operators import slices as sl
 from tocsin.operators import testing as te
 from tocsin.plans import reports as rp
 from tocsin.plans import scenarios as sc
@@ -687,10 +688,22 @@ def _(spark, d):
     return mt.matched_lists(_world(spark, d)[4], SIM).select("sim", "outbreak_idx", "n", F.array_join("alerts", ",").alias("alerts"))
 
 
-@_q("m6_invariants", S_ALERT + " SELECT count(*) AS n FROM (SELECT sim, alert_idx FROM pairs GROUP BY sim, alert_idx HAVING count(*) > 1)")
+@_q("m6_invariants", S_ALERT + """,
+damaged AS (
+  SELECT sim, outbreak_idx, alert_idx, alert_idx % 7 = 1 AS lost_alert, outbreak_idx % 5 = 1 AS lost_outbreak FROM pairs
+  UNION ALL SELECT sim, outbreak_idx + 1, alert_idx, alert_idx % 7 = 1, outbreak_idx % 5 = 0 FROM pairs WHERE alert_idx % 3 = 0 AND outbreak_idx + 1 <= (SELECT count(*) FROM outbreaks o WHERE o.sim = pairs.sim))
+SELECT 'none' AS given, CAST(NULL AS VARCHAR) AS problem, count(*) AS n FROM (SELECT sim, alert_idx FROM pairs GROUP BY sim, alert_idx HAVING count(*) > 1)
+UNION ALL SELECT 'damaged', 'alert', count(*) FROM damaged WHERE lost_alert UNION ALL SELECT 'damaged', 'outbreak', count(*) FROM damaged WHERE lost_outbreak
+UNION ALL SELECT 'damaged', 'repeated', count(*) FROM (SELECT sim, alert_idx FROM damaged GROUP BY sim, alert_idx HAVING count(*) > 1)""")
 def _(spark, d):
-    _, _, alerts, outbreaks, pairs, _ = _world(spark, d)
-    return mt.violations(pairs, alerts, outbreaks, SIM).agg(F.count("*").alias("n"))
+    """Sound pairs have no violation; with some alerts and outbreaks taken away and alerts paired twice each kind is found."""
+    _, _, alerts, outbreaks, pairs, sims = _world(spark, d)
+    found = mt.violations(pairs, alerts, outbreaks, SIM).agg(F.lit("none").alias("given"), F.lit(None).cast("string").alias("problem"), F.count("*").alias("n"))
+    again = pairs.where("alert_idx % 3 = 0").withColumn("outbreak_idx", (F.col("outbreak_idx") + 1).cast("int")).join(outbreaks.select("sim", "outbreak_idx"), ["sim", "outbreak_idx"], "left_semi")
+    damaged = pairs.select("sim", "outbreak_idx", "alert_idx").unionByName(again.select("sim", "outbreak_idx", "alert_idx"))
+    bad = mt.violations(damaged, alerts.where("alert_idx % 7 <> 1"), outbreaks.where("outbreak_idx % 5 <> 1"), SIM).groupBy("problem").agg(F.count("*").alias("n"))
+    kinds = spark.createDataFrame([("alert",), ("outbreak",), ("repeated",)], "problem string")
+    return found.union(kinds.join(bad, "problem", "left").select(F.lit("damaged"), "problem", F.coalesce("n", F.lit(0)).cast("long")))
 
 
 @_q("m7_matched_alerts", S_ALERT + " SELECT DISTINCT sim, alert_idx FROM met")
@@ -1145,6 +1158,35 @@ def _(spark, d):
     return out.select(*rp.SPEC, *(_r(c).alias(c) for c in ("mean", "sd", "median")), "least", "most", *(_r(c).alias(c) for c in ("q10", "q25", "q75", "q90")))
 
 
+# Series in slices: what a series too long for one task needs ---------------------------------------------------------
+
+DAYS = 97
+
+
+@_q("t11_sliced_mean", S_POS + " SELECT sim, day, test_pos_ma FROM ma")
+def _(spark, d):
+    positives = te.expected_positives(_series(spark, d), [1.0], ONE_TEST, SIM)
+    return sl.trailing_mean(positives, SIM, "test_pos", 7, "test_pos_ma", DAYS).select("sim", "day", "test_pos_ma")
+
+
+@_q("t17_sliced_runs", S_OUT + " SELECT sim, CAST(row_number() OVER (PARTITION BY sim ORDER BY lo) AS INTEGER) AS run_idx, lo, hi, duration, size FROM oruns")
+def _(spark, d):
+    series = _kept(spark, _series(spark, d))
+    return sl.runs(series.where(F.col("incidence") >= _spec(series).threshold), SIM, "run_idx", {"size": F.col("incidence")}, DAYS)
+
+
+@_q("t20_sliced_status", S_OUT + " SELECT s.sim, day, CAST(count(o.lo) AS INTEGER) AS status FROM series s LEFT JOIN outbreaks o ON s.sim = o.sim AND day BETWEEN o.lo AND o.hi GROUP BY s.sim, day")
+def _(spark, d):
+    series = _kept(spark, _series(spark, d))
+    return sl.outbreak_status(series, _spec(series), SIM, DAYS)
+
+
+@_q("m17_sliced_cases", S_ALERT + " SELECT * FROM avoid")
+def _(spark, d):
+    series, _, _, outbreaks, pairs, _ = _world(spark, d)
+    return me.unavoidable(series, outbreaks, mt.first_alerts(pairs, SIM), SIM, slice_days=DAYS)
+
+
 # Reports on the store: nested measures of its records ---------------------------------------------------------------
 
 @_q("r6_stored_summary", S_RECORD + " SELECT sensitivity, specificity, test_lag, round(avg(accuracy), 6) AS mean, round(quantile_cont(accuracy, 0.1), 6) AS p10, round(quantile_cont(accuracy, 0.9), 6) AS p90 FROM record GROUP BY ALL")

@@ -64,14 +64,16 @@ def delays(firsts: DataFrame, keys: list[str]) -> DataFrame:
     return firsts.select(*keys, "outbreak_idx", (F.col("alert_lo") - F.col("outbreak_lo")).alias("delay"))
 
 
-def unavoidable(series: DataFrame, outbreaks: DataFrame, firsts: DataFrame, keys: list[str], by: list[str] | None = None, series_keys: DataFrame | None = None) -> DataFrame:
+def unavoidable(series: DataFrame, outbreaks: DataFrame, firsts: DataFrame, keys: list[str], by: list[str] | None = None, series_keys: DataFrame | None = None, slice_days: int | None = None) -> DataFrame:
     """(keys, outbreak_idx, cases): cases from an outbreak's start to the day before its first alert, all if it has none.
 
     Differences of running sums, fetched by equality on (series, day). series_keys names series of alerts where these
-    have further keys.
+    have further keys; slice_days lets the sums run in slices of so many days, for series too long for one task.
     """
+    from tocsin.operators.slices import running_sum
+
     by = by or keys
-    running = series.select(*by, "day", F.sum("incidence").over(Window.partitionBy(*by).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
+    running = running_sum(series, by, "incidence", "upto", slice_days).select(*by, "day", "upto") if slice_days else series.select(*by, "day", F.sum("incidence").over(Window.partitionBy(*by).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
     every = outbreaks if series_keys is None else series_keys.select(*keys).join(outbreaks, by)
     told = every.join(firsts.select(*keys, "outbreak_idx", "alert_lo"), [*keys, "outbreak_idx"], "left")
     until = F.when(F.col("alert_lo").isNull(), F.col("hi")).otherwise(F.greatest(F.col("alert_lo"), F.col("lo")) - 1)
