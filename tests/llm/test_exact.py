@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import cases
-from tocsin.llm import common, embedding_dedup, queries
+from tocsin.llm import common, embedding_dedup, license_scan, queries
 from tocsin.llm.common import Scratch
 from tocsin.llm.components import components, union_find
 from tocsin.llm.embedding_dedup import Layout, layout, learn_rotation, near_vectors
@@ -380,6 +380,78 @@ def test_license_spans(spark):
     assert all(200 * r["common"] >= 80 * (r["size"] + r["template_size"]) for r in found)
 
 
+def spans_by_hand(text, templates, percent):
+    """Spans of a text as (line_no, last_line, license, common, size, template_size), by plain loops."""
+    words = [(w, k) for k, line in enumerate(text.split("\n"), 1) for w in license_scan._words_of(line)]
+    pairs = [(f"{a} {b}", i, j) for (a, i), (b, j) in zip(words, words[1:])]
+    every, found = {p for p, _, _ in pairs}, set()
+    for name, own, n_words, rare in templates:
+        size = len(own)
+        if not pairs or (200 - percent) * len(every) < percent * size or not every & rare or (200 - percent) * len(every & own) < percent * size:
+            continue
+        runs, run = [], None
+
+        def close(run):
+            if run and 2 * run["top"] >= percent * size:
+                runs.extend([(run["lo"], run["hi"]), (run["lo"], run["near"])])
+
+        for p in (k for k, (pair, _, _) in enumerate(pairs) if pair in own):
+            score = run["score"] - percent * (p - run["last"] - 1) if run else 0
+            if score <= 0 or (p - run["lo"]) * percent >= n_words * (200 - percent):
+                close(run)
+                run = {"lo": p, "last": p, "score": 200 - percent, "top": 200 - percent, "hi": p, "most": 200 - percent, "near": p}
+                continue
+            score += 200 - percent
+            run |= {"last": p, "score": score}
+            if score >= run["top"]:
+                run |= {"top": score, "hi": p}
+            if score >= run["most"] and p - run["lo"] < n_words:
+                run |= {"most": score, "near": p}
+        close(run)
+        for lo, hi in runs:
+            length = max(hi - lo + 1, min(n_words - 1, len(pairs)) if n_words < license_scan.SHORT else 0)
+            begin = min(lo, len(pairs) - length)
+            part = {p for p, _, _ in pairs[begin : begin + length]}
+            if 200 * len(part & own) >= percent * (len(part) + size):
+                common = len(part & own)
+                found.add((lo, hi, name, (common, 2 * common / (len(part) + size)), pairs[lo][1], pairs[hi][2], common, len(part), size))
+    kept = []
+    for x in sorted(found):
+        if not kept or kept[-1][1] < x[0]:
+            kept.append(x)
+        elif x[3] > kept[-1][3]:
+            kept[-1] = x
+    return [(x[4], x[5], x[2], *x[6:]) for x in kept]
+
+
+def test_license_spans_equal_plain_loops(spark):
+    rng, percent = random.Random(13), 80
+    templates = {"one": ("a b c d e f g h",), "two": ("a b c d x y z", "k l m n o p q r s t u v w k l m n"), "long": (" ".join(f"w{i % 37}" for i in range(90)),)}
+    known = []
+    table = license_scan._table(spark, templates, percent)
+    for r in table.collect():
+        text = templates[r["license"]][r["variant"]]
+        own = license_scan.bigrams_of(text)
+        rare = {b for b, h in zip(own, r["template"]) if h in set(r["rare"])}
+        known.append((r["license"], set(own), r["words"], rare))
+    texts = ["", "a", "a b", templates["one"][0], templates["long"][0] + " " + templates["long"][0]]
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            words = rng.choice([t for ts in templates.values() for t in ts]).split()
+            for _ in range(rng.choice([0, 0, 1, 2, 6])):
+                words[rng.randrange(len(words))] = rng.choice("abcxyz") + rng.choice(["", "q"])
+            parts.append(rng.choice([" ", "\n", " , "]).join(words) if rng.random() < 0.5 else " ".join(words))
+            parts.append(" ".join(rng.choice(["prose", "a", "b", "w1", "w2"]) for _ in range(rng.randrange(12))))
+        texts.append("\n".join(parts))
+    df = spark.createDataFrame([(k, k, t) for k, t in enumerate(texts)], "row long, doc_id long, text string").repartition(3)
+    got = {}
+    for r in license_scan._spans(df, table, percent).collect():
+        got.setdefault(r["row"], []).append((r["line_no"], r["last_line"], r["license"], r["common"], r["size"], r["template_size"]))
+    want = {k: sorted(found) for k, t in enumerate(texts) if (found := spans_by_hand(t, known, percent))}
+    assert {k: sorted(v) for k, v in got.items()} == want and len(want) > 40
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(7)
     rows = []

@@ -152,7 +152,7 @@ def _cut_out(places: Column, size: Column, words: Column, percent: int) -> Colum
         return F.when((score <= 0) | (p - s["lo"] >= reach), begun).otherwise(gone_on)
 
     zero = F.lit(0)
-    return F.aggregate(places, state(zero, zero, zero, zero, zero, zero, zero, F.array().cast("array<struct<lo: int, hi: int>>")), step, ended)
+    return F.aggregate(places, state(zero, F.lit(-1), zero, zero, zero, zero, zero, F.array().cast("array<struct<lo: int, hi: int>>")), step, ended)
 
 
 def _spans(text: DataFrame, table: DataFrame, percent: int) -> DataFrame:
