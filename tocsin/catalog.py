@@ -945,10 +945,21 @@ record AS (
 RECORD_LISTS = ["delays", "unavoidable_cases", "alert_durations", "outbreak_durations"]
 
 
+_RECORDS: dict[tuple[str, str], str] = {}
+
+
 def _stored_records(spark: SparkSession, d: str) -> DataFrame:
+    """The store that o6 filled for these tables in this session, else one that is filled now."""
+    path = _RECORDS.get((spark.sparkContext.applicationId, d))
+    found = st.load_snapshot(spark, f"{path}/results") if path else None
+    return _recorded(spark, d) if found is None else found
+
+
+def _recorded(spark: SparkSession, d: str) -> DataFrame:
     """The record of every series at its scenario's best threshold, as a run, and one that takes it up, leave it in the store."""
     series, outbreaks, positives, candidates = _sweep_input(spark, d)
     path, ready = _store(spark), _kept(spark, _ready(positives))
+    _RECORDS[spark.sparkContext.applicationId, d] = path
     scenarios = _kept(spark, ready.select(*SCENARIO).distinct())
 
     def compute(todo: DataFrame) -> DataFrame:
@@ -964,7 +975,7 @@ def _stored_records(spark: SparkSession, d: str) -> DataFrame:
 @_q("o6_resumable_run", S_RECORD + f""" SELECT {TEST}, sim, "T", loss, n_alerts, n_outbreaks, ppv, detected, accuracy, {", ".join(f"array_to_string({c}, ',') AS {c}" for c in RECORD_LISTS)}, share_in_alert, share_in_outbreak FROM record""")
 def _(spark, d):
     text = lambda c: F.when(F.size(c) > 0, F.array_join(c, ",")).alias(c)
-    out = _stored_records(spark, d)
+    out = _recorded(spark, d)
     return out.select(*KEYS, "T", "loss", "n_alerts", "n_outbreaks", "ppv", "detected", _r("accuracy", 9).alias("accuracy"), *map(text, RECORD_LISTS), "share_in_alert", "share_in_outbreak")
 
 
