@@ -10,6 +10,7 @@ import math
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,7 +57,7 @@ METHODS = ["DailyThreshold", "MovingAverage", "DailyThresholdMovingAverage"]
 # Series, outbreaks, alerts and matches that many queries share ------------------------------------------------------
 
 def _series(spark: SparkSession, d: str) -> DataFrame:
-    return src.line_series(spark, d)
+    return src.line_series(spark, d, partial(_kept, spark))
 
 
 def _spec_of(mean: float) -> rn.OutbreakSpec:
@@ -152,7 +153,7 @@ avoid AS (
 
 @_q("s1_count_series", S_SERIES + " SELECT sim, day, incidence, noise FROM counts")
 def _(spark, d):
-    return src.line_counts(spark, d)
+    return src.line_counts(spark, d, partial(_kept, spark))
 
 
 @_q("s2_dense_days", S_SERIES + " SELECT * FROM series")
@@ -166,7 +167,7 @@ c AS (SELECT sim, CAST(date_diff('hour', first, hour) + 1 AS INTEGER) AS day, co
 SELECT s.sim, x.day, coalesce(c.incidence, 0) AS incidence FROM (SELECT DISTINCT sim FROM e) s CROSS JOIN (SELECT CAST(unnest(range(1, n + 1)) AS INTEGER) AS day FROM ends) x
 LEFT JOIN c ON c.sim = s.sim AND c.day = x.day""")
 def _(spark, d):
-    return src.event_series(spark, d)
+    return src.event_series(spark, d, partial(_kept, spark))
 
 
 def _store(spark: SparkSession) -> str:

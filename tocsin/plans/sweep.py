@@ -176,8 +176,8 @@ def result_at(ready: DataFrame, chosen: DataFrame, series: DataFrame, outbreaks:
 def sweep_all(positives: DataFrame, candidates: list[float] | DataFrame, methods: list[str], metrics: list[str], keys: list[str], by: list[str]) -> DataFrame:
     """(scenario, alert_method, accuracy_metric, T, loss): the best T of every test, background, method and metric.
 
-    positives, with outbreak_idx, are made once and read once: a day's row is taken for each method, and the counts of a
-    method serve every metric.
+    A day's row is taken for each method, and the counts of a method serve every metric. Names and outbreak numbers of
+    the series come from a second pass that leaves values and their windows out.
     """
     rows = positives.select("*", F.explode(F.lit(methods)).alias("alert_method"))
     ready = rows.select(*keys, "alert_method", "day", "outbreak_idx", compared(F.col("alert_method")).alias("value"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,19 +45,22 @@ def shipped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(suppliers, "l_suppkey").select("sim", "date", "returned")
 
 
-def line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(sim, day, incidence, noise) of days with order lines: returned ones are the signal, others the background."""
-    return numbered_days(count_series(shipped_lines(spark, sf_dir), ["sim"], F.col("date"), incidence=F.col("returned"), noise=~F.col("returned")))
+def line_counts(spark: SparkSession, sf_dir: str, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(sim, day, incidence, noise) of days with order lines: returned ones are the signal, others the background.
+
+    keep writes a table and reads it back: lines are counted once, and the first day is taken from the counts.
+    """
+    return numbered_days(keep(count_series(shipped_lines(spark, sf_dir), ["sim"], F.col("date"), incidence=F.col("returned"), noise=~F.col("returned"))))
 
 
-def line_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dense (sim, day, incidence, noise) of order lines, from the first ship date to the last."""
+def line_series(spark: SparkSession, sf_dir: str, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Dense (sim, day, incidence, noise) of order lines, from the first ship date to the last; keep as in line_counts()."""
     sims = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.col("r_regionkey").alias("sim"))
-    return dense_days(line_counts(spark, sf_dir), sims, ["sim"], ["incidence", "noise"])
+    return dense_days(line_counts(spark, sf_dir, keep), sims, ["sim"], ["incidence", "noise"])
 
 
-def event_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dense (sim, day, incidence) of events: one series for each type, one step for each hour from the first on."""
+def event_series(spark: SparkSession, sf_dir: str, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Dense (sim, day, incidence) of events: one series for each type, one step for each hour from the first on; keep as in line_counts()."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("sim"), F.date_trunc("HOUR", F.col("ts").cast("timestamp_ntz")).alias("hour"))
-    counts = numbered_days(count_series(events, ["sim"], F.col("hour"), incidence=F.lit(True)), "HOUR")
-    return dense_days(counts, events.select("sim").distinct(), ["sim"], ["incidence"])
+    counts = keep(count_series(events, ["sim"], F.col("hour"), incidence=F.lit(True)))  # types without a time have a row too
+    return dense_days(numbered_days(counts, "HOUR"), counts.select("sim").distinct(), ["sim"], ["incidence"])
