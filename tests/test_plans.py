@@ -1,6 +1,8 @@
 """Scenario keys, stores, sweeps and reports on small inputs."""
 
+import math
 import random
+import statistics
 
 import numpy as np
 import pytest
@@ -306,3 +308,23 @@ def test_bootstrap_interval(spark):
     row = rp.bootstrap(df, "id", "v", 300).first()
     assert row["mean"] == 9.5 and row["low"] < 9.5 < row["high"] and 0.6 < row["high"] - row["low"] < 1.8
     assert rp.bootstrap(df.limit(0), "id", "v", 50).first()["mean"] is None
+
+
+def test_bootstrap_interval_equals_plain_replicates(spark):
+    """The interval from each replicate's weighted mean in turn, with jackknife means for the acceleration."""
+    n, replicates, normal = 150, 200, statistics.NormalDist()
+    df = spark.range(n).select("id", F.pow(F.col("id") % 13, 2.0).alias("v"), F.xxhash64(F.lit(1), "id").alias("h"))
+    rows = df.orderBy("id").collect()
+    v, h = np.array([r["v"] for r in rows]), np.array([r["h"] for r in rows]).view(np.uint64)
+    chance = [math.exp(-1) / math.factorial(k) for k in range(18)]
+    means = []
+    for r in range(1, replicates + 1):
+        u = rp.uniforms(h ^ np.uint64(r * 0x9E3779B97F4A7C15 % 2**64))
+        weight = np.array([next((k for k in range(18) if x < sum(chance[: k + 1])), 18) for x in u])
+        means.append((weight * v).sum() / weight.sum())
+    jack = (v.sum() - v) / (n - 1)
+    d = jack.mean() - jack
+    z0, a = normal.inv_cdf(np.mean(np.array(means) < v.mean())), (d**3).sum() / (6 * (d**2).sum() ** 1.5)
+    ends = [np.quantile(means, normal.cdf(z0 + (z0 + normal.inv_cdf(q)) / (1 - a * (z0 + normal.inv_cdf(q))))) for q in (0.025, 0.975)]
+    found = rp.bootstrap(df, "id", "v", replicates).first()
+    assert found["mean"] == pytest.approx(v.mean()) and (found["low"], found["high"]) == pytest.approx(tuple(ends), rel=1e-9)
