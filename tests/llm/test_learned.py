@@ -95,17 +95,17 @@ def _plain_scores(texts, labels, examples_of):
 
 
 def test_toxicity_scores_equal_brute_force(spark):
-    """Whole scores, from texts to the calibrated probability; ties at the fifteenth neighbour may differ for a few."""
+    """Whole scores of every text, from its words to the calibrated probability; ties go by the index's order, as there."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
     model = learn(docs, labels)
     found = {r["doc_id"]: r["score"] for r in toxicity_scores(docs, model).collect()}
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     marks = {r["doc_id"]: r["toxic"] for r in labels.where("toxic is not null").collect() if texts.get(r["doc_id"]) is not None}
-    index = sorted(model.examples.tolist())
+    index = model.examples.tolist()
     want = _plain_scores(texts, marks, (index, sorted(set(marks) - set(index))))
     off = [i for i in texts if abs(found[i] - want[i]) > 1e-3]
-    assert len(off) <= 0.02 * len(texts), [(i, found[i], want[i]) for i in off[:5]]
+    assert not off, (len(off), [(i, found[i], want[i]) for i in off[:5]])
 
 
 def test_toxicity_is_calibrated(spark):
