@@ -73,6 +73,33 @@ def test_percentiles_of_many_distinct_values(spark):
     assert df.where(F.col("v").between(lo, hi)).count() < 16 * n / rp.ACCURACY
 
 
+def test_percentiles_leave_rows_of_few_groups_where_they_are(spark, monkeypatch):
+    """Two groups would meet in two tasks; with brackets kept they don't travel, and many groups are dealt in parts."""
+    df = spark.range(3000, numPartitions=6).select(F.when(F.col("id") % 3 == 0, "a").alias("g"), (F.col("id") * 37 % 1009).cast("double").alias("v"))
+    keep, want = lambda x: catalog._kept(spark, x), {}
+    for g, v in df.collect():
+        want.setdefault(g, []).append(v)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for most, few in ((2, True), (1, False)):
+            monkeypatch.setattr(rp, "MOST_ROWS", most)
+            out = rp.percentiles(df, ["g"], "v", {"low": 0.1, "high": 0.9}, accuracy=100, keep=keep)
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert ("BroadcastHashJoin" in plan, "_salt" in plan) == (few, not few)
+            found = {r["g"]: (r["low"], r["high"]) for r in out.collect()}
+            assert found == {g: pytest.approx(tuple(np.quantile(v, (0.1, 0.9)))) for g, v in want.items()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_nested_lists_are_made_by_as_many_tasks_as_lines_need(spark, monkeypatch):
+    n = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    monkeypatch.setattr(catalog, "TASK_LINES", 100)
+    tasks = catalog._nested(spark, SF).select(F.spark_partition_id().alias("p"), F.size(F.flatten("nested")).alias("n")).groupBy("p").agg(F.sum("n").alias("n")).collect()
+    assert sum(r["n"] for r in tasks) == n and len(tasks) > 0.9 * n / 100 and max(r["n"] for r in tasks) < 300
+
+
 def test_spec_order(spark):
     rows = [(0.9, 0.95, 1), (0.8, 0.9, 2), (0.85, 0.92, 2), (0.95, 0.98, 1)]
     df = rp.distinct_specs(spark.createDataFrame(rows, "sensitivity double, specificity double, test_lag int"))

@@ -1021,14 +1021,25 @@ S_PCT = "round(quantile_cont(value, 0.1), 6) AS p10, round(quantile_cont(value,
 
 @_q("r6_summary", S_LINES + f" SELECT noise_type, noise_level, round(avg(value), 6) AS mean, {S_PCT} FROM lines GROUP BY ALL")
 def _(spark, d):
-    out = rp.summary(_lines(spark, d), ["noise_type", "noise_level"], "value")
+    out = rp.summary(_lines(spark, d), ["noise_type", "noise_level"], "value", keep=partial(_kept, spark))
     return out.select("noise_type", "noise_level", *(_r(c).alias(c) for c in ("mean", "p10", "p90")))
 
 
+#: Order lines whose lists a task makes.
+TASK_LINES = 500_000
+
+
+def _nested(spark: SparkSession, d: str) -> DataFrame:
+    """(noise_type, l_orderkey, nested): an order's values by level. Lists are made by sorting, so as many tasks share the lines as these need."""
+    lines, order = _lines(spark, d), ["noise_type", "l_orderkey"]
+    tasks = max(spark.sparkContext.defaultParallelism, math.ceil(lines.count() / TASK_LINES))
+    by_level = lines.select(*order, "noise_level", "value").repartition(tasks, *order).groupBy(*order, "noise_level").agg(F.collect_list("value").alias("values"))
+    return by_level.groupBy(*order).agg(F.collect_list("values").alias("nested"))
+
+
 @_q("r7_nested_summary", S_LINES + f" SELECT noise_type, round(avg(value), 6) AS mean, {S_PCT} FROM lines GROUP BY ALL")
 def _(spark, d):
-    nested = _lines(spark, d).groupBy("noise_type", "l_orderkey", "noise_level").agg(F.collect_list("value").alias("values")).groupBy("noise_type", "l_orderkey").agg(F.collect_list("values").alias("nested"))
-    out = rp.summary(rp.flattened(nested, ["noise_type"], "nested"), ["noise_type"], "value")
+    out = rp.summary(rp.flattened(_kept(spark, _nested(spark, d)), ["noise_type"], "nested"), ["noise_type"], "value", keep=partial(_kept, spark))
     return out.select("noise_type", *(_r(c).alias(c) for c in ("mean", "p10", "p90")))
 
 
@@ -1039,7 +1050,7 @@ def _(spark, d):
 
 @_q("r9_plot_series", S_LINES + f" SELECT noise_type, noise_level, sensitivity, specificity, test_lag, percent_tested, round(avg(value), 6) AS mean, {S_PCT} FROM lines GROUP BY ALL")
 def _(spark, d):
-    out = rp.summary(_lines(spark, d), REPORT_KEYS, "value")
+    out = rp.summary(_lines(spark, d), REPORT_KEYS, "value", keep=partial(_kept, spark))
     return out.select(*REPORT_KEYS, *(_r(c).alias(c) for c in ("mean", "p10", "p90")))
 
 
@@ -1112,7 +1123,7 @@ def _(spark, d):
 
 @_q("r17_spread_of_means", S_REPORT + " SELECT sensitivity, specificity, test_lag, round_even(min(value), 2) AS lowest, round_even(max(value), 2) AS highest, round_even(avg(value), 2) AS mean, round_even(quantile_cont(value, 0.5), 2) AS median FROM report GROUP BY ALL")
 def _(spark, d):
-    return rp.spread_of_means(_lines(spark, d), ["noise_type", "noise_level", "percent_tested"], rp.SPEC)
+    return rp.spread_of_means(_lines(spark, d), ["noise_type", "noise_level", "percent_tested"], rp.SPEC, keep=partial(_kept, spark))
 
 
 @_q("r18_characteristic_mean", S_LINES + " SELECT noise_type, noise_level, avg(value) AS mean FROM lines WHERE sensitivity = 1 AND test_lag = 14 GROUP BY ALL")
@@ -1132,7 +1143,7 @@ def _(spark, d):
 
 @_q("r20_distribution", S_LINES + " SELECT sensitivity, test_lag, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.75), 6) AS p75 FROM lines GROUP BY ALL")
 def _(spark, d):
-    out = rp.summary(_lines(spark, d), ["sensitivity", "test_lag"], "value", (0.25, 0.5, 0.75))
+    out = rp.summary(_lines(spark, d), ["sensitivity", "test_lag"], "value", (0.25, 0.5, 0.75), keep=partial(_kept, spark))
     return out.select("sensitivity", "test_lag", *(_r(c).alias(c) for c in ("mean", "p25", "p50", "p75")))
 
 
@@ -1166,7 +1177,7 @@ def _(spark, d):
 min(value - noise_level) AS least, max(value - noise_level) AS most, round(quantile_cont(value - noise_level, 0.1), 6) AS q10, round(quantile_cont(value - noise_level, 0.25), 6) AS q25, round(quantile_cont(value - noise_level, 0.75), 6) AS q75, round(quantile_cont(value - noise_level, 0.9), 6) AS q90 FROM lines GROUP BY ALL""")
 def _(spark, d):
     rows = _lines(spark, d).withColumn("difference", F.col("value") - F.col("noise_level"))
-    out = rp.difference_summary(rows, rp.SPEC, "difference")
+    out = rp.difference_summary(rows, rp.SPEC, "difference", keep=partial(_kept, spark))
     return out.select(*rp.SPEC, *(_r(c).alias(c) for c in ("mean", "sd", "median")), "least", "most", *(_r(c).alias(c) for c in ("q10", "q25", "q75", "q90")))
 
 
@@ -1203,7 +1214,7 @@ def _(spark, d):
 
 @_q("r6_stored_summary", S_RECORD + " SELECT sensitivity, specificity, test_lag, round(avg(accuracy), 6) AS mean, round(quantile_cont(accuracy, 0.1), 6) AS p10, round(quantile_cont(accuracy, 0.9), 6) AS p90 FROM record GROUP BY ALL")
 def _(spark, d):
-    out = rp.summary(_stored_records(spark, d), rp.SPEC, "accuracy")
+    out = rp.summary(_stored_records(spark, d), rp.SPEC, "accuracy", keep=partial(_kept, spark))
     return out.select(*rp.SPEC, *(_r(c).alias(c) for c in ("mean", "p10", "p90")))
 
 
@@ -1211,7 +1222,7 @@ def _(spark, d):
 SELECT {TEST}, round(avg(value), 6) AS mean, {S_PCT} FROM flat GROUP BY ALL""")
 def _(spark, d):
     by_scenario = _stored_records(spark, d).select(*SCENARIO, F.array("delays").alias("nested"))
-    out = rp.summary(rp.flattened(by_scenario, SCENARIO, "nested"), SCENARIO, "value")
+    out = rp.summary(rp.flattened(by_scenario, SCENARIO, "nested"), SCENARIO, "value", keep=partial(_kept, spark))
     return out.select(*SCENARIO, *(_r(c).alias(c) for c in ("mean", "p10", "p90")))
 
 
@@ -1226,7 +1237,7 @@ def _(spark, d):
 SELECT sensitivity, specificity, test_lag, round_even(min(m), 2) AS lowest, round_even(max(m), 2) AS highest, round_even(avg(m), 2) AS mean, round_even(quantile_cont(m, 0.5), 2) AS median FROM means GROUP BY ALL""")
 def _(spark, d):
     values = _stored_records(spark, d).select(*SCENARIO, F.explode("alert_durations").alias("value"))
-    return rp.spread_of_means(values, ["percent_tested"], rp.SPEC)
+    return rp.spread_of_means(values, ["percent_tested"], rp.SPEC, keep=partial(_kept, spark))
 
 
 @_q("r19_stored_consistency", S_RECORD + """, perfect AS (

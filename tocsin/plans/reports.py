@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tocsin.functions.labels import table_label
 from tocsin.operators.series import uniforms
+from tocsin.plans.sweep import MOST_ROWS, SALTS
 
 SPEC = ["sensitivity", "specificity", "test_lag"]
 #: Measures that a report may show.
@@ -66,13 +67,35 @@ def same(a: str, b: str, keys: list[str]) -> Column:
     return out
 
 
-def percentiles(df: DataFrame, keys: list[str], value: str, names: dict[str, float], more: tuple[Column, ...] = (), accuracy: int = ACCURACY) -> DataFrame:
+def with_group(rows: DataFrame, groups: DataFrame, keys: list[str], few: bool) -> DataFrame:
+    """rows with the other columns of their group; nulls in keys are equal.
+
+    A few groups go to every task, so that rows stay where they are; else a group's rows are dealt to SALTS parts by the
+    task that they come from, as one group may hold most rows.
+    """
+    more = [c for c in groups.columns if c not in keys]
+    on = keys if few else [*keys, "_salt"]
+    if few:
+        groups = F.broadcast(groups)
+    else:
+        rows = rows.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+        groups = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.alias("x").join(groups.alias("y"), same("x", "y", on)).select("x.*", *(F.col(f"y.`{c}`") for c in more)).drop("_salt")
+
+
+def percentiles(
+    df: DataFrame, keys: list[str], value: str, names: dict[str, float], more: tuple[Column, ...] = (), accuracy: int = ACCURACY,
+    keep: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """(keys, more..., names...): exact interpolated percentiles of each group, and further aggregates.
 
     Distributed selection. A mergeable sketch brackets every asked rank; one pass counts, in partial sums, the values
     below a bracket, and each distinct value inside it; only these are sorted, about 8 / accuracy of a group's rows, or
     all of a group of fewer than `accuracy`. A bracket that doesn't hold its rank raises an error. Nulls are skipped; a
     group without values has null.
+
+    keep writes a table and reads it back: brackets, a row a group, are then made once and counted, and a few of them go
+    to where the rows are; without it, all rows are shuffled to meet them. df is computed twice, so it should be cheap.
     """
     group = keys or ["_all"]
     rows = df.withColumn("_v", F.col(value).cast("double"))
@@ -82,10 +105,12 @@ def percentiles(df: DataFrame, keys: list[str], value: str, names: dict[str, flo
     whole = lambda edge, of: F.when(F.col("_n") < accuracy, F.array(*[F.col(edge)] * len(points))).otherwise(F.col(of))
     brackets = rows.groupBy(*group).agg(F.count("_v").alias("_n"), near(-1).alias("_lo"), near(1).alias("_hi"), F.min("_v").alias("_min"), F.max("_v").alias("_max"), *more)
     brackets = brackets.withColumns({"_lo": whole("_min", "_lo"), "_hi": whole("_max", "_hi")}).drop("_min", "_max")
+    brackets = keep(brackets) if keep else brackets
+    few = keep is not None and brackets.count() <= MOST_ROWS
     asked = brackets.select(*group, F.posexplode(F.arrays_zip("_lo", "_hi", F.array(*(F.lit(p) * (F.col("_n") - 1) for p in points)).alias("_at"))).alias("_k", "_b"))
     asked = asked.select(*group, "_k", "_b._at", F.floor("_b._at").alias("_low"), F.ceil("_b._at").alias("_high"))
 
-    own = rows.where("_v is not null").select(*group, "_v").alias("x").join(brackets.select(*group, "_lo", "_hi").alias("y"), same("x", "y", group)).select("x.*", "_lo", "_hi")
+    own = with_group(rows.where("_v is not null").select(*group, "_v"), brackets.select(*group, "_lo", "_hi"), group, few)
     # a value below its bracket counts as null, one above doesn't count
     inside = F.filter(F.transform("_lo", lambda lo, k: F.struct(k.alias("k"), F.when(F.col("_v") >= lo, F.col("_v")).alias("v"), (F.col("_v") <= F.get("_hi", k)).alias("in"))), lambda s: s["in"])
     counts = own.select(*group, F.explode(inside).alias("_s")).groupBy(*group, F.col("_s.k").alias("_k"), F.col("_s.v").alias("_v")).agg(F.count("*").alias("_c"))
@@ -102,9 +127,9 @@ def percentiles(df: DataFrame, keys: list[str], value: str, names: dict[str, flo
     return totals.alias("x").join(wide.alias("y"), same("x", "y", group), "left").select(*(F.col(f"x.`{c}`") for c in totals.columns if c != "_all"), *(F.col(f"y.`{n}`") for n in names))
 
 
-def summary(df: DataFrame, keys: list[str], value: str, points: tuple[float, ...] = (0.1, 0.9)) -> DataFrame:
+def summary(df: DataFrame, keys: list[str], value: str, points: tuple[float, ...] = (0.1, 0.9), keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(keys, mean, p..): mean and exact interpolated percentiles; nulls are skipped, nothing gives null."""
-    return percentiles(df, keys, value, {f"p{round(100 * p)}": p for p in points}, (F.avg(value).alias("mean"),))
+    return percentiles(df, keys, value, {f"p{round(100 * p)}": p for p in points}, (F.avg(value).alias("mean"),), keep=keep)
 
 
 def flattened(df: DataFrame, keys: list[str], nested: str, name: str = "value") -> DataFrame:
@@ -188,10 +213,11 @@ def baseline_difference(long: DataFrame, ids: list[str], value: str = "value") -
     return long.where(~perfect).join(base, "percent_tested").groupBy(*ids).agg(F.avg(F.col(value) - F.col("base")).alias("mean_difference"))
 
 
-def spread_of_means(values: DataFrame, scenario: list[str], keys: list[str], digits: int = 2) -> DataFrame:
+def spread_of_means(values: DataFrame, scenario: list[str], keys: list[str], digits: int = 2, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(keys, lowest, highest, mean, median) of scenario means, rounded."""
     means = values.groupBy(*keys, *scenario).agg(F.avg("value").alias("m"))
-    found = percentiles(means, keys, "m", {"median": 0.5}, (F.min("m").alias("lowest"), F.max("m").alias("highest"), F.avg("m").alias("mean")))
+    means = keep(means) if keep else means
+    found = percentiles(means, keys, "m", {"median": 0.5}, (F.min("m").alias("lowest"), F.max("m").alias("highest"), F.avg("m").alias("mean")), keep=keep)
     return found.select(*keys, *(F.bround(c, digits).alias(c) for c in ("lowest", "highest", "mean", "median")))
 
 
@@ -216,9 +242,9 @@ def confusion(prevalence: DataFrame, step: float = 0.05, n: int = 20) -> DataFra
     return rows.withColumns({"ppv": part("tp", "test_pos"), "npv": part("tn", "test_neg")})
 
 
-def difference_summary(draws: DataFrame, keys: list[str], value: str) -> DataFrame:
+def difference_summary(draws: DataFrame, keys: list[str], value: str, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     names = {"median": 0.5} | {f"q{round(100 * p)}": p for p in (0.1, 0.25, 0.5, 0.75, 0.9)}
-    return percentiles(draws, keys, value, names, (F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("least"), F.max(value).alias("most")))
+    return percentiles(draws, keys, value, names, (F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("least"), F.max(value).alias("most")), keep=keep)
 
 
 def _replicate_sums(batches: Iterator[pa.RecordBatch], replicates: int) -> Iterator[pa.RecordBatch]:
