@@ -17,6 +17,7 @@ from tocsin.plans import reports as rp
 from tocsin.plans import scenarios as sc
 from tocsin.plans import sweep as sw
 from tocsin.sources import results as st
+from tocsin.sources import series as src
 
 SF = "/root/testdata/sf0.001"
 
@@ -100,6 +101,22 @@ def test_nested_lists_are_made_by_as_many_tasks_as_lines_need(spark, monkeypatch
     assert sum(r["n"] for r in tasks) == n and len(tasks) > 0.9 * n / 100 and max(r["n"] for r in tasks) < 300
 
 
+def test_lines_stay_where_they_are_until_they_are_counted(spark, monkeypatch):
+    """Suppliers go to the lines even where Spark wouldn't send them by itself; many are joined by a shuffle, with the same counts."""
+    counts, before = {}, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for most in (src.MOST_SUPPLIERS, 0):
+            monkeypatch.setattr(src, "MOST_SUPPLIERS", most)
+            lines = src.shipped_lines(spark, SF)
+            plan = lines._jdf.queryExecution().executedPlan().toString()
+            assert ("hashpartitioning(l_suppkey" in plan) == (most == 0)
+            counts[most] = sorted(map(tuple, lines.groupBy("sim", "date").agg(F.count("*"), F.count_if("returned")).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(counts) == 2 and len({str(c) for c in counts.values()}) == 1
+
+
 def test_spec_order(spark):
     rows = [(0.9, 0.95, 1), (0.8, 0.9, 2), (0.85, 0.92, 2), (0.95, 0.98, 1)]
     df = rp.distinct_specs(spark.createDataFrame(rows, "sensitivity double, specificity double, test_lag int"))

@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Suppliers, two numbers each, that every task may get whole.
+MOST_SUPPLIERS = 1_000_000
+
 
 def count_series(events: DataFrame, keys: list[str], day: Column, **counts: Column) -> DataFrame:
     """Events counted by series and day; each named column counts the rows where its condition holds."""
@@ -38,9 +41,14 @@ def dense_days(counts: DataFrame, series: DataFrame, keys: list[str], values: li
 
 
 def shipped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(sim, date, returned): order lines by their supplier's region and ship date."""
+    """(sim, date, returned): order lines by their supplier's region and ship date.
+
+    Suppliers are counted, which reads no column, and go to every task unless they are many, so that lines stay where
+    they are until they are counted.
+    """
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     suppliers = read("supplier").join(read("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), F.col("n_regionkey").alias("sim"))
+    suppliers = F.broadcast(suppliers) if read("supplier").count() <= MOST_SUPPLIERS else suppliers
     lines = read("lineitem").select("l_suppkey", F.col("l_shipdate").cast("date").alias("date"), (F.col("l_returnflag") == "R").alias("returned"))
     return lines.join(suppliers, "l_suppkey").select("sim", "date", "returned")
 
